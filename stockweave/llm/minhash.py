@@ -9,12 +9,15 @@ with the defaults is 0.9997 and more above it.
 2. Drop tuples that no second representative has; the rest make table keys (a shuffle of 8-byte keys).
 3. Link every member of a bucket to its most popular member, confirmed on full shingle sets; take components.
 4. In buckets where several components are left, compare members of different components block by block
-   (blocks of ``block`` members), confirm again, and take components of all links. No pair is dropped: pairs
-   inside a component need no test, all others that share a key get one.
+   (blocks of bounded members and shingles). Candidates stay lists on a member's row and are tested inside the
+   task that holds the block pair's sets, so rows grow with members, not pairs. Links that join components are
+   confirmed again; take components of all links. No pair is dropped: pairs inside a component need no test,
+   all others that share a key get one.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows of one doc_id are one node
-of the graph (with different texts, the classes of all of them are joined, and one text is compared); a null doc_id has a null component and is not kept; an empty table gives no rows; other columns
-are ignored.
+of the graph (with different texts, the classes of all of them are joined, and the text with the least set key is
+compared); a null doc_id has a null component and is not kept; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from stockweave.llm.graph import connected_components
 from stockweave.llm.words import distinct, mixed, shingle_hashes, slices, sums, word_hashes
 from stockweave.session import attach, materialize
 
-SIDE, ROWS, BLOCK = 16, 3, 1024
+SIDE, ROWS = 16, 3
+#: Members and shingles of a block, so that two blocks fit a task's memory.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: A pair whose minimum hashes agree less often than this is not confirmed on full sets: at similarity 0.75 and
 #: 96 hashes, 4.5 standard deviations below the mean.
 LEAST_AGREEMENT = 0.55
@@ -81,7 +86,7 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles array<long> (64-bit hashes of the distinct shingles)."""
+    """doc_id, k1 (key of the set), shingles array<long> (64-bit hashes of the distinct shingles)."""
     attach(docs.sparkSession)
 
     def run(batches):
@@ -89,21 +94,24 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for row, n, data, offsets in slices(batch.column(1)):
                 words, word_offsets, _ = word_hashes(data, offsets)
                 values, at = distinct(*shingle_hashes(words, word_offsets))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "shingles"])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sums(mixed(values), at).view(np.int64)), lists], ["doc_id", "k1", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, shingles array<long>")
 
 
 def _keys(reps: DataFrame, side: int) -> DataFrame:
-    """(key, doc, x, y, bucket) for keys that two representatives or more share; x and y are the places of the key's
-    tuples in the two collections, bucket is the number of members."""
-    one = reps.select(F.col("doc_id").alias("doc"), F.posexplode("tuples").alias("place", "value"))
+    """(key, doc, x, y, bucket, bucket_shingles) for keys that two representatives or more share; x and y are the places
+    of the key's tuples in the two collections, bucket counts the members and bucket_shingles their shingles."""
+    one = reps.select(F.col("doc_id").alias("doc"), "n_shingles", F.posexplode("tuples").alias("place", "value"))
     shared = one.withColumn("n", F.count("*").over(Window.partitionBy("value"))).where("n > 1")
     at = F.struct("place", "value")
-    sides = shared.groupBy("doc").agg(F.collect_list(F.when(F.col("place") < side, at)).alias("a"), F.collect_list(F.when(F.col("place") >= side, at)).alias("b"))
-    pairs = sides.select("doc", F.explode("a").alias("p"), "b").select("doc", "p", F.explode("b").alias("q"))
-    keyed = pairs.select(F.xxhash64("p.value", "q.value").alias("key"), "doc", F.col("p.place").cast("short").alias("x"), (F.col("q.place") - side).cast("short").alias("y"))
-    return keyed.withColumn("bucket", F.count("*").over(Window.partitionBy("key"))).where("bucket > 1")
+    sides = shared.groupBy("doc", "n_shingles").agg(F.collect_list(F.when(F.col("place") < side, at)).alias("a"), F.collect_list(F.when(F.col("place") >= side, at)).alias("b"))
+    pairs = sides.select("doc", "n_shingles", F.explode("a").alias("p"), "b").select("doc", "n_shingles", "p", F.explode("b").alias("q"))
+    keyed = pairs.select(F.xxhash64("p.value", "q.value").alias("key"), "doc", "n_shingles", F.col("p.place").cast("short").alias("x"), (F.col("q.place") - side).cast("short").alias("y"))
+    whole = Window.partitionBy("key")
+    sized = keyed.withColumns({"bucket": F.count("*").over(whole), "bucket_shingles": F.sum("n_shingles").over(whole)})
+    return sized.where("bucket > 1").drop("n_shingles")
 
 
 def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -122,16 +130,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def _whole_groups(batches, by: tuple[str, ...], least_rows: int):
+    """Tables of whole groups of least_rows rows or more in all (the last may be smaller); rows come sorted by the group."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < least_rows:
+            continue
+        table = pa.concat_tables(held)
+        # the last group may go on in the next batch
+        other = np.zeros(table.num_rows, bool)
+        for k in by:
+            values = table.column(k).to_numpy()
+            other |= values != values[-1]
+        ended = np.flatnonzero(other)
+        cut = int(ended[-1]) + 1 if len(ended) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = [table.slice(cut)]
+    if held and (table := pa.concat_tables(held)).num_rows:
+        yield table
+
+
+def _binary(table: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+_GROUP = ("key", "bi", "bj")
+
+
 def _across(side: int, least: int):
-    """Pairs of one bucket's members in different components; rows come sorted by (key, bi, bj).
+    """Pairs of one bucket's members in different components, as a row for each member with its later partners.
 
-    A pair is taken in the first bucket that it shares only, and where its hashes agree often enough.
+    A pair is taken in the first bucket that it shares only, and where its hashes agree often enough. Members
+    without a pair are left out, so there is at most one row per member and block pair, whatever the pairs.
     """
 
-    def pairs(frame: dict[str, np.ndarray]) -> tuple[list, list]:
-        us, vs = [], []
-        key, bi, bj, own = frame["key"], frame["bi"], frame["bj"], frame["own"]
-        doc, comp, a, b, low, x, y = (frame[k] for k in ("doc", "comp", "a", "b", "low", "x", "y"))
+    def pairs(frame: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key, bi, bj, own, comp = (frame[k] for k in ("key", "bi", "bj", "own", "comp"))
         lag = 1
         while lag < len(key):
             same = (key[lag:] == key[:-lag]) & (bi[lag:] == bi[:-lag]) & (bj[lag:] == bj[:-lag])
@@ -139,62 +176,111 @@ def _across(side: int, least: int):
                 break
             i = np.flatnonzero(same & (comp[lag:] != comp[:-lag]) & ((own[lag:] != own[:-lag]) | (bi[lag:] == bj[lag:])))
             j = i + lag
-            for side_values, place in ((a, x), (b, y)):
+            for values, place in ((frame["a"], frame["x"]), (frame["b"], frame["y"])):
                 if len(i):
-                    first = (side_values[i] == side_values[j]).argmax(axis=1)
-                    keep = first == place[i]
+                    keep = (values[i] == values[j]).argmax(axis=1) == place[i]
                     i, j = i[keep], j[keep]
             if len(i):
-                keep = (low[i] == low[j]).sum(axis=1) >= least
-                us.append(doc[i[keep]])
-                vs.append(doc[j[keep]])
+                keep = (frame["low"][i] == frame["low"][j]).sum(axis=1) >= least
+                firsts.append(i[keep])
+                seconds.append(j[keep])
             lag += 1
-        return us, vs
+        return np.concatenate(firsts), np.concatenate(seconds)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        def flush(table: pa.Table):
-            n = table.num_rows
-            col = lambda k: table.column(k).combine_chunks()
-            ints = lambda k: col(k).to_numpy(zero_copy_only=False)
-            tuples = np.array(col("tuples").flatten(), np.int64).reshape(n, 2 * side)
-            frame = {k: ints(k) for k in ("key", "bi", "bj", "own", "doc", "comp", "x", "y")}
-            frame |= {"a": tuples[:, :side], "b": tuples[:, side:], "low": np.frombuffer(b"".join(col("agreement").to_pylist()), np.uint8).reshape(n, -1)}
-            us, vs = pairs(frame)
-            u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        for table in _whole_groups(batches, _GROUP, 20_000):
+            tuples = np.array(table.column("tuples").combine_chunks().flatten(), np.int64).reshape(table.num_rows, 2 * side)
+            frame = {k: table.column(k).to_numpy() for k in ("key", "bi", "bj", "own", "comp", "x", "y")}
+            i, j = pairs(frame | {"a": tuples[:, :side], "b": tuples[:, side:], "low": _binary(table, "agreement")})
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            rows = np.union1d(i, j)
+            docs = table.column("doc").to_numpy()
+            offsets = np.append(np.searchsorted(i, rows), len(i)).astype(np.int32)
+            partners = pa.ListArray.from_arrays(pa.array(offsets), pa.array(docs[j]))
+            kept = table.select([*_GROUP, "doc", "comp"]).take(pa.array(rows))
+            yield from kept.append_column("partners", partners).combine_chunks().to_batches()
 
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            if table.num_rows < 20_000:
+    return run
+
+
+def _linked(percent: int):
+    """Links between the components of a group's members, tested on 32-bit marks of their whole shingle sets.
+
+    Equal shingles have equal marks, so no link is lost; those found are confirmed on the 64-bit sets later. A pair
+    whose components have been joined in this group needs no test.
+    """
+
+    def links(docs, comps, sizes, marks, partners):
+        docs, first = np.unique(docs, return_index=True)
+        comps, sizes = comps[first], sizes[first]
+        sets = [np.frombuffer(marks[k], np.uint32) for k in first.tolist()]
+        lengths = np.array([len(x) for x in sets])
+        starts = np.cumsum(lengths) - lengths
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        present = np.zeros(len(ids), bool)
+        _, label = np.unique(comps, return_inverse=True)
+        slack = sizes - lengths  # shingles that share their mark with another one of the same set
+        for own, own_partners in partners:
+            u = int(np.searchsorted(docs, own))
+            v = np.searchsorted(docs, own_partners)
+            v = v[label[v] != label[u]]
+            if not len(v):
                 continue
-            # the last group may go on in the next batch
-            last = [table.column(k)[-1].as_py() for k in ("key", "bi", "bj")]
-            open_from = table.num_rows
-            k, p, q = (table.column(c).to_numpy() for c in ("key", "bi", "bj"))
-            tail = np.flatnonzero((k != last[0]) | (p != last[1]) | (q != last[2]))
-            open_from = int(tail[-1]) + 1 if len(tail) else 0
-            if open_from:
-                yield flush(table.slice(0, open_from))
-            held = table.slice(open_from).to_batches()
-        if held and (table := pa.Table.from_batches(held)).num_rows:
-            yield flush(table)
+            mine = ids[starts[u] : starts[u] + lengths[u]]
+            present[mine] = True
+            ends = np.cumsum(lengths[v])
+            at = np.arange(ends[-1]) + np.repeat(starts[v] - ends + lengths[v], lengths[v])
+            common = np.add.reduceat(present[ids[at]].astype(np.int64), ends - lengths[v]) + np.minimum(slack[u], slack[v])
+            present[mine] = False
+            for w in v[100 * common >= percent * (sizes[u] + sizes[v] - common)].tolist():
+                if label[w] != label[u]:
+                    label[label == label[w]] = label[u]
+                    yield docs[u], docs[w]
+
+    def run(batches):
+        for table in _whole_groups(batches, _GROUP, 2_000):
+            keys = np.column_stack([table.column(k).to_numpy().astype(np.int64) for k in _GROUP])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            out: list[tuple] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = table.slice(lo, hi - lo)
+                docs, comps, sizes = (part.column(k).to_numpy() for k in ("doc", "comp", "n_shingles"))
+                later = [(d, np.array(p, np.int64)) for d, p in zip(docs.tolist(), part.column("partners").to_pylist(), strict=True) if p]
+                out += links(docs, comps, sizes, part.column("marks").to_pylist(), later)
+            u, v = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def _marks(docs: DataFrame) -> DataFrame:
+    """doc_id, k1 (key of the set), n_shingles, marks binary (the distinct low 32 bits of the shingle hashes)."""
+
+    def run(batches):
+        for batch in batches:
+            for row, n, data, offsets in slices(batch.column(1)):
+                words, word_offsets, _ = word_hashes(data, offsets)
+                values, at = distinct(*shingle_hashes(words, word_offsets))
+                marks = [np.unique(values[a:b].astype(np.uint32)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                keys = pa.array(sums(mixed(values), at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), keys, pa.array(np.diff(at).astype(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "k1", "n_shingles", "marks"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, n_shingles long, marks binary")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     sketch = materialize(sketches(docs, side, rows), "sketches")
     found = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(found.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = found.join(classes, ["n_shingles", "k1", "k2"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "tuples", "agreement")
+    reps = found.join(classes, ["n_shingles", "k1", "k2"]).where("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("k1", "n_shingles", "tuples", "agreement"), "k1").alias("x")).select("doc_id", "x.*")
     keys = materialize(_keys(reps, side), "keys")
     members = keys.select("doc").distinct()
     near = materialize(reps.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near.select("doc_id"), "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts).dropDuplicates(["doc_id"]), "sets")
+    compared = near.select("doc_id", "k1")
+    sets = materialize(shingle_sets(texts).join(compared, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id"]), "sets")
     # rows of one doc_id with different texts: their classes meet through the id
     classed = found.select("doc_id", "n_shingles", "k1", "k2")
     several = classed.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("doc_id")
@@ -214,13 +300,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows:
     labelled = keys.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
     whole = Window.partitionBy("key")
     open_ = labelled.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)}).where("lo < hi")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("bucket") / block)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("bucket") / block), F.ceil(F.col("bucket_shingles") / block_shingles)).cast("int")
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "doc", "comp", "x", "y")
     full = spread.join(near.select(F.col("doc_id").alias("doc"), "tuples", "agreement"), "doc")
-    across = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_across(side, least), "u long, v long")
-    more = materialize(_confirmed(across.distinct(), sets, percent), "links-rest")
+    grouped = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    across = materialize(grouped(full).mapInArrow(_across(side, least), "key long, bi int, bj int, doc long, comp long, partners array<long>"), "pairs-rest")
+    marks = _marks(texts.join(across.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")).join(compared, ["doc_id", "k1"], "left_semi")
+    rest = grouped(across.join(marks.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "doc")).mapInArrow(_linked(percent), "u long, v long")
+    more = materialize(_confirmed(rest.distinct(), sets, percent), "links-rest")
     # one representative a class stands for its copies
     all_links = links.union(more).union(own)
     components = connected_components(all_links)

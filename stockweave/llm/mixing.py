@@ -79,11 +79,14 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: a row for every whole repeat of a document, and the first words of a cut one."""
+    """The mixed corpus: a row for every whole repeat of a document, and the first words of a cut one.
+
+    Rows equal in doc_id, source and text share what they take evenly, to a word.
+    """
     seed = options.get("seed", 7)
-    plan = mix(docs, **options).where("taken > 0").groupBy("row_key").agg(F.max("size").alias("size_"), F.max("taken").alias("taken_"))
+    plan = mix(docs, **options).groupBy("row_key").agg(F.max("size").alias("size_"), F.floor(F.avg("taken")).alias("taken_"))
     keyed = docs.withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
     copies = F.expr("transform(sequence(1, cast(ceil(taken_ / size_) as int)), i -> least(size_, taken_ - (i - 1) * size_))")
-    out = keyed.join(plan, "row_key").withColumn("words_", F.explode(copies))
+    out = keyed.join(plan.where("taken_ > 0"), "row_key").withColumn("words_", F.explode(copies))
     text = F.when(F.col("words_") < F.col("size_"), first_words(F.col("text"), F.col("words_"))).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

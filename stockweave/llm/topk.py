@@ -10,8 +10,8 @@ a query; blocks are merged by a window per query.
 
 Queries meet every block in groups of bounded size: that is the stated query set against all rows, in blocks.
 
-Defined results: vectors that are null, empty, of another length than the table's most common one, or hold null
-or non-finite components take no part; a row with the query's own vec_id is no candidate; repeated candidate rows are
+Defined results: vectors that are null, empty, of another length than the table's most common one, or hold null,
+non-finite or huge components (2^20 / scale or more) take no part; a row with the query's own vec_id is no candidate; repeated candidate rows are
 ranked next to each other; a null vec_id takes no part; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from stockweave.session import attach, materialize, shuffle_partitions
 
 BLOCK_ROWS, QUERY_ROWS = 32_768, 512
+#: Components become integers below this, so that slices and sums fit.
+LARGEST = float(1 << 20)
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id, v array<int> of the vectors that take part."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST / scale))
     rows = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"))
     return rows
 
