@@ -1,6 +1,449 @@
-"""The query catalogue: name -> query, and name -> the SQL that states the same result."""
+"""The query catalogue over order lines as a demand panel: name -> query, and name -> the SQL of the same result.
+
+Doubles are rounded at the very end (MONEY to 2 digits, all else to 6), so that sums in another order agree.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stockweave import params
+from stockweave.operators import backtest, classify, eda, features, intervals, metrics, models, policy, simulate
+from stockweave.plans.oracles import MONEY, ORACLES  # noqa: F401
+from stockweave.session import materialize
+from stockweave.sources import panel as panels
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 2 if c in MONEY else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidy(f(panels.demand_panel(spark, sf_dir)))
+
+    run.__doc__, run.__name__ = f.__doc__, f.__name__
+    QUERIES[f.__name__] = run
+    return f
+
+
+def shared(f):
+    """A query that reads the panel several times: it is written once and read back."""
+    return query(wraps(f)(lambda p: f(materialize(p, "panel"))))
+
+
+# ---- panel and exploration
+
+
+@query
+def sales_long(p):
+    return p
+
+
+@query
+def panel_overview(p):
+    return eda.overview(p)
+
+
+@query
+def weekly_demand(p):
+    return eda.weekly_demand(p)
+
+
+@query
+def closed_days(p):
+    return eda.closed_days(p)
+
+
+@query
+def dow_index(p):
+    return eda.weekday_index(p)
+
+
+@query
+def snap_lift(p):
+    return eda.snap_lift(p)
+
+
+@query
+def event_profile(p):
+    return eda.event_profile(p)
+
+
+@query
+def price_response(p):
+    return eda.price_response(p)
+
+
+def _wide(p: DataFrame) -> DataFrame:
+    """A month per row, a day of the month per column."""
+    days = p.select("unique_id", F.trunc("ds", "month").alias("month"), F.dayofmonth("ds").alias("day"), F.col("y").cast("int").alias("y"))
+    wide = days.groupBy("unique_id", "month").pivot("day", list(range(1, 32))).agg(F.first("y"))
+    return wide.withColumnsRenamed({str(k): f"d_{k}" for k in range(1, 32)})
+
+
+@query
+def wide_unpivot(p):
+    long = panels.wide_to_long(_wide(p), ["unique_id", "month"])
+    return long.groupBy("d").agg(F.count("*").alias("n"), F.sum("y").alias("units"))
+
+
+@query
+def unpivot_price_join(p):
+    prices = p.select("unique_id", F.trunc("ds", "month").alias("month"), "sell_price").groupBy("unique_id", "month").agg(F.min("sell_price").alias("sell_price"))
+    priced = panels.wide_to_long(_wide(p), ["unique_id", "month"]).join(prices, ["unique_id", "month"], "left").where("sell_price is not null")
+    return priced.groupBy("unique_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("sell_price")).alias("revenue"))
+
+
+@query
+def future_exog(p):
+    ahead = p.sparkSession.range(1, 61).select(F.date_add(F.lit(params.PANEL_END), F.col("id").cast("int")).alias("ds")).withColumns(panels.calendar_columns(F.col("ds")))
+    known = p.groupBy("unique_id", "wm_yr_wk").agg(F.max("sell_price").alias("sell_price"))
+    return panels.build_future(p, ahead, known)
+
+
+@query
+def min_history_filter(p):
+    return panels.with_min_history(p, 2300).groupBy("unique_id").agg(F.count("*").alias("n"))
+
+
+# ---- classes
+
+
+@query
+def sku_classes(p):
+    return classify.classify(p)
+
+
+@query
+def abc_summary(p):
+    return classify.classify(p).groupBy("abc").agg(F.count("*").alias("n_skus"), F.sum("revenue_share").alias("revenue_share"))
+
+
+@query
+def xyz_matrix_cube(p):
+    return classify.class_matrix(classify.classify(p))
+
+
+@query
+def demand_pattern_counts(p):
+    return classify.classify(p).groupBy("pattern").agg(F.count("*").alias("n_skus"), F.sum("units").alias("units"))
+
+
+@query
+def pareto_curve(p):
+    return classify.pareto(classify.classify(p))
+
+
+@query
+def revenue_matrix(p):
+    return eda.revenue_matrix(classify.classify(p))
+
+
+# ---- features
+
+
+@query
+def calendar_features(p):
+    return features.calendar_features(p).select("unique_id", "ds", "is_event", "event_name", "event_type", "days_to_event")
+
+
+@query
+def price_features(p):
+    return features.price_features(p).select("unique_id", "ds", "price_rel_item", "price_rel_dept", "price_change_7")
+
+
+@query
+def lag_features(p):
+    return features.lag_features(p).select("unique_id", "ds", *[f"lag_{k}" for k in params.LAGS])
+
+
+@query
+def rolling_features(p):
+    return features.lag_features(p).select("unique_id", "ds", *[n for n, *_ in params.ROLLING])
+
+
+@query
+def date_features(p):
+    return features.date_parts(p.select("ds").distinct())
+
+
+# ---- backtest and metrics
+
+
+def _cv(p: DataFrame) -> DataFrame:
+    return backtest.simple_forecasts(p).join(p.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id")), "unique_id")
+
+
+def _classes(p: DataFrame) -> DataFrame:
+    """Classes as of the evaluation's start, with dept_id."""
+    return classify.classify(p, before_evaluation=True).join(p.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id")), "unique_id")
+
+
+@query
+def cv_cutoffs(p):
+    return backtest.cutoffs(p)
+
+
+@query
+def cv_long_union(p):
+    return backtest.simple_forecasts(p).select("unique_id", "ds", "cutoff", "model", "y", "yhat")
+
+
+@query
+def fc_naive(p):
+    return backtest.simple_forecasts(p).where(F.col("model") == backtest.NAIVE).select("unique_id", "ds", "yhat")
+
+
+@query
+def fc_seasonal_naive(p):
+    return backtest.simple_forecasts(p).where(F.col("model") == backtest.SEASONAL).select("unique_id", "ds", "yhat")
+
+
+@query
+def fc_window_average(p):
+    return backtest.simple_forecasts(p).where(F.col("model") == backtest.AVERAGE).select("unique_id", "ds", "yhat")
+
+
+@query
+def cv_full_outer(p):
+    return backtest.to_wide(backtest.simple_forecasts(p), [backtest.NAIVE, backtest.SEASONAL, backtest.AVERAGE])
+
+
+@query
+def point_metrics(p):
+    return metrics.point_metrics(backtest.simple_forecasts(p), "cutoff", "model")
+
+
+@query
+def naive_scale(p):
+    return metrics.scales(p, backtest.cutoffs(p))
+
+
+@shared
+def rmsse_by_level(p):
+    return metrics.rmsse_by_level(p, _cv(p), backtest.cutoffs(p))
+
+
+@shared
+def wrmsse(p):
+    return metrics.evaluate(p, _cv(p), backtest.cutoffs(p))[0]
+
+
+@shared
+def wrmsse_report(p):
+    """Cutoffs by model, with the mean over cutoffs in the row of a null cutoff."""
+    rows = metrics.evaluate(p, _cv(p), backtest.cutoffs(p))[0].where("level = 'WRMSSE'")
+    with_mean = rows.select("model", "value", F.explode(F.array(F.col("cutoff"), F.lit(None).cast("date"))).alias("cutoff"))
+    return with_mean.groupBy("cutoff").pivot("model", [backtest.NAIVE, backtest.SEASONAL, backtest.AVERAGE]).agg(F.avg("value"))
+
+
+@shared
+def model_wins(p):
+    return metrics.wins_everywhere(metrics.evaluate(p, _cv(p), backtest.cutoffs(p))[0])
+
+
+@shared
+def sku_metrics(p):
+    return metrics.evaluate(p, _cv(p), backtest.cutoffs(p))[1]
+
+
+def _segments(p):
+    return metrics.segment_table(metrics.evaluate(p, _cv(p), backtest.cutoffs(p))[1], _classes(p))
+
+
+@shared
+def segment_table(p):
+    return _segments(p)
+
+
+@shared
+def best_model_by_segment(p):
+    return metrics.best_model(_segments(p))
+
+
+@query
+def horizon_error(p):
+    return metrics.horizon_error(backtest.simple_forecasts(p))
+
+
+# ---- intervals
+
+
+@query
+def conformal_margins(p):
+    return intervals.margins(backtest.simple_forecasts(p))
+
+
+@query
+def forecast_intervals(p):
+    cv = backtest.simple_forecasts(p)
+    newest = cv.where("window = 0").select("unique_id", "ds", "model", "yhat")
+    return intervals.add_intervals(newest, intervals.margins(cv.where("window > 0")))
+
+
+@shared
+def interval_coverage(p):
+    cv = backtest.simple_forecasts(p)
+    calib, held = cv.where(backtest.split_of(F.col("window")) == "calib"), cv.where(backtest.split_of(F.col("window")) == "eval")
+    return intervals.coverage(intervals.add_intervals(held, intervals.margins(calib)), _classes(p))
+
+
+# ---- inventory
+
+
+def _basis(p: DataFrame, lead_times) -> DataFrame:
+    cv = backtest.simple_forecasts(p).where(F.col("model") != backtest.NAIVE)
+    return policy.forecast_basis(cv, lead_times).unionByName(policy.classic_basis(p, lead_times))
+
+
+def _flat(basis: DataFrame) -> DataFrame:
+    w = basis.select("unique_id", "policy", "lead_time", F.posexplode("windows").alias("w", "x"))
+    return w.select("unique_id", "policy", "lead_time", "w", F.get("x.mu", F.lit(0)).alias("mu_first"), F.get("x.mu", F.lit(28)).alias("mu_last"), "x.daily", "x.sigma", "x.sigma_lead", F.size("x.errors").cast("long").alias("n_errors"))
+
+
+@query
+def classic_basis(p):
+    return _flat(policy.classic_basis(p, params.LEAD_TIMES))
+
+
+@query
+def forecast_basis(p):
+    return _flat(policy.forecast_basis(backtest.simple_forecasts(p).where(F.col("model") != backtest.NAIVE), params.LEAD_TIMES))
+
+
+def _decided(p, lead_times, scenario) -> DataFrame:
+    sold = policy.evaluation_demand(p)
+    return policy.decisions(_basis(p, lead_times).join(sold.select("unique_id", "price"), "unique_id"), scenario).join(sold.select("unique_id", "demand"), "unique_id")
+
+
+def _default(p):
+    return policy.scenarios(p.sparkSession, [params.DEFAULT_METHOD], [params.DEFAULT_LEVEL])
+
+
+@shared
+def safety_stock_methods(p):
+    rows = policy.decisions(_basis(p, [params.DEFAULT_LEAD]).join(policy.evaluation_demand(p), "unique_id"), policy.scenarios(p.sparkSession, params.SS_METHODS, params.SERVICE_LEVELS))
+    return rows.select("unique_id", "policy", "ss_method", "service_level", F.get("ss", F.lit(0)).alias("ss_first"), F.element_at("ss", -1).alias("ss_last"))
+
+
+@shared
+def rop_eoq_lot(p):
+    rows = _decided(p, params.LEAD_TIMES, _default(p)).select("unique_id", "policy", "lead_time", F.posexplode(F.arrays_zip("rop", "lot")).alias("d", "x"))
+    return rows.select("unique_id", "policy", "lead_time", "d", "x.rop", "x.lot")
+
+
+def _grid(p, lead_times, scenario, fold=False) -> DataFrame:
+    run = simulate.simulate_fold if fold else simulate.simulate
+    return simulate.by_sku(run(_decided(p, lead_times, scenario)))
+
+
+@shared
+def sim_single(p):
+    return _grid(p, [params.DEFAULT_LEAD], _default(p), fold=True).drop("order_cost", "holding_rate", "lost_days", "days")
+
+
+@shared
+def sim_kpis_by_class(p):
+    return simulate.kpis(_grid(p, [params.DEFAULT_LEAD], _default(p)), _classes(p)).drop("order_cost", "holding_rate")
+
+
+def _full_grid(p):
+    """Policies x lead times x methods x service levels."""
+    return simulate.kpis(_grid(p, params.LEAD_TIMES, policy.scenarios(p.sparkSession, params.SS_METHODS, params.SERVICE_LEVELS)), _classes(p)).drop("order_cost", "holding_rate")
+
+
+@shared
+def scenario_grid(p):
+    return _full_grid(p)
+
+
+@shared
+def scenario_report(p):
+    """Inventory value of the Total group: lead time by policy, at the default level and method."""
+    rows = _full_grid(p).where((F.col("group") == "Total") & (F.col("service_level") == params.DEFAULT_LEVEL))
+    return rows.groupBy("lead_time", "ss_method").pivot("policy", [policy.CLASSIC, backtest.SEASONAL, backtest.AVERAGE]).agg(F.first("avg_inv_value")).withColumnRenamed(policy.CLASSIC, "Clasica")
+
+
+def _frontier(p, lead_times=params.LEAD_TIMES):
+    """Unclipped stock over the frontier's levels."""
+    return simulate.kpis(_grid(p, lead_times, policy.scenarios(p.sparkSession, ["sqrt"], params.FRONTIER_LEVELS, clip=False)), _classes(p)).drop("order_cost", "holding_rate")
+
+
+@shared
+def frontier(p):
+    return _frontier(p).select("policy", "ss_method", "lead_time", "service_level", "group", "fill_rate", "avg_inv_value")
+
+
+@shared
+def inventory_at_fill(p):
+    return simulate.inventory_at_fill(_frontier(p), params.FILL_TARGETS)
+
+
+@shared
+def cost_sensitivity(p):
+    """Inventory of the classic and the average policy at 95 % fill, over order costs and holding rates."""
+    costs = [params.Costs(order_cost=k, holding_rate_annual=h) for k in params.ORDER_COSTS for h in params.HOLDING_RATES]
+    curve = simulate.kpis(_grid(p, [params.DEFAULT_LEAD], policy.scenarios(p.sparkSession, ["sqrt"], params.FRONTIER_LEVELS, False, costs)), _classes(p)).where("group = 'Total'")
+    need = simulate.inventory_at_fill(curve, (params.DEFAULT_LEVEL,), ("policy", "order_cost", "holding_rate"))
+    value = lambda name: F.max(F.when(F.col("policy") == name, F.col("avg_inv_value")))
+    return need.groupBy("order_cost", "holding_rate").agg(value(policy.CLASSIC).alias("inv_classic"), value(backtest.AVERAGE).alias("inv_average")).withColumn("reduction", F.col("inv_average") / F.nullif(F.col("inv_classic"), F.lit(0.0)) - 1.0)
+
+
+@query
+def recommendation(p):
+    """From the mean of the last 28 days as forecast of the next 28."""
+    last = F.broadcast(p.agg(F.max("ds").alias("end_day")))
+    base = p.crossJoin(last).where("ds > date_sub(end_day, 28)").groupBy("unique_id", "end_day").agg(F.avg("y").alias("yhat"), F.max_by("sell_price", "ds").alias("price"))
+    ahead = base.select("unique_id", F.explode(F.sequence(F.date_add("end_day", 1), F.date_add("end_day", 28))).alias("ds"), "yhat", "price")
+    cv = backtest.simple_forecasts(p).where(F.col("model") == backtest.AVERAGE)
+    return policy.recommend(ahead, cv, _default(p), params.DEFAULT_LEAD)
+
+
+@shared
+def missing_target(p):
+    """Per policy and pattern: share of products below their target fill rate, by the default scenario."""
+    rows = _grid(p, [params.DEFAULT_LEAD], _default(p)).join(_classes(p).select("unique_id", "pattern"), "unique_id").where("fill_rate is not null")
+    return rows.groupBy("policy", "pattern").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") < F.col("service_level")).cast("double")).alias("missing_share"), F.median("fill_rate").alias("median_fill"), F.avg("demand").alias("mean_demand"))
+
+
+@query
+def report_columns(p):
+    """One row per department: series in order with their rounded revenue, as arrays."""
+    rows = classify.classify(p).join(p.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id")), "unique_id")
+    packed = rows.groupBy("dept_id").agg(F.sort_array(F.collect_list(F.struct("unique_id", F.round("revenue", 2).alias("revenue")))).alias("r"))
+    return packed.select("dept_id", F.to_json(F.struct(F.col("r.unique_id").alias("id"), F.col("r.revenue").cast("array<long>").alias("revenue"))).alias("document"))
+
+
+# ---- fitted models: no SQL states these
+
+
+@shared
+def global_tweedie_cv(p):
+    return models.global_backtest(p)
+
+
+@query
+def ets_cv(p):
+    return models.series_backtest(p, "ets")
+
+
+@query
+def sar_cv(p):
+    return models.series_backtest(p, "sar")
+
+
+@shared
+def feature_importance(p):
+    return models.importance(p)
+
+
+@shared
+def ablation(p):
+    return models.ablation(p)
