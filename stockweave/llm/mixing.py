@@ -10,7 +10,7 @@ the list of ranges and inside each range. A source's budget gives whole epochs a
 key order at the exact word.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own, sorted
-last; rows of equal key are ordered by doc_id and size; repeated rows each count; an empty table gives no rows;
+last; rows of equal key are ordered by size and content; repeated rows each count; an empty table gives no rows;
 other columns pass by.
 """
 
@@ -51,19 +51,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3
     return free.select("source", "source_size", "n_rows", "weight", target.alias("target"))
 
 
+def order_key(doc_id: Column, seed: int) -> Column:
+    """A hash-random hexadecimal key; a null doc_id has the key of the empty string."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3, share: float = 1.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, row_key of every row of docs(doc_id, source, text)."""
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("row_key")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("order_key"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("row_key")), "sizes")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, limit, share)
     plan = plan.withColumns({"ranges": F.greatest(F.lit(1), F.ceil(F.sqrt("n_rows"))).cast("long"), "source_key": F.xxhash64(F.coalesce("source", F.lit("\u0000null")))})
     plan = materialize(plan, "targets")
-    # the top 53 bits of the key as a fraction: ranges in key order
-    fraction = F.shiftrightunsigned(F.col("row_key"), 11).cast("double") / F.lit(float(1 << 53))
-    keyed = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({"u": fraction, "range": F.floor(fraction * F.col("ranges")).cast("long")})
+    # the first 52 bits of the key as a fraction: ranges in key order
+    fraction = F.conv(F.substring("order_key", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    keyed = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({"range": F.floor(fraction * F.col("ranges")).cast("long")})
     sums = keyed.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     over = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_key", "range", F.coalesce(F.sum("range_size").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_key", "range").orderBy("u", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("order_key", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(offsets, ["source_key", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
