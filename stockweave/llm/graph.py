@@ -1,4 +1,4 @@
-"""Connected components by distributed label propagation with pointer jumping."""
+"""Connected components by label propagation with pointer jumping, and semi and anti joins that leave most rows in place."""
 
 from __future__ import annotations
 
@@ -27,3 +27,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if not moved:
             return labels
+
+
+#: Bits of the id filter: its broadcast is 4 MB at most, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def _maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with maybe_: false where key is surely not among ids. The filter has FILTER_BITS bits, in buckets of 4 KB."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = ids.select(place(key).alias("at_")).groupBy(F.bitmap_bucket_number("at_").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at_")).alias("bits_"))
+    met = rows.withColumn("at_", place(key)).withColumn("bucket_", F.bitmap_bucket_number("at_")).join(F.broadcast(bits), "bucket_", "left")
+    bit = "cast(bitmap_bit_position(at_) as int)"
+    found = F.expr(f"coalesce(shiftright(cast(conv(hex(substring(bits_, {bit} div 8 + 1, 1)), 16, 10) as int), {bit} % 8) & 1 = 1, false)")
+    return met.withColumn("maybe_", found).drop("at_", "bucket_", "bits_")
+
+
+def rows_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Semi join: only rows that pass the filter are shuffled, then joined exactly."""
+    return _maybe_in(rows, ids, key).where("maybe_").drop("maybe_").join(ids.select(key), key, "left_semi").select(*rows.columns)
+
+
+def rows_not_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Anti join: rows that the filter rules out stay where they are; rows of a null key stay too."""
+    marked = _maybe_in(rows, ids, key)
+    rest = marked.where("maybe_").drop("maybe_").join(ids.select(key), key, "left_anti")
+    return marked.where("not maybe_").drop("maybe_").select(*rows.columns).unionByName(rest.select(*rows.columns))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.llm.graph import connected_components
+from stockweave.llm.graph import connected_components, rows_in
 from stockweave.llm.words import distinct, mixed, shingle_hashes, slices, sums, word_hashes
 from stockweave.session import attach, materialize
 
@@ -254,19 +254,17 @@ def _linked(percent: int):
     return run
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """doc_id, k1 (key of the set), n_shingles, marks binary (the distinct low 32 bits of the shingle hashes)."""
+def _marks(sets: DataFrame) -> DataFrame:
+    """doc, n_shingles, marks binary (the distinct low 32 bits of the shingle hashes)."""
 
     def run(batches):
         for batch in batches:
-            for row, n, data, offsets in slices(batch.column(1)):
-                words, word_offsets, _ = word_hashes(data, offsets)
-                values, at = distinct(*shingle_hashes(words, word_offsets))
-                marks = [np.unique(values[a:b].astype(np.uint32)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                keys = pa.array(sums(mixed(values), at).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), keys, pa.array(np.diff(at).astype(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "k1", "n_shingles", "marks"])
+            lists = batch.column(1)
+            values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) if batch.num_rows else np.zeros(1, int)
+            marks = [np.unique(values[a:b].view(np.uint64).astype(np.uint32)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(marks, pa.binary())], ["doc", "n_shingles", "marks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, n_shingles long, marks binary")
+    return sets.select(F.col("doc_id").alias("doc"), "shingles").mapInArrow(run, "doc long, n_shingles long, marks binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -278,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows:
     keys = materialize(_keys(reps, side), "keys")
     members = keys.select("doc").distinct()
     near = materialize(reps.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(near.select("doc_id"), "doc_id", "left_semi")
+    texts = rows_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), near)
     compared = near.select("doc_id", "k1")
     sets = materialize(shingle_sets(texts).join(compared, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id"]), "sets")
     # rows of one doc_id with different texts: their classes meet through the id
@@ -307,8 +305,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows:
     full = spread.join(near.select(F.col("doc_id").alias("doc"), "tuples", "agreement"), "doc")
     grouped = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     across = materialize(grouped(full).mapInArrow(_across(side, least), "key long, bi int, bj int, doc long, comp long, partners array<long>"), "pairs-rest")
-    marks = _marks(texts.join(across.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")).join(compared, ["doc_id", "k1"], "left_semi")
-    rest = grouped(across.join(marks.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "doc")).mapInArrow(_linked(percent), "u long, v long")
+    marks = _marks(sets.join(across.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+    rest = grouped(across.join(marks, "doc")).mapInArrow(_linked(percent), "u long, v long")
     more = materialize(_confirmed(rest.distinct(), sets, percent), "links-rest")
     # one representative a class stands for its copies
     all_links = links.union(more).union(own)
