@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.llm import minhash, mixing, packing, quality
+from stockweave.llm.graph import rows_not_in
 from stockweave.llm.queries import END_ID
 from stockweave.llm.tokens import default_tokenizer
 from stockweave.session import materialize
@@ -21,8 +22,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group; rows without an id stay."""
-    found = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "copies")
+    return rows_not_in(docs, found)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
