@@ -9,6 +9,7 @@ boundary are resolved by smaller vec_id, exactly, and the few rows taken get the
 a query; blocks are merged by a window per query.
 
 Queries meet every block in groups of bounded size: that is the stated query set against all rows, in blocks.
+A task reads a block's index and then its groups, in sorted order, so it holds one block and one batch.
 
 Defined results: vectors that are null, empty, of another length than the table's most common one, or hold null,
 non-finite or huge components (2^20 / scale or more) take no part; a row with the query's own vec_id is no candidate; repeated candidate rows are
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from stockweave.session import attach, materialize, shuffle_partitions
 
 BLOCK_ROWS, QUERY_ROWS = 32_768, 512
+#: A copy of a block serves this many queries at least.
+SHARE_QUERIES = 64
 #: Components become integers below this, so that slices and sums fit.
 LARGEST = float(1 << 20)
 
@@ -117,22 +120,40 @@ def build_index(rows: DataFrame, blocks: int) -> DataFrame:
             out[:, b, : packed.shape[1]] = packed
         return pd.DataFrame({"block": [key[0]], "n": [len(ids)], "bits": [n_bits], "ids": [ids[order].tobytes()], "mins": [mins.tobytes()], "slices": [out.tobytes()], "vectors": [values.tobytes()]})
 
-
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInPandas(pack, "block int, n int, bits int, ids binary, mins binary, slices binary, vectors binary")
 
 
+def _copies(rows: DataFrame, name: str, values: int) -> DataFrame:
+    """rows once for each value 0 to values - 1 of a new column; one batch is held at a time, however many copies there are."""
+
+    def run(batches):
+        for batch in batches:
+            for value in range(values):
+                yield batch.append_column(name, pa.array(np.full(batch.num_rows, value, np.int32)))
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + f", {name} int")
+
+
 def _probe(k: int):
+    """Rows come by block and share, the block's index first, then its groups of queries: one block is held at a time."""
+
     def run(batches):
+        ids = None
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for r in batch.to_pylist():
-                n, ids = r["n"], np.frombuffer(r["ids"], np.int64)
-                mins, values = np.frombuffer(r["mins"], np.int32).astype(np.int64), np.frombuffer(r["vectors"], np.int32).reshape(n, -1)
-                words = -(-n // 64)
-                bits = np.frombuffer(r["slices"], np.uint64).reshape(values.shape[1], r["bits"], words)
-                ones = np.full(words, np.uint64(0xFFFFFFFFFFFFFFFF))
-                valid = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
+                if r["slices"] is not None:
+                    n, ids = r["n"], np.frombuffer(r["ids"], np.int64)
+                    values = np.frombuffer(r["vectors"], np.int32).reshape(n, -1)
+                    words = -(-n // 64)
+                    bits = np.frombuffer(r["slices"], np.uint64).reshape(values.shape[1], r["bits"], words)
+                    ones = np.full(words, np.uint64(0xFFFFFFFFFFFFFFFF))
+                    valid = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
+                    own = r["block"]
+                    continue
+                if ids is None or own != r["block"]:  # no row was dealt to this block
+                    continue
                 query_ids = np.frombuffer(r["query_ids"], np.int64)
                 for q_id, q in zip(query_ids, np.frombuffer(r["queries"], np.int32).reshape(len(query_ids), -1), strict=True):
                     slices, _ = score_slices(bits, q, ones)
@@ -163,18 +184,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
     blocks = max(1, -(-n // block_rows))
     index = materialize(build_index(rows.select("vec_id", "v"), blocks), "bit-sliced-index")
     # few blocks are read by several tasks, each with its share of the queries
-    shares = max(1, -(-2 * shuffle_partitions(spark) // blocks) if blocks < shuffle_partitions(spark) else 1)
+    wanted = -(-2 * shuffle_partitions(spark) // blocks) if blocks < shuffle_partitions(spark) else 1
+    shares = max(1, min(wanted, n_queries // SHARE_QUERIES))
     groups = max(shares, -(-n_queries // query_rows))
 
     def gather(key, frame):
         frame = frame.drop_duplicates("vec_id")
         return pd.DataFrame({"group": [key[0]], "query_ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "queries": [np.array(frame["v"].tolist(), np.int32).tobytes()]})
 
-
     queries = rows.where("is_query").withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")).groupBy("group").applyInPandas(gather, "group int, query_ids binary, queries binary")
-    queries = queries.withColumn("share", F.pmod("group", F.lit(shares))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    met = held.join(queries.hint("shuffle_hash"), ["block", "share"]).select("n", "bits", "ids", "mins", "slices", "vectors", "query_ids", "queries")
-    found = met.mapInArrow(_probe(k), "query_id long, vec_id long, score long")
+    queries = _copies(queries.withColumn("share", F.pmod("group", F.lit(shares))), "block", blocks)
+    met = _copies(index, "share", shares).unionByName(queries, allowMissingColumns=True).repartition("block", "share")
+    order = met.sortWithinPartitions("block", "share", F.col("slices").isNull())
+    found = order.select("block", "n", "bits", "ids", "slices", "vectors", "query_ids", "queries").mapInArrow(_probe(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
