@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave import params
@@ -20,8 +20,13 @@ from stockweave.sources import panel as panels
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def rounded(c: str, digits: int) -> Column:
+    """Half away from zero, in binary arithmetic as SQL engines round doubles: a tie falls the same way in both."""
+    return F.round(F.col(c) * 10.0**digits) / 10.0**digits
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 2 if c in MONEY else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rounded(c, 2 if c in MONEY else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(f):
@@ -417,7 +422,7 @@ def missing_target(p):
 def report_columns(p):
     """One row per department: series in order with their rounded revenue, as arrays."""
     rows = classify.classify(p).join(p.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id")), "unique_id")
-    packed = rows.groupBy("dept_id").agg(F.sort_array(F.collect_list(F.struct("unique_id", F.round("revenue", 2).alias("revenue")))).alias("r"))
+    packed = rows.groupBy("dept_id").agg(F.sort_array(F.collect_list(F.struct("unique_id", rounded("revenue", 2).alias("revenue")))).alias("r"))
     return packed.select("dept_id", F.to_json(F.struct(F.col("r.unique_id").alias("id"), F.col("r.revenue").cast("array<long>").alias("revenue"))).alias("document"))
 
 
