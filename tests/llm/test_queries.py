@@ -220,3 +220,21 @@ def test_op10(spark, docs):
         row = got.loc[i]
         assert (row.start, row.n_tokens, row.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_op6_many_blocks_and_groups(spark):
+    """Blocks of few rows, several groups a block, tied scores and a repeated row give the brute-force ranking."""
+    from pyspark.sql import functions as F
+    from stockweave.llm import topk
+
+    values = np.random.default_rng(5).integers(-3, 4, (300, 3))
+    data = [(k, [float(x) / 64 for x in v]) for k, v in enumerate(values.tolist())]
+    vectors = spark.createDataFrame([*data, data[7]], "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=9, block_rows=40, query_rows=4).collect()
+    ids, rows = np.array([*range(300), 7]), np.vstack([values, values[7]])
+    want = []
+    for q in range(0, 300, 20):
+        scores = rows @ values[q]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:9]
+        want += [(q, r, int(ids[i]), int(scores[i])) for r, i in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
