@@ -2,8 +2,10 @@
 
 Markup is read into a tree of block elements. A node's density is its characters per tag, adjusted by links: it
 falls with the share of characters and tags inside links. A node's density sum is the sum of its children's
-densities. The node with the greatest sum marks the text; from it the subtree grows towards the body while the
-parent is no less dense than the body as a whole. Navigation, headers, footers, asides, forms, adverts, notices,
+densities, its own text counting as one child. On every page the node with the greatest sum marks the text; <article>
+and <main> only weigh NAMED in this choice. From it the subtree grows towards the body while the parent is no less
+dense than the body as a whole; below the body, siblings join that are as dense and hold SHARE of the greatest sum,
+and articles join an article. What lies beside the path and is mostly links stays out. Navigation, headers, footers, asides, forms, adverts, notices,
 comments, scripts and styles are left out beforehand by element, role, class and id.
 
 Defined results: a null or empty page has an empty text; a page cut off inside a tag loses that tag only; an
@@ -33,6 +35,8 @@ _NOISE = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login paywall
     comment comments respond reply replies disqus discussion share sharing social related recommended recommendations
     complementary contentinfo search form skip copyright disclaimer""".split())
+#: Weight of <article> and <main> in the choice, and the least share of the greatest sum for a sibling below the body.
+NAMED, SHARE = 1.25, 0.2
 _CLOSES_P = _BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"li", "dd", "dt"}
 
 
@@ -137,8 +141,16 @@ def _post_order(root: Node) -> list[Node]:
     return order[::-1]
 
 
+def _density(c: int, t: int, lc: int, lt: int, C: int, LC: int) -> float:
+    base = math.log(c / max(c - lc, 1) * lc + LC / C * c + math.e)
+    t = max(t, 1)
+    ratio = c / max(lc, 1) * t / max(lt, 1)
+    return c / t * max(0.0, math.log(ratio) / math.log(base)) if c and ratio > 1 and base > 1 else (c / t * 1e-3)
+
+
 def _weigh(root: Node) -> list[Node]:
     order = _post_order(root)
+    own = [(n.chars, n.tags, n.link_chars, n.link_tags) for n in order]
     for node in order:
         for c in node.children:
             if isinstance(c, Node) and not c.dropped:
@@ -148,12 +160,12 @@ def _weigh(root: Node) -> list[Node]:
                 node.link_tags += c.link_tags
     C, LC = max(root.chars, 1), root.link_chars
     for node in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + LC / C * c + math.e)
-        ratio = c / lc * t / lt
-        node.density = c / t * max(0.0, math.log(ratio) / math.log(base)) if c and ratio > 1 and base > 1 else (c / t * 1e-3)
-    for node in order:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped) or (node.density if any(isinstance(c, str) for c in node.children) else 0.0)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, C, LC)
+    for node, (c, t, lc, lt) in zip(order, own, strict=True):
+        inner = [x for x in node.children if isinstance(x, Node)]
+        node.total = sum(x.density for x in inner if not x.dropped)
+        if any(isinstance(x, str) for x in node.children):
+            node.total += _density(c, t - len(inner), lc, lt, C, LC)
     return order
 
 
@@ -174,17 +186,29 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = _weigh(root)
-    named = [n for n in order if n.name in ("article", "main")]
-    choice = max(named or order, key=lambda n: (n.total, n.chars))
-    if not named:
-        while choice.parent is not None and choice.parent is not root and choice.parent.density >= root.density:
-            choice = choice.parent
-        if choice.parent is root and any(isinstance(c, str) for c in root.children):
-            choice = root
-    else:
-        outer = [n for n in _up(choice) if n.name in ("article", "main")]
-        choice = outer[-1]
-    return "\n".join(_blocks(choice))
+    best = max(order, key=lambda n: (n.total * (NAMED if n.name in ("article", "main") else 1.0), n.chars))
+    top = best
+    while top is not root and top.parent is not root and top.parent.density >= root.density:
+        _leave_out(top.parent, top)
+        top = top.parent
+    if top.parent is not root:
+        return "\n".join(_blocks(top))
+    text_beside = any(isinstance(c, str) for c in root.children)
+    for c in root.children:
+        if isinstance(c, Node) and c is not top and not c.dropped:
+            alike = c.name == top.name == "article" and not _mostly_links(c)
+            c.dropped = not (alike or text_beside and not _mostly_links(c) or c.density >= root.density and max(c.total, c.density) >= SHARE * best.total)
+    return "\n".join(_blocks(root))
+
+
+def _mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars >= node.chars
+
+
+def _leave_out(parent: Node, path: Node) -> None:
+    for c in parent.children:
+        if isinstance(c, Node) and c is not path and _mostly_links(c):
+            c.dropped = True
 
 
 def extract(pages: DataFrame) -> DataFrame:
