@@ -5,11 +5,15 @@ falls with the share of characters and tags inside links. A node's density sum i
 densities, its own text counting as one child. On every page the node with the greatest sum marks the text; <article>
 and <main> only weigh NAMED in this choice. From it the subtree grows towards the body while the parent is no less
 dense than the body as a whole; below the body, siblings join that are as dense and hold SHARE of the greatest sum,
-and articles join an article. What lies beside the path and is mostly links stays out. Navigation, headers, footers, asides, forms, adverts, notices,
-comments, scripts and styles are left out beforehand by element, role, class and id.
+and articles join an article. What lies beside the path and is mostly links stays out. Navigation, headers, footers, asides, forms,
+comments, scripts, styles and hidden elements are left out beforehand. A class, role or id that says advert, notice
+and the like makes a node a suspect: its density is multiplied by PENALTY, and it is dropped only if it is mostly links
+or, by class or role, a brief container; one outside of articles that lies in the greatest node or beside the path,
+with other text there, also if its reduced density is below the body's. A node with more than half of the text is no
+suspect unless it is brief.
 
 Defined results: a null or empty page has an empty text; a page cut off inside a tag loses that tag only; an
-unclosed script, style or comment runs to the end; text without any element is one block; repeated rows are read alike; an
+unclosed script, style or comment runs to the end, a self-closed one (<svg/>) ends there; text without any element is one block; repeated rows are read alike; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -24,9 +28,9 @@ from pyspark.sql import DataFrame
 
 from stockweave.session import attach
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</?\Z""", re.S | re.I)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!-)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select)(?=[\s/>])(?:\s*/>|(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=[\s"']/)>|>.*?(?:</(?P=raw)\s*>|\Z)))|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</?\Z""", re.S | re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("nav footer aside form head title button menu dialog fieldset figcaption".split()) - {"figcaption"}
@@ -37,26 +41,47 @@ _NOISE = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     complementary contentinfo search form skip copyright disclaimer""".split())
 #: Weight of <article> and <main> in the choice, and the least share of the greatest sum for a sibling below the body.
 NAMED, SHARE = 1.25, 0.2
+#: Parts of a class, role or id that may stand beside a noise word: site-header is one, no-sidebar is not.
+_NEUTRAL = frozenset("site page global top bottom left right box block wrapper wrap container inner outer area section list item items bar button buttons link links icon icons slot unit".split())
+#: Read as text whatever the class says, unless mostly links.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption address".split())
+#: Factor on a suspect's density, and the most characters of a brief one (a tenth of the page's at most).
+PENALTY, BRIEF = 0.1, 200
 _CLOSES_P = _BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"li", "dd", "dt"}
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "suspect")
 
     def __init__(self, name: str, parent: "Node | None", dropped: bool = False):
         self.name, self.parent, self.children, self.dropped = name, parent, [], dropped
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.named = name in ("article", "main") or parent is not None and parent.named
+        self.suspect = ""
 
 
-def _noise(name: str, attrs: str, inside_text: bool) -> bool:
-    if name in _DROPPED or name == "header" and not inside_text:
-        return True
-    if not attrs or name in ("body", "html", "article", "main"):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(t in _NOISE for m in _MARK.finditer(attrs) for t in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+def _noisy(value: str) -> bool:
+    for word in value.lower().split():
+        parts = [t for t in re.split(r"[^a-z]+", word) if t]
+        if not _NOISE.isdisjoint(parts) and all(t in _NOISE or t in _NEUTRAL for t in parts):
+            return True
+    return False
+
+
+def _judge(node: Node, attrs: str) -> None:
+    """Sets dropped, and suspect: "" or the attribute that speaks against the node ("id", or "class" for class and role)."""
+    if node.dropped or node.name in _DROPPED or node.name == "header" and not node.named:
+        node.dropped = True
+    elif attrs and not attrs.isspace() and node.name not in ("article", "main"):
+        for m in _ATTR.finditer(attrs):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or key == "style" and _HIDDEN.search(value):
+                node.dropped = True
+            elif key in ("class", "role") and _noisy(value):
+                node.suspect = "class"
+            elif key == "id" and not node.suspect and _noisy(value):
+                node.suspect = "id"
 
 
 def parse(page: str) -> Node:
@@ -116,7 +141,8 @@ def parse(page: str) -> Node:
             at, links = (node, 0) if node is not at else (at, links)
         if at.name == name and name in ("li", "td", "th", "tr", "dd", "dt", "option"):
             at = at.parent
-        new = Node(name, at, at.dropped or _noise(name, m["attrs"] or "", any(a.name in ("article", "main") for a in _up(at))))
+        new = Node(name, at, at.dropped)
+        _judge(new, m["attrs"] or "")
         at.children.append(new)
         at.tags += 1
         if name not in _VOID:
@@ -126,12 +152,6 @@ def parse(page: str) -> Node:
     return root
 
 
-def _up(node):
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 def _post_order(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
@@ -148,24 +168,49 @@ def _density(c: int, t: int, lc: int, lt: int, C: int, LC: int) -> float:
     return c / t * max(0.0, math.log(ratio) / math.log(base)) if c and ratio > 1 and base > 1 else (c / t * 1e-3)
 
 
-def _weigh(root: Node) -> list[Node]:
-    order = _post_order(root)
-    own = [(n.chars, n.tags, n.link_chars, n.link_tags) for n in order]
+def _add_up(order: list[Node], own: dict) -> None:
     for node in order:
+        node.chars, node.tags, node.link_chars, node.link_tags = own[node]
         for c in node.children:
             if isinstance(c, Node) and not c.dropped:
                 node.chars += c.chars
                 node.tags += c.tags
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags
+
+
+def _drop_confirmed(root: Node, order: list[Node]) -> bool:
+    found = False
+    for node in order:
+        if node.suspect and 2 * node.chars > root.chars:
+            node.suspect = "" if node.chars > BRIEF else node.suspect
+        elif node.suspect and (_mostly_links(node) or node.suspect == "class" and node.name not in _TEXT and node.chars <= min(BRIEF, root.chars / 10)):
+            node.dropped = found = True
+    return found
+
+
+def _weigh(root: Node) -> list[Node]:
+    order = _post_order(root)
+    own = {n: (n.chars, n.tags, n.link_chars, n.link_tags) for n in order}
+    _add_up(order, own)
+    if _drop_confirmed(root, order):
+        order = _post_order(root)
+        _add_up(order, own)
     C, LC = max(root.chars, 1), root.link_chars
     for node in order:
-        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, C, LC)
-    for node, (c, t, lc, lt) in zip(order, own, strict=True):
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, C, LC) * (PENALTY if node.suspect else 1.0)
+    for node in order:
+        c, t, lc, lt = own[node]
         inner = [x for x in node.children if isinstance(x, Node)]
         node.total = sum(x.density for x in inner if not x.dropped)
         if any(isinstance(x, str) for x in node.children):
             node.total += _density(c, t - len(inner), lc, lt, C, LC)
+    for node in reversed(order):  # parents first: what is inside a suspect is one
+        if node.suspect:
+            node.total *= PENALTY
+            for c in node.children:
+                if isinstance(c, Node) and not c.dropped and not c.suspect and not c.named:
+                    c.suspect = "inner"
     return order
 
 
@@ -188,16 +233,19 @@ def main_text(page: str | None) -> str:
     order = _weigh(root)
     best = max(order, key=lambda n: (n.total * (NAMED if n.name in ("article", "main") else 1.0), n.chars))
     top = best
+    if any(isinstance(c, str) or not c.dropped and not c.suspect and c.chars for c in best.children):
+        _leave_out(best, None, root.density)
     while top is not root and top.parent is not root and top.parent.density >= root.density:
-        _leave_out(top.parent, top)
+        _leave_out(top.parent, top, root.density)
         top = top.parent
     if top.parent is not root:
         return "\n".join(_blocks(top))
     text_beside = any(isinstance(c, str) for c in root.children)
     for c in root.children:
         if isinstance(c, Node) and c is not top and not c.dropped:
+            undo = 1 / PENALTY if top.suspect and c.suspect else 1.0
             alike = c.name == top.name == "article" and not _mostly_links(c)
-            c.dropped = not (alike or text_beside and not _mostly_links(c) or c.density >= root.density and max(c.total, c.density) >= SHARE * best.total)
+            c.dropped = not (alike or text_beside and not _mostly_links(c) and not c.suspect or c.density * undo >= root.density and max(c.total, c.density) * undo >= SHARE * best.total)
     return "\n".join(_blocks(root))
 
 
@@ -205,9 +253,9 @@ def _mostly_links(node: Node) -> bool:
     return 2 * node.link_chars >= node.chars
 
 
-def _leave_out(parent: Node, path: Node) -> None:
+def _leave_out(parent: Node, path: Node | None, least: float) -> None:
     for c in parent.children:
-        if isinstance(c, Node) and c is not path and _mostly_links(c):
+        if isinstance(c, Node) and c is not path and (path is not None and _mostly_links(c) or c.suspect == "class" and not c.named and c.density < least):
             c.dropped = True
 
 
