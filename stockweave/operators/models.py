@@ -9,6 +9,7 @@ with or without a weekly season, and an autoregression on daily and weekly lags,
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,22 +21,30 @@ from pyspark.sql import functions as F
 from stockweave.functions.fitters import ets_forecast, sar_forecast
 from stockweave.operators import backtest, features, metrics
 from stockweave.operators.classify import last_day
-from stockweave.params import HORIZON, N_EVAL, N_WINDOWS, SEASON, STATS_DAYS
+from stockweave.params import HORIZON, N_CALIB, N_EVAL, N_WINDOWS, SEASON, STATS_DAYS
 from stockweave.session import attach, materialize
 
 TWEEDIE = "GlobalTweedie"
-PRICE = ["price_rel_item", "price_rel_dept", "price_change_7"]
-CALENDAR = ["is_event", "days_to_event", *(f"dow_{k}" for k in range(1, 7)), "snap"]
 LAGGED = [f"log_{n}" for n in features.AUTOREGRESSIVE]
-BASE = [*LAGGED, *PRICE, *CALENDAR]
-#: name -> (columns, variance power)
-VARIANTS = {"base": (BASE, 1.1), "con item_id": ([*BASE, "item_mean"], 1.1), "sin precio": ([c for c in BASE if c not in PRICE], 1.1), "sin calendario": ([c for c in BASE if c not in CALENDAR], 1.1), "objetivo Poisson": (BASE, 1.0)}
-TRAIN_DAYS = 365
+PRICE = ["sell_price", "price_rel_item", "price_rel_dept", "price_change_7"]
+CALENDAR = ["snap", "is_event", "days_to_event"]
+DATES = [*(f"dow_{k}" for k in range(1, 7)), "day", *(f"month_{k}" for k in range(2, 13))]
+#: Categories as indicator columns: <name>=<k> for the k-th value in order.
+CATEGORIES = ("dept_id", "event_name", "event_type")
+#: name -> (features left out, features added, variance power)
+VARIANTS = {"base": ((), (), 1.1), "con item_id": ((), ("item_mean",), 1.1), "sin precio": (PRICE, (), 1.1), "sin calendario": ((*CALENDAR, "event_name", "event_type"), (), 1.1), "objetivo Poisson": ((), (), 1.0)}
+
+
+def feature_columns(base: DataFrame, leave_out=(), add=()) -> list[str]:
+    """The model's columns in a design; a category counts with all of its indicators."""
+    given = [c for c in base.columns if c.partition("=")[0] in CATEGORIES]
+    return [c for c in [*LAGGED, *PRICE, *CALENDAR, *DATES, *given, *add] if c.partition("=")[0] not in leave_out]
 
 
 def _columns(rows: DataFrame) -> DataFrame:
     logs = {f"log_{n}": F.log1p(F.greatest(F.col(n), F.lit(0.0))) for n in features.AUTOREGRESSIVE}
-    return rows.withColumns(logs | {f"dow_{k}": (F.weekday("ds") == k).cast("double") for k in range(1, 7)})
+    dates = {f"dow_{k}": (F.weekday("ds") == k).cast("double") for k in range(1, 7)} | {f"month_{k}": (F.month("ds") == k).cast("double") for k in range(2, 13)}
+    return rows.withColumns(logs | dates | {"day": F.dayofmonth("ds").cast("double")})
 
 
 def design(panel: DataFrame) -> DataFrame:
@@ -46,7 +55,9 @@ def design(panel: DataFrame) -> DataFrame:
     """
     earlier = features.by_series().rowsBetween(Window.unboundedPreceding, -SEASON)
     rows = features.lag_features(features.exogenous_features(panel)).withColumn("item_mean", F.log1p(F.coalesce(F.avg("y").over(earlier), F.lit(0.0))))
-    return materialize(_columns(rows).select("unique_id", "ds", "y", "item_mean", *BASE), "design")
+    shown = {c: sorted(r[0] for r in panel.groupBy(F.col({"event_name": "event_name_1", "event_type": "event_type_1"}.get(c, c))).count().collect() if r[0] is not None) for c in CATEGORIES}
+    marks = [(F.col(c) == v).cast("double").alias(f"{c}={k}") for c, values in shown.items() for k, v in enumerate(values, 1)]
+    return materialize(_columns(rows).select("unique_id", "ds", "y", "item_mean", *LAGGED, *PRICE, *CALENDAR, *DATES, *marks), "design")
 
 
 def fit(rows: DataFrame, columns: list[str], power: float):
@@ -56,9 +67,12 @@ def fit(rows: DataFrame, columns: list[str], power: float):
     return assembler, glm.fit(assembler.transform(rows))
 
 
-def window_forecast(base: DataFrame, cutoff, columns: list[str] = BASE, power: float = 1.1, train_days: int = TRAIN_DAYS) -> DataFrame:
-    """unique_id, ds, y, yhat of the horizon after a cutoff, from a model fitted on the days before it."""
-    train = base.where(F.col("ds").between(F.date_sub(F.lit(cutoff), train_days - 1), F.lit(cutoff)))
+def window_forecast(base: DataFrame, cutoff, columns: list[str], power: float = 1.1) -> DataFrame:
+    """unique_id, ds, y, yhat of the horizon after a cutoff, from a model fitted on all days up to it."""
+    if "item_mean" in columns:  # a week after the cutoff it rests on the days up to the cutoff
+        known_mean = base.where(F.col("ds") == F.date_add(F.lit(cutoff), SEASON)).select("unique_id", F.col("item_mean").alias("known_mean"))
+        base = base.join(known_mean, "unique_id").withColumn("item_mean", F.when(F.col("ds") > F.lit(cutoff), F.col("known_mean")).otherwise(F.col("item_mean"))).drop("known_mean")
+    train = base.where(F.col("ds") <= F.lit(cutoff))
     assembler, model = fit(train, columns, power)
     fixed = [c for c in base.columns if c not in LAGGED]
     known = base.where(F.col("ds").between(F.date_sub(F.lit(cutoff), 60), F.date_add(F.lit(cutoff), HORIZON))).select(*fixed).withColumn("y", F.when(F.col("ds") <= F.lit(cutoff), F.col("y")))
@@ -82,10 +96,10 @@ def _cutoffs(panel: DataFrame) -> list:
     return [(r["window"], r["cutoff"]) for r in backtest.cutoffs(panel).orderBy("window").collect()]  # a row per window
 
 
-def global_backtest(panel: DataFrame, windows: range = range(N_WINDOWS), columns: list[str] = BASE, power: float = 1.1) -> DataFrame:
+def global_backtest(panel: DataFrame, windows: range = range(N_WINDOWS), power: float = 1.1) -> DataFrame:
     """unique_id, ds, cutoff, step, window, model, y, yhat; the model is fitted anew for each window."""
     base = design(panel)
-    parts = [window_forecast(base, c, columns, power).withColumns({"cutoff": F.lit(c), "window": F.lit(k), "model": F.lit(TWEEDIE)}) for k, c in _cutoffs(panel) if k in windows]
+    parts = [window_forecast(base, c, feature_columns(base), power).withColumns({"cutoff": F.lit(c), "window": F.lit(k), "model": F.lit(TWEEDIE)}) for k, c in _cutoffs(panel) if k in windows]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -93,27 +107,36 @@ def global_backtest(panel: DataFrame, windows: range = range(N_WINDOWS), columns
 
 
 def importance(panel: DataFrame) -> DataFrame:
-    """feature, gain (absolute coefficient times the feature's deviation), gain_share."""
-    base, (_, cutoff) = design(panel), _cutoffs(panel)[0]
-    train = base.where(F.col("ds") > F.date_sub(F.lit(cutoff), TRAIN_DAYS))
-    _, model = fit(train, BASE, 1.1)
-    spread = train.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in BASE]).first()
-    gains = [(c, float(abs(w) * (spread[c] or 0.0))) for c, w in zip(BASE, model.coefficients, strict=True)]
+    """feature, gain, gain_share of the model fitted on the whole panel.
+
+    gain is the deviation of the feature's part of the linear predictor: for a number its absolute coefficient times
+    its deviation; a category's indicators are one feature.
+    """
+    base = design(panel)
+    columns = feature_columns(base)
+    _, model = fit(base, columns, 1.1)
+    parts: dict = {}
+    for c, w in zip(columns, model.coefficients, strict=True):
+        parts[c.partition("=")[0]] = parts.get(c.partition("=")[0], F.lit(0.0)) + F.col(c).cast("double") * float(w)
+    spread = base.agg(*[F.stddev_samp(x).alias(c) for c, x in parts.items()]).first()
+    gains = [(c, float(spread[c] or 0.0)) for c in parts]
     total = sum(g for _, g in gains) or 1.0
     return panel.sparkSession.createDataFrame([(c, g, g / total) for c, g in gains], "feature string, gain double, gain_share double")
 
 
 def ablation(panel: DataFrame) -> DataFrame:
-    """variant, wrmsse, wape, bias, seconds, wrmsse_vs_base: on calibration windows of the panel cut at the evaluation's start."""
+    """variant, wrmsse, wape, bias, seconds, wrmsse_vs_base: means over the N_CALIB calibration windows of the panel cut at the evaluation's start."""
     end = last_day(panel, N_EVAL * HORIZON).first()[0]
     early = panel.where(F.col("ds") <= F.lit(end))
     base, dept = design(early), early.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id"))
-    cut = backtest.cutoffs(early, 1)
+    cut = backtest.cutoffs(early, N_CALIB)
+    days = _cutoffs(early)[:N_CALIB]
     rows = []
-    for name, (columns, power) in VARIANTS.items():
+    for name, (leave_out, add, power) in VARIANTS.items():
         began = time.time()
-        cutoff = _cutoffs(early)[0][1]
-        cv = materialize(window_forecast(base, cutoff, columns, power).withColumns({"cutoff": F.lit(cutoff), "window": F.lit(0), "model": F.lit(name)}).join(dept, "unique_id"), "ablation")
+        columns = feature_columns(base, leave_out, add)
+        parts = [window_forecast(base, c, columns, power).withColumns({"cutoff": F.lit(c), "window": F.lit(k), "model": F.lit(name)}) for k, c in days]
+        cv = materialize(reduce(DataFrame.unionByName, parts).join(dept, "unique_id"), "ablation")
         score = metrics.wrmsse(metrics.rmsse_by_level(early, cv, cut)).where("level = 'WRMSSE'").agg(F.avg("value")).first()[0]
         m = metrics.point_metrics(cv).first()
         rows.append((name, score, m["wape"], m["bias"], time.time() - began))
