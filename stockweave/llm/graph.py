@@ -53,3 +53,40 @@ def rows_not_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     marked = _maybe_in(rows, ids, key)
     rest = marked.where("maybe_").drop("maybe_").join(ids.select(key), key, "left_anti")
     return marked.where("not maybe_").drop("maybe_").select(*rows.columns).unionByName(rest.select(*rows.columns))
+
+
+#: Rows of one key that a join puts into one place; at most HOT_KEYS keys have more.
+PLACE_ROWS, HOT_KEYS = 100_000, 10_000
+
+
+def _listed(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(counts: DataFrame, key: str | list[str], place_rows: int = PLACE_ROWS) -> DataFrame | None:
+    """The key columns (with a trailing _) and places_ of the keys with more rows than one place takes; None if there are none.
+
+    counts (key, n_) is a written table. What a place takes rises with the number of all rows, so that there are never
+    more than HOT_KEYS such keys: their list can be broadcast.
+    """
+    most, n = counts.agg(F.max("n_"), F.sum("n_")).first()
+    limit = max(place_rows, (n or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return None
+    columns = [F.col(k).alias(f"{k}_") for k in _listed(key)]
+    return materialize(counts.where(F.col("n_") > limit).select(*columns, F.ceil(F.col("n_") / limit).cast("int").alias("places_")), "hot-keys")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str | list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join on key, where side has one row a key and rows may have very many of some keys.
+
+    A hot key's rows are dealt to several places by a hash of the row, and its row of side goes to each.
+    """
+    keys = _listed(key)
+    if hot is None:
+        return rows.join(side, keys)
+    met = lambda df: df.join(F.broadcast(hot), [F.col(k) == F.col(f"{k}_") for k in keys], "left")
+    spare = [f"{k}_" for k in keys] + ["places_"]
+    dealt = met(rows).withColumn("place_", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("places_")).cast("int"), F.lit(0))).drop(*spare)
+    copied = met(side).withColumn("place_", F.explode(F.sequence(F.lit(0), F.coalesce("places_", F.lit(1)) - 1))).drop(*spare)
+    return dealt.join(copied, [*keys, "place_"]).drop("place_")

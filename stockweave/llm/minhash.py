@@ -5,19 +5,21 @@ joins a tuple of the first with one of the second. 2 * side * rows hashes thus s
 2 * rows rows: a pair of similarity s shares a key with probability (1 - (1 - s^rows)^side)^2, which at 0.75
 with the defaults is 0.9997 and more above it.
 
-1. Sketch every whole text (a map). Texts with equal shingle sets become one representative.
-2. Drop tuples that no second representative has; the rest make table keys (a shuffle of 8-byte keys).
+1. Sketch every whole text (a map). Texts with equal shingle sets become one node, whatever their doc_ids.
+2. Drop tuples that no second node has; the rest make table keys (a shuffle of 8-byte keys).
 3. Link every member of a bucket to its most popular member, confirmed on full shingle sets; take components.
 4. In buckets where several components are left, compare members of different components block by block
    (blocks of bounded members and shingles). Candidates stay lists on a member's row and are tested inside the
-   task that holds the block pair's sets, so rows grow with members, not pairs. Links that join components are
-   confirmed again; take components of all links. No pair is dropped: pairs inside a component need no test,
-   all others that share a key get one.
+   task that holds the block pair's whole sets; take components of all links, and the least doc_id of each.
+
+Counts of tuples and keys are aggregations, and a tuple, key, hub or component that very many rows have is dealt to
+several places (``spread_join``), so no task takes a whole popular bucket. Pairs inside a component need no test. All
+others that share a key get one, but for pairs whose 96 minimum hashes agree in less than ``LEAST_AGREEMENT``: with
+the pairs that share no key (3 in 10,000 at similarity 0.75, fewer above it) they are the only links that can be missed.
 
 Defined results: null and empty texts have no shingles and link with nothing; rows of one doc_id are one node
-of the graph (with different texts, the classes of all of them are joined, and the text with the least set key is
-compared); a null doc_id has a null component and is not kept; an empty table gives no rows; other columns are
-ignored.
+of the graph (with different texts, the components of all of them are joined); a null doc_id has a null component
+and is not kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.llm.graph import connected_components, rows_in
+from stockweave.llm.graph import connected_components, hot_keys, rows_in, spread_join
 from stockweave.llm.words import distinct, mixed, shingle_hashes, slices, sums, word_hashes
 from stockweave.session import attach, materialize
 
 SIDE, ROWS = 16, 3
-#: Members and shingles of a block, so that two blocks fit a task's memory.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: A pair whose minimum hashes agree less often than this is not confirmed on full sets: at similarity 0.75 and
-#: 96 hashes, 4.5 standard deviations below the mean.
+#: Members and shingles of a block, so that two blocks fit a task's memory; a bucket's rows are copied once a block.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: A pair whose minimum hashes agree less often than this is not tested on full sets: at similarity 0.75 and
+#: 96 hashes, 4.5 standard deviations below the mean (a few pairs in a million).
 LEAST_AGREEMENT = 0.55
 
 
@@ -86,7 +88,7 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, k1 (key of the set), shingles array<long> (64-bit hashes of the distinct shingles)."""
+    """doc_id, k1, n_shingles, shingles array<long> (64-bit hashes of the distinct shingles)."""
     attach(docs.sparkSession)
 
     def run(batches):
@@ -95,23 +97,26 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 words, word_offsets, _ = word_hashes(data, offsets)
                 values, at = distinct(*shingle_hashes(words, word_offsets))
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sums(mixed(values), at).view(np.int64)), lists], ["doc_id", "k1", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sums(mixed(values), at).view(np.int64)), pa.array(np.diff(at).astype(np.int64)), lists], ["doc_id", "k1", "n_shingles", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, n_shingles long, shingles array<long>")
 
 
 def _keys(reps: DataFrame, side: int) -> DataFrame:
-    """(key, doc, x, y, bucket, bucket_shingles) for keys that two representatives or more share; x and y are the places
-    of the key's tuples in the two collections, bucket counts the members and bucket_shingles their shingles."""
-    one = reps.select(F.col("doc_id").alias("doc"), "n_shingles", F.posexplode("tuples").alias("place", "value"))
-    shared = one.withColumn("n", F.count("*").over(Window.partitionBy("value"))).where("n > 1")
+    """(key, node, x, y, hub, bucket, bucket_shingles) for keys that two nodes or more share; x and y are the places of the
+    key's tuples in the two collections, bucket counts the members, bucket_shingles their shingles, and hub is the member
+    whose tuples most others have."""
+    one = reps.select("node", "n_shingles", F.posexplode("tuples").alias("place", "value"))
+    shared = materialize(one.groupBy("value").agg(F.count("*").alias("n_")).where("n_ > 1"), "shared-tuples")
     at = F.struct("place", "value")
-    sides = shared.groupBy("doc", "n_shingles").agg(F.collect_list(F.when(F.col("place") < side, at)).alias("a"), F.collect_list(F.when(F.col("place") >= side, at)).alias("b"))
-    pairs = sides.select("doc", "n_shingles", F.explode("a").alias("p"), "b").select("doc", "n_shingles", "p", F.explode("b").alias("q"))
-    keyed = pairs.select(F.xxhash64("p.value", "q.value").alias("key"), "doc", "n_shingles", F.col("p.place").cast("short").alias("x"), (F.col("q.place") - side).cast("short").alias("y"))
-    whole = Window.partitionBy("key")
-    sized = keyed.withColumns({"bucket": F.count("*").over(whole), "bucket_shingles": F.sum("n_shingles").over(whole)})
-    return sized.where("bucket > 1").drop("n_shingles")
+    met = spread_join(one, shared, "value", hot_keys(shared, "value"))
+    sides = met.groupBy("node", "n_shingles").agg(F.sum("n_").alias("popularity"), F.collect_list(F.when(F.col("place") < side, at)).alias("a"), F.collect_list(F.when(F.col("place") >= side, at)).alias("b"))
+    pairs = sides.select("node", "n_shingles", "popularity", F.explode("a").alias("p"), "b").select("node", "n_shingles", "popularity", "p", F.explode("b").alias("q"))
+    keyed = pairs.select(F.xxhash64("p.value", "q.value").alias("key"), "node", "n_shingles", "popularity", F.col("p.place").cast("short").alias("x"), (F.col("q.place") - side).cast("short").alias("y"))
+    keyed = materialize(keyed, "keyed")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("bucket"), F.sum("n_shingles").alias("bucket_shingles"), F.max_by("node", F.struct("popularity", -F.col("node"))).alias("hub")).where("bucket > 1")
+    buckets = materialize(buckets, "buckets")
+    return spread_join(keyed.select("key", "node", "x", "y"), buckets, "key", hot_keys(buckets.withColumnRenamed("bucket", "n_"), "key"))
 
 
 def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -121,11 +126,11 @@ def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot_u: DataFrame | None, hot_v: DataFrame | None) -> DataFrame:
     """The (u, v) whose full sets have 100 * common >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
-    sized = pairs.join(left, "u").join(right, "v").where((F.size("su") * 100 >= F.size("sv") * percent) & (F.size("sv") * 100 >= F.size("su") * percent))
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    sized = spread_join(spread_join(pairs, left, "u", hot_u), right, "v", hot_v).where((F.size("su") * 100 >= F.size("sv") * percent) & (F.size("sv") * 100 >= F.size("su") * percent))
     common = F.size(F.array_intersect("su", "sv"))
     return sized.where(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
@@ -195,48 +200,45 @@ def _across(side: int, least: int):
             order = np.argsort(i, kind="stable")
             i, j = i[order], j[order]
             rows = np.union1d(i, j)
-            docs = table.column("doc").to_numpy()
+            nodes = table.column("node").to_numpy()
             offsets = np.append(np.searchsorted(i, rows), len(i)).astype(np.int32)
-            partners = pa.ListArray.from_arrays(pa.array(offsets), pa.array(docs[j]))
-            kept = table.select([*_GROUP, "doc", "comp"]).take(pa.array(rows))
+            partners = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[j]))
+            kept = table.select([*_GROUP, "node", "comp"]).take(pa.array(rows))
             yield from kept.append_column("partners", partners).combine_chunks().to_batches()
 
     return run
 
 
 def _linked(percent: int):
-    """Links between the components of a group's members, tested on 32-bit marks of their whole shingle sets.
+    """Links between the components of a group's members, tested on their whole sets of 64-bit shingle hashes.
 
-    Equal shingles have equal marks, so no link is lost; those found are confirmed on the 64-bit sets later. A pair
-    whose components have been joined in this group needs no test.
+    A pair whose components a link of this group has already joined needs no test.
     """
 
-    def links(docs, comps, sizes, marks, partners):
-        docs, first = np.unique(docs, return_index=True)
-        comps, sizes = comps[first], sizes[first]
-        sets = [np.frombuffer(marks[k], np.uint32) for k in first.tolist()]
+    def links(nodes, comps, sets, partners):
+        nodes, first = np.unique(nodes, return_index=True)
+        sets = [sets[k] for k in first.tolist()]
         lengths = np.array([len(x) for x in sets])
         starts = np.cumsum(lengths) - lengths
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         present = np.zeros(len(ids), bool)
-        _, label = np.unique(comps, return_inverse=True)
-        slack = sizes - lengths  # shingles that share their mark with another one of the same set
+        _, label = np.unique(comps[first], return_inverse=True)
         for own, own_partners in partners:
-            u = int(np.searchsorted(docs, own))
-            v = np.searchsorted(docs, own_partners)
-            v = v[label[v] != label[u]]
+            u = int(np.searchsorted(nodes, own))
+            v = np.searchsorted(nodes, own_partners)
+            v = v[(label[v] != label[u]) & (100 * np.minimum(lengths[v], lengths[u]) >= percent * np.maximum(lengths[v], lengths[u]))]
             if not len(v):
                 continue
             mine = ids[starts[u] : starts[u] + lengths[u]]
             present[mine] = True
             ends = np.cumsum(lengths[v])
             at = np.arange(ends[-1]) + np.repeat(starts[v] - ends + lengths[v], lengths[v])
-            common = np.add.reduceat(present[ids[at]].astype(np.int64), ends - lengths[v]) + np.minimum(slack[u], slack[v])
+            common = np.add.reduceat(present[ids[at]].astype(np.int64), ends - lengths[v])
             present[mine] = False
-            for w in v[100 * common >= percent * (sizes[u] + sizes[v] - common)].tolist():
+            for w in v[100 * common >= percent * (lengths[u] + lengths[v] - common)].tolist():
                 if label[w] != label[u]:
                     label[label == label[w]] = label[u]
-                    yield docs[u], docs[w]
+                    yield nodes[u], nodes[w]
 
     def run(batches):
         for table in _whole_groups(batches, _GROUP, 2_000):
@@ -245,73 +247,69 @@ def _linked(percent: int):
             out: list[tuple] = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 part = table.slice(lo, hi - lo)
-                docs, comps, sizes = (part.column(k).to_numpy() for k in ("doc", "comp", "n_shingles"))
-                later = [(d, np.array(p, np.int64)) for d, p in zip(docs.tolist(), part.column("partners").to_pylist(), strict=True) if p]
-                out += links(docs, comps, sizes, part.column("marks").to_pylist(), later)
+                nodes, comps = (part.column(k).to_numpy() for k in ("node", "comp"))
+                sets = [x.values.to_numpy() for x in part.column("shingles")]
+                later = [(d, np.array(p, np.int64)) for d, p in zip(nodes.tolist(), part.column("partners").to_pylist(), strict=True) if p]
+                out += links(nodes, comps, sets, later)
             u, v = np.array(out, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return run
 
 
-def _marks(sets: DataFrame) -> DataFrame:
-    """doc, n_shingles, marks binary (the distinct low 32 bits of the shingle hashes)."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) if batch.num_rows else np.zeros(1, int)
-            marks = [np.unique(values[a:b].view(np.uint64).astype(np.uint32)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(marks, pa.binary())], ["doc", "n_shingles", "marks"])
-
-    return sets.select(F.col("doc_id").alias("doc"), "shingles").mapInArrow(run, "doc long, n_shingles long, marks binary")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
     sketch = materialize(sketches(docs, side, rows), "sketches")
     found = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(found.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = found.join(classes, ["n_shingles", "k1", "k2"]).where("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("k1", "n_shingles", "tuples", "agreement"), "k1").alias("x")).select("doc_id", "x.*")
-    keys = materialize(_keys(reps, side), "keys")
-    members = keys.select("doc").distinct()
-    near = materialize(reps.join(members.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), "near")
-    texts = rows_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), near)
-    compared = near.select("doc_id", "k1")
-    sets = materialize(shingle_sets(texts).join(compared, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-    # rows of one doc_id with different texts: their classes meet through the id
-    classed = found.select("doc_id", "n_shingles", "k1", "k2")
-    several = classed.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("doc_id")
-    own = classed.join(several, "doc_id", "left_semi").join(classes, ["n_shingles", "k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct()
-
-    popular = keys.groupBy("doc").agg(F.sum("bucket").alias("popularity"))
-    by = Window.partitionBy("key").orderBy(F.desc("popularity"), "doc")
-    stars = keys.join(popular, "doc").withColumn("hub", F.first("doc").over(by)).where("doc <> hub").select(F.least("doc", "hub").alias("u"), F.greatest("doc", "hub").alias("v")).distinct()
-    low = near.select("doc_id", "agreement")
+    # one node per distinct set: its least doc_id, and what every text of it has in common
+    whole_set = ["n_shingles", "k1", "k2"]
+    nodes = found.groupBy(*whole_set).agg(F.min("doc_id").alias("rep"), F.first("tuples").alias("tuples"), F.first("agreement").alias("agreement"), F.count("*").alias("n_"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = materialize(_keys(nodes.select("node", "n_shingles", "tuples"), side), "keys")
+    near = nodes.join(keys.select("node").distinct(), "node", "left_semi")
+    near = materialize(near, "near")
+    # the texts of the representatives that share a key; a doc_id with several texts may stand for several sets
+    texts = rows_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), near.select(F.col("rep").alias("doc_id")).distinct())
+    named = near.select(F.col("rep").alias("doc_id"), "k1", "n_shingles", "node")
+    sets = materialize(shingle_sets(texts).join(named, ["doc_id", "k1", "n_shingles"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    # rows of one doc_id with different texts: their nodes meet through the id
+    classed = found.select("doc_id", *whole_set)
+    several = classed.groupBy("doc_id").agg(F.min(F.struct(*whole_set)).alias("lo"), F.max(F.struct(*whole_set)).alias("hi")).where("lo <> hi").select("doc_id", F.col("lo.*"))
+    mates = classed.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    node_of = nodes.select(*whole_set, "node")
+    firsts = several.join(node_of, whole_set).select("doc_id", F.col("node").alias("u"))
+    own = mates.join(node_of, whole_set).select("doc_id", F.col("node").alias("v")).join(firsts, "doc_id").select("u", "v").where("u <> v").distinct()
+
+    stars = keys.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    stars = materialize(stars, "stars")
+    hot_u, hot_v = (hot_keys(stars.groupBy(c).agg(F.count("*").alias("n_")), c) for c in ("u", "v"))
+    low = near.select("node", "agreement")
     least = int(np.ceil(LEAST_AGREEMENT * 2 * side * rows))
-    likely = (
-        stars.join(low.toDF("u", "au"), "u").join(low.toDF("v", "av"), "v").where(F.pandas_udf(_agreements, "int")("au", "av") >= least).select("u", "v")
-    )
-    links = materialize(_confirmed(likely, sets, percent), "links-star")
+    both = spread_join(spread_join(stars, low.toDF("u", "au"), "u", hot_u), low.toDF("v", "av"), "v", hot_v)
+    likely = both.where(F.pandas_udf(_agreements, "int")("au", "av") >= least).select("u", "v")
+    links = materialize(_confirmed(likely, sets, percent, hot_u, hot_v), "links-star")
     components = connected_components(links)
 
-    labelled = keys.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    whole = Window.partitionBy("key")
-    open_ = labelled.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)}).where("lo < hi")
+    labelled = keys.drop("hub").join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    labelled = materialize(labelled, "labelled")
+    sizes = labelled.groupBy("key").agg(F.count("*").alias("n_"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_keys = materialize(sizes.where("lo < hi").select("key", "n_"), "open-keys")
+    open_ = spread_join(labelled, open_keys, "key", hot_keys(open_keys, "key"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("bucket") / block), F.ceil(F.col("bucket_shingles") / block_shingles)).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "doc", "comp", "x", "y")
-    full = spread.join(near.select(F.col("doc_id").alias("doc"), "tuples", "agreement"), "doc")
+    spread = spread.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "comp", "x", "y")
+    full = spread.join(near.select("node", "tuples", "agreement"), "node")
     grouped = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    across = materialize(grouped(full).mapInArrow(_across(side, least), "key long, bi int, bj int, doc long, comp long, partners array<long>"), "pairs-rest")
-    marks = _marks(sets.join(across.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
-    rest = grouped(across.join(marks, "doc")).mapInArrow(_linked(percent), "u long, v long")
-    more = materialize(_confirmed(rest.distinct(), sets, percent), "links-rest")
-    # one representative a class stands for its copies
-    all_links = links.union(more).union(own)
-    components = connected_components(all_links)
-    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    across = materialize(grouped(full).mapInArrow(_across(side, least), "key long, bi int, bj int, node long, comp long, partners array<long>"), "pairs-rest")
+    more = grouped(across.join(sets, "node")).mapInArrow(_linked(percent), "u long, v long")
+    more = materialize(more.distinct(), "links-rest")
+    # a component's id is the least doc_id of its nodes
+    components = connected_components(links.union(more).union(own))
+    placed = materialize(nodes.select("node", "rep").join(components, "node"), "placed")
+    least_id = materialize(placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_")), "components")
+    joined = spread_join(placed.select("node", "component"), least_id, "component", hot_keys(least_id, "component")).select("node", "component_id")
+    named = nodes.select(*whole_set, "rep", "node").join(joined, "node", "left").select(*whole_set, F.coalesce("component_id", "rep").alias("component_id"))
+    mine = spread_join(found.select("doc_id", *whole_set), named, whole_set, hot_keys(nodes, whole_set)).select("doc_id", "n_shingles", "component_id")
+    rest = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return mine.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
