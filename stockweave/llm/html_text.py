@@ -33,7 +33,7 @@ _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("nav footer aside form head title button menu dialog fieldset figcaption".split()) - {"figcaption"}
+_DROPPED = frozenset("nav footer aside form head title button menu dialog fieldset".split())
 _NOISE = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted outbrain taboola
     nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager masthead topbar toolbar header footer foot sidebar aside rail widget widgets
     cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login paywall
@@ -87,7 +87,16 @@ def _judge(node: Node, attrs: str) -> None:
 def parse(page: str) -> Node:
     """Block tree; a node's children are nodes and strings (text with inline markup removed, references decoded)."""
     root = Node("body", None)
-    at, node, text, links, pos = root, root, [], 0, 0
+    at, text, links, pos = root, [], 0, 0
+
+    unclosed: dict[str, int] = {}  # open elements by name: an end tag without its start costs nothing
+
+    def leave(to: Node) -> Node:
+        nonlocal at
+        while at is not to:
+            unclosed[at.name] -= 1
+            at = at.parent
+        return at
 
     def put():
         if text:
@@ -128,25 +137,29 @@ def parse(page: str) -> Node:
             continue
         put()
         if closing:
-            node = at
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                at, links = node.parent, 0
+            if unclosed.get(name):
+                node = at
+                while node.name != name:
+                    node = node.parent
+                leave(node.parent)
+                links = 0
             continue
         if name in _CLOSES_P or name in ("td", "th", "tr"):
             node = at
             while node is not root and node.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 node = node.parent
-            at, links = (node, 0) if node is not at else (at, links)
+            if node is not at:
+                leave(node)
+                links = 0
         if at.name == name and name in ("li", "td", "th", "tr", "dd", "dt", "option"):
-            at = at.parent
+            leave(at.parent)
         new = Node(name, at, at.dropped)
         _judge(new, m["attrs"] or "")
         at.children.append(new)
         at.tags += 1
         if name not in _VOID:
             at = new
+            unclosed[name] = unclosed.get(name, 0) + 1
     read(page[pos:])
     put()
     return root

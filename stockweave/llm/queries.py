@@ -78,6 +78,43 @@ def queries():
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+def _url_sql(levels: int = 6) -> str:
+    """The template tree level by level, for paths of at most that many segments."""
+    u = urls
+    smooth = lambda above: f"(bad + {u.SMOOTH!r}::DOUBLE * {above}) / (known + {u.SMOOTH!r}::DOUBLE)"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')"
+    rules = [(text, verb, fits(*text.split("/", 1))) for verb, text in sorted(u.RULES, key=lambda r: -len(r[1]))]
+    case = lambda k: "CASE " + " ".join(f"WHEN {r[2]} THEN '{r[k]}'" for r in rules) + " END"
+    form = "CASE " + " ".join(f"WHEN regexp_matches(s, '{pat}'){' AND length(s) >= 8' if name == '{hex}' else ''} THEN '{name}'" for pat, name in u.FORMS) + " ELSE translate(s, '|*', '!+') END"
+    sums = "count(*) AS n, count(blocked) AS known, CAST(coalesce(sum(blocked), 0) AS BIGINT) AS bad"
+    parts = [
+        rf"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{u.UPPER}', '{u.LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)""",
+        f"r AS (SELECT *, {case(0)} AS rule, {case(1)} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {form}) AS seg FROM u)",
+        "b AS (SELECT *, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS blocked FROM r)",
+        "w AS (SELECT CAST(coalesce(sum(blocked), 0) + 1 AS DOUBLE) / (count(blocked) + 2) AS p FROM b)",
+        f"h AS (SELECT host, {smooth('(SELECT p FROM w)')} AS p FROM (SELECT host, {sums} FROM b GROUP BY host))",
+        f"f AS (SELECT s, {smooth('(SELECT p FROM w)')} AS p1 FROM (SELECT seg[1] AS s, {sums} FROM b WHERE len(seg) > 0 GROUP BY 1))",
+        "t0 AS (SELECT b.*, '' AS t, h.p FROM b JOIN h USING (host))",
+    ]
+    for k in range(1, levels + 1):
+        above = "CASE WHEN label = seg[1] THEN (p + p1) / 2 ELSE p END" if k == 1 else "p"
+        parts += [
+            f"c{k} AS (SELECT *, n >= {u.LEAST_COUNT} AND n >= {u.LEAST_SHARE!r}::DOUBLE * sum(n) OVER (PARTITION BY host, t) AS kept FROM (SELECT host, t, seg[{k}] AS s, {sums} FROM t{k - 1} WHERE len(seg) >= {k} GROUP BY ALL))",
+            f"d{k} AS (SELECT *, lag(known) OVER o AS k0, lag(bad) OVER o AS b0 FROM c{k} WHERE kept AND known > 0 WINDOW o AS (PARTITION BY host, t ORDER BY bad / known, s))",
+            f"e{k} AS (SELECT *, coalesce((bad / known - b0 / k0) * (bad / known - b0 / k0) > {u.Z!r}::DOUBLE * {u.Z!r}::DOUBLE * (((b0 + bad + 1) / (k0 + known + 2)) * (1 - (b0 + bad + 1) / (k0 + known + 2)) * (1 / k0 + 1 / known)), false) AS differ FROM d{k})",
+            f"g{k} AS (SELECT *, sum(CAST(differ AS INTEGER)) OVER (PARTITION BY host, t ORDER BY bad / known, s ROWS UNBOUNDED PRECEDING) AS band FROM e{k})",
+            f"""l{k} AS (SELECT host, t, s, string_agg(s, '|') OVER (PARTITION BY host, t, band ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label FROM g{k}
+                UNION ALL SELECT host, t, s, CASE WHEN kept THEN s ELSE '*' END FROM c{k} WHERE NOT kept OR known = 0)""",
+            f"m{k} AS (SELECT x.* EXCLUDE (t, p), x.t || '/' || label AS t, {above} AS p FROM t{k - 1} x JOIN l{k} ON x.host = l{k}.host AND x.t = l{k}.t AND x.seg[{k}] = l{k}.s{' JOIN f ON x.seg[1] = f.s' if k == 1 else ''})",
+            f"n{k} AS (SELECT host, t, {smooth('above')} AS q FROM (SELECT host, t, max(p) AS above, {sums} FROM m{k} GROUP BY ALL))",
+            f"t{k} AS (SELECT m.* EXCLUDE (p), q AS p FROM m{k} m JOIN n{k} USING (host, t))",
+        ]
+    ended = " UNION ALL ".join(f"SELECT page_id, host, path, rule, ruled, p FROM t{k} WHERE len(seg) {'=' if k < levels else '>='} {k}" for k in range(levels + 1))
+    # a part that several others read is worked out once
+    shared = [p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts]
+    return f"WITH {', '.join(shared)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN p >= {u.REJECT!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM ({ended})"
+
+
 _ORACLES = {
     "op1_minhash_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_WORD}') AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, greatest(1, len(w) - 4) + 1)]) END AS s FROM w),
@@ -93,6 +130,7 @@ _ORACLES = {
         t AS (SELECT source, source_size, CASE WHEN stopped THEN CAST(cap AS DOUBLE) ELSE CAST(weight AS DOUBLE) * CAST(total - coalesce(sum(cap) FILTER (stopped) OVER (), 0) AS DOUBLE) / CAST(sum(weight) FILTER (NOT stopped) OVER () AS DOUBLE) END AS target FROM f),
         p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken FROM p""",
+    "op3_url_filter": _url_sql(),
     "op6_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
         r AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))

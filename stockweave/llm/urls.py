@@ -4,12 +4,15 @@ Rules judge a url first: a rule ``host/path`` fits its host and all subdomains w
 its path; the longest wins. Urls that a rule judges are the labels of the tree:
 
 1. Path segments that look variable (numbers, hexadecimal runs, words with digits) become wildcards; urls are
-   counted by (host, first ``DEPTH`` segments).
-2. Level by level, segments that are rare under their parent become ``*``, and so do branches whose share of
-   blocked urls does not differ from their parent's (a two-sided z test): similar branches merge.
-3. Each node's purity is its share of blocked urls, smoothed towards its parent's; a host's parent is the first
-   segment over all hosts, whose parent is the whole. A url without a rule is blocked where the purity of its
-   deepest node reaches ``REJECT``.
+   counted by (host, segments). Empty segments do not count; from the ``LEVELS``-th on, the rest of a path is one segment.
+2. Level by level, down to the deepest path, the segments below a node that are rare there become ``*``; so at most
+   1 / LEAST_SHARE stay. Those with labels are put in order of their share of blocked urls, and neighbours whose shares
+   do not differ (a two-sided z test of two proportions) merge into one branch ``a|b``. Branches without labels stay apart.
+3. A node's purity is its share of blocked urls, smoothed towards its parent's. The root's parent is the host, the host's the
+   whole; a branch of one segment starts half-way between its host and that segment over all hosts. A url without a
+   rule is blocked where the purity of its deepest node reaches ``REJECT``.
+
+A node that very many rows share is dealt to several places (``spread_join``).
 
 Defined results: a null url, or one without ``://``, has an empty host and path; an empty table gives no rows;
 repeated rows are judged alike; other columns are ignored.
@@ -19,14 +22,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockweave.llm.graph import hot_keys, spread_join
 from stockweave.session import materialize
 
 #: (verdict, host/path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH, LEAST_SHARE, LEAST_COUNT, Z, SMOOTH, REJECT = 3, 0.02, 5, 1.96, 4.0, 0.5
+LEVELS, LEAST_SHARE, LEAST_COUNT, Z, SMOOTH, REJECT = 16, 0.02, 5, 1.96, 4.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"^(?s).*?://([^/?#]*)([^?#]*)"
 
@@ -50,54 +54,90 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def segment(path: Column, k: int) -> Column:
-    """The k-th path segment (from 1), generalised by its form; empty if there is none."""
-    s = F.coalesce(F.get(F.split(path, "/"), F.lit(k)), F.lit(""))
-    return F.when(s.rlike(r"^[0-9]+$"), "{number}").when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), "{hex}").when(s.rlike("[0-9]"), "{mixed}").otherwise(s)
+#: Forms of variable segments, the first that fits: (pattern, wildcard).
+FORMS = ((r"^[0-9]+$", "{number}"), (r"^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$", "{hex}"), (r"[0-9]", "{mixed}"))
+
+
+def _form(segment: Column) -> Column:
+    out = F.translate(segment, "|*", "!+")  # these two are the template's own marks
+    for pattern, name in reversed(FORMS):
+        fits = segment.rlike(pattern)
+        out = F.when(fits & (F.char_length(segment) >= 8) if name == "{hex}" else fits, name).otherwise(out)
+    return out
+
+
+def segments(path: Column, levels: int = LEVELS) -> Column:
+    """array<string>: the path's segments, generalised by form; from the last level on, the rest is one segment."""
+    given = F.filter(F.split(path, "/"), lambda s: s != "")
+    rest = F.array_join(F.slice(given, levels, 1 << 30), "/")
+    whole = F.when(F.size(given) < levels, given).otherwise(F.concat(F.slice(given, 1, levels - 1), F.array(rest)))
+    return F.transform(whole, _form)
+
+
+def _smooth(bad: Column, known: Column, above: Column) -> Column:
+    return (bad + SMOOTH * above) / (known + SMOOTH)
+
+
+def _labels(child: DataFrame) -> DataFrame:
+    """(host, t, s, label): what the segments below each node (host, t) become. child is a written table."""
+    node = ["host", "t"]
+    above = materialize(child.groupBy(*node).agg(F.sum("n").alias("pn"), F.count("*").alias("n_")), "url-parents")
+    rows = spread_join(child.select(*node, "s", "n", "known", "bad"), above.select(*node, "pn"), node, hot_keys(above, node))
+    kept = (F.col("n") >= LEAST_COUNT) & (F.col("n") >= LEAST_SHARE * F.col("pn"))
+    # at most 1 / LEAST_SHARE rows a node from here on
+    order = Window.partitionBy(*node).orderBy(F.col("bad") / F.col("known"), "s")
+    known, bad = F.lag("known").over(order), F.lag("bad").over(order)
+    shown = rows.where(kept & (F.col("known") > 0)).withColumns({"k0": known, "b0": bad})
+    pooled = (F.col("b0") + F.col("bad") + 1) / (F.col("k0") + F.col("known") + 2)
+    gap = F.col("bad") / F.col("known") - F.col("b0") / F.col("k0")
+    differ = gap * gap > Z * Z * (pooled * (1 - pooled) * (1 / F.col("k0") + 1 / F.col("known")))
+    banded = shown.withColumn("band", F.sum(F.when(differ, 1).otherwise(0)).over(order))
+    joint = banded.groupBy(*node, "band").agg(F.sort_array(F.collect_list("s")).alias("members"))
+    merged = joint.select(*node, F.explode("members").alias("s"), F.array_join("members", "|").alias("label"))
+    alone = rows.where(kept & (F.col("known") == 0)).select(*node, "s", F.col("s").alias("label"))
+    rare = rows.where(~kept).select(*node, "s", F.lit("*").alias("label"))
+    return merged.unionByName(alone).unionByName(rare)
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
-    """(host, s1..sN, blocked) -> (host, s1..sN, purity): every template's smoothed share of blocked urls.
+    """(host, segments, blocked) -> (host, segments, template, purity): every template's smoothed share of blocked urls.
 
     blocked: 1, 0 or null (no label).
     """
-    levels = [f"s{k}" for k in range(1, DEPTH + 1)]
-    counts = labelled.groupBy("host", *levels).agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
-    tree = materialize(counts, "templates")
-    parent, kept = ["host"], []
-    for k, level in enumerate(levels, 1):
-        child = tree.groupBy(*parent, level).agg(F.sum("n").alias("cn"), F.sum("known").alias("ck"), F.sum("bad").alias("cb"))
-        above = child.groupBy(*parent).agg(F.sum("cn").alias("pn"), F.sum("ck").alias("pk"), F.sum("cb").alias("pb"))
-        rate = (F.col("pb") + 1) / (F.col("pk") + 2)
-        spread = F.sqrt(rate * (1 - rate) / F.greatest(F.col("ck"), F.lit(1)))
-        alike = F.abs((F.col("cb") + rate) / (F.col("ck") + 1) - rate) <= Z * spread
-        rare = F.col("cn") < F.greatest(F.lit(float(LEAST_COUNT)), LEAST_SHARE * F.col("pn"))
-        named = child.join(above, parent).select(*parent, level, F.when(rare | alike, "*").otherwise(F.col(level)).alias(f"t{k}"))
-        tree = tree.join(named, [*parent, level])
-        kept.append(f"t{k}")
-        parent = ["host", *kept]
-    tree = materialize(tree, "template-tree")
-    # purity from the whole down: every node is smoothed towards the node above it
-    whole = tree.agg(((F.sum("bad") + 1) / (F.sum("known") + 2)).alias("p"))
-    smooth = lambda bad, known, up: (bad + SMOOTH * up) / (known + SMOOTH)
-    first = tree.groupBy("s1").agg(F.sum("bad").alias("b"), F.sum("known").alias("k")).join(F.broadcast(whole)).select("s1", smooth(F.col("b"), F.col("k"), F.col("p")).alias("p"))
-    hosts = tree.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("known").alias("hk"))
-    out = tree.join(first, "s1").join(hosts, "host").withColumn("p", smooth(F.col("hb"), F.col("hk"), F.col("p"))).drop("hb", "hk")
-    for k in range(1, DEPTH + 1):
-        node = ["host", *kept[:k]]
-        own = tree.groupBy(*node).agg(F.sum("bad").alias("nb"), F.sum("known").alias("nk"))
-        out = out.join(own, node).withColumn("p", smooth(F.col("nb"), F.col("nk"), F.col("p"))).drop("nb", "nk")
-    return out.select("host", *levels, *kept, F.col("p").alias("purity"))
+    tree = labelled.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
+    tree = materialize(tree.withColumn("s", F.get("segments", F.lit(0))), "templates")
+    counts = [F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"), F.count("*").alias("n_")]
+    whole = tree.agg(((F.sum("bad") + 1) / (F.sum("known") + 2)).alias("p"), F.max(F.size("segments")).alias("depth")).first()
+    start = F.lit(1.0 if whole["p"] is None else whole["p"])
+    hosts = materialize(tree.groupBy("host").agg(*counts), "url-hosts")
+    firsts = materialize(tree.where("s is not null").groupBy("s").agg(*counts), "url-firsts")
+    tree = spread_join(tree, hosts.select("host", _smooth(F.col("bad"), F.col("known"), start).alias("p")), "host", hot_keys(hosts, "host"))
+    tree = tree.withColumn("t", F.lit(""))
+    done = tree.where("s is null")
+    first = spread_join(tree.where("s is not null"), firsts.select("s", _smooth(F.col("bad"), F.col("known"), start).alias("p1")), "s", hot_keys(firsts, "s"))
+    tree = materialize(first, "url-level")
+    node = ["host", "t"]
+    for level in range(1, (whole["depth"] or 0) + 1):
+        child = materialize(tree.groupBy(*node, "s").agg(*counts), "url-children")
+        named = spread_join(tree, _labels(child), [*node, "s"], hot_keys(child, [*node, "s"]))
+        above = F.when(F.col("label") == F.col("s"), (F.col("p") + F.col("p1")) / 2).otherwise(F.col("p")) if level == 1 else F.col("p")
+        named = materialize(named.select("host", "segments", "n", "known", "bad", "s", F.concat("t", F.lit("/"), "label").alias("t"), above.alias("p")), "url-level")
+        nodes = materialize(named.groupBy(*node).agg(*counts, F.max("p").alias("above")), "url-nodes")
+        tree = spread_join(named.drop("p"), nodes.select(*node, _smooth(F.col("bad"), F.col("known"), F.col("above")).alias("p")), node, hot_keys(nodes, node))
+        tree = materialize(tree.withColumn("s", F.get("segments", F.lit(level))), "url-level")
+        done = done.unionByName(tree.where("s is null"))
+        tree = tree.where("s is not null")
+    return done.select("host", "segments", F.when(F.col("t") == "", "/").otherwise(F.col("t")).alias("template"), F.col("p").alias("purity"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row of pages(page_id, url)."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumns({"rule": rule, "ruled": verdict} | {f"s{k}": segment(F.col("path"), k) for k in range(1, DEPTH + 1)})
-    tree = template_tree(ruled.withColumn("blocked", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)))
-    levels = [f"s{k}" for k in range(1, DEPTH + 1)]
-    out = ruled.join(tree, ["host", *levels])
+    ruled = materialize(parts.withColumns({"rule": rule, "ruled": verdict, "segments": segments(F.col("path"))}), "urls")
+    found = template_tree(ruled.withColumn("blocked", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)))
+    key = ["host", "segments"]
+    counts = materialize(ruled.groupBy(*key).agg(F.count("*").alias("n_")), "url-counts")
+    out = spread_join(ruled, found, key, hot_keys(counts, key))
     learned = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    template = F.concat(F.lit("/"), F.concat_ws("/", *[f"t{k}" for k in range(1, DEPTH + 1)]))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), template.alias("template"), "purity")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "template", "purity")
