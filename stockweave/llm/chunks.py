@@ -8,11 +8,12 @@ set of chunk digests, each with its length: ``digest length`` as hexadecimal tex
 
 ``edited_with_next`` walks documents in descending doc_id and pairs each with the one after it (the last with
 the first). Documents are dealt to key ranges and sorted inside each; a range also gets the first document of
-the range below it, so that every pair meets in one task with one shuffle of the text.
+the range below it, so that every pair meets in one task with one shuffle of the text. An id with very many rows, or
+very many null ids, are cut further by a hash of the text, so that no range takes all of them.
 
 Defined results: null text is empty; an empty text has an empty fingerprint; two empty fingerprints are alike
-(1.0), an empty and another one are not (0.0); rows of equal doc_id follow one another by text; a null doc_id
-comes last; a table of one row follows itself; an empty table gives no rows; other columns are ignored.
+(1.0), an empty and another one are not (0.0); rows of equal doc_id follow one another by a
+hash of the text, then the text (equal texts have one fingerprint, whichever comes first); a null doc_id comes last; a table of one row follows itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,30 +114,40 @@ def edited_with_next(docs: DataFrame, ranges_per_partition: int = 8) -> DataFram
     spark = docs.sparkSession
     attach(spark)
     n = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     wanted = n * ranges_per_partition
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0] or []
-    bounds = np.array(sorted(set(bounds)), np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:  # nulls come under all others
-        known = ids.fillna(0).to_numpy(np.int64)
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(bounds, known)), dtype="int32")
-
-    ranged = rows.withColumn("r", range_of("doc_id"))
-    heads = ranged.select("r", "doc_id").groupBy("r").agg(F.max("doc_id").alias("head"))
-    listed = sorted((r["r"], r["head"]) for r in heads.collect())  # a row per range
+    points = [k / wanted for k in range(1, wanted)]
+    total, known, found = docs.agg(F.count("*"), F.count("doc_id"), F.percentile_approx(F.col("doc_id").cast("long"), points, 20 * wanted)).first()
+    bounds, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    null_cuts = max(1, -(-(total - known) * wanted // max(total, 1)))
+
+    @F.pandas_udf("long")
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Ascending with (doc_id, hash), nulls under all others; a bound that several quantiles share is cut that often."""
+        values, missing = ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy()
+        part = lambda cuts: ((hashes.to_numpy(np.int64) >> 40) + (1 << 23)) * cuts >> 24
+        k = np.searchsorted(bounds, values)
+        own = np.minimum(k, max(len(bounds) - 1, 0))
+        on_bound = (bounds[own] == values) & (k < len(bounds)) if len(bounds) else np.zeros(len(values), bool)
+        cuts = np.where(on_bound, times[own], 0) if len(bounds) else np.zeros(len(values), np.int64)
+        return pd.Series(np.where(missing, part(null_cuts) - null_cuts, k * (wanted + 1) + np.where(on_bound, 1 + part(cuts), 0)))
+
+    ranged = rows.withColumn("r", range_of("doc_id", "h"))
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
+    heads = ranged.select("r", "doc_id", "h").groupBy("r").agg(F.max(first).alias("head"))
+    listed = sorted((r["r"], r["head"]["doc_id"], r["head"]["h"]) for r in heads.collect())  # a row per range
     # a range's last row is followed by the head of the next lower range with rows, the lowest one's by the head of all
-    follows = spark.createDataFrame([(r, head, listed[k + 1][0] if k + 1 < len(listed) else listed[0][0]) for k, (r, head) in enumerate(listed)], "hr int, head long, gets int")
+    follows = spark.createDataFrame([(r, head, h, listed[k + 1][0] if k + 1 < len(listed) else listed[0][0]) for k, (r, head, h) in enumerate(listed)], "hr long, head long, hh long, gets long")
     ghosts = (
-        ranged.join(F.broadcast(follows), (F.col("r") == F.col("hr")) & F.col("doc_id").eqNullSafe(F.col("head")))
+        ranged.join(F.broadcast(follows), (F.col("r") == F.col("hr")) & (F.col("h") == F.col("hh")) & F.col("doc_id").eqNullSafe(F.col("head")))
         .groupBy("gets")
         .agg(F.max(F.struct("doc_id", "text")).alias("x"))
-        .select(F.col("gets").alias("r"), F.lit(True).alias("ghost"), "x.doc_id", "x.text")
+        .select(F.col("gets").alias("r"), F.lit(True).alias("ghost"), "x.doc_id", "x.text", F.lit(0).cast("long").alias("h"))
     )
-    both = ranged.select("r", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts)
-    walk = both.repartition(n, "r").sortWithinPartitions("r", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return walk.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    both = ranged.select("r", F.lit(False).alias("ghost"), "doc_id", "text", "h").unionByName(ghosts)
+    walk = both.repartition(n, "r").sortWithinPartitions("r", "ghost", F.col("doc_id").desc_nulls_last(), F.desc("h"), F.col("text").desc())
+    return walk.drop("h").mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _walk(batches):
@@ -146,7 +157,7 @@ def _walk(batches):
         out = []
         for r, ghost, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             text = text.as_py()
-            chunks = chunk_set(text.encode())
+            chunks = before[3] if before and before[2] == text else chunk_set(text.encode())
             if before and before[0] == r:
                 _, own_id, own, own_chunks = before
                 edited = edit(own, text).encode()

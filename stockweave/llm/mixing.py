@@ -10,8 +10,8 @@ the list of ranges and inside each range. A source's budget gives whole epochs a
 key order at the exact word.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own, sorted
-last; rows of equal key are ordered by size and content; repeated rows each count; an empty table gives no rows;
-other columns pass by.
+last; rows of equal key are ordered by size and content, and lie in one range; repeated rows each count; an empty table
+gives no rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -56,25 +56,36 @@ def order_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3, share: float = 1.0, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, row_key of every row of docs(doc_id, source, text)."""
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("order_key"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("row_key")), "sizes")
+def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("order_key"), F.xxhash64("text").alias("content"), *more)
+
+
+def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], limit: int, share: float) -> DataFrame:
+    """rows with source_size, target and taken; sized is the written table of their sizes."""
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, limit, share)
     plan = plan.withColumns({"ranges": F.greatest(F.lit(1), F.ceil(F.sqrt("n_rows"))).cast("long"), "source_key": F.xxhash64(F.coalesce("source", F.lit("\u0000null")))})
-    plan = materialize(plan, "targets")
-    # the first 52 bits of the key as a fraction: ranges in key order
-    fraction = F.conv(F.substring("order_key", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    keyed = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({"range": F.floor(fraction * F.col("ranges")).cast("long")})
-    sums = keyed.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
+    plan = materialize(plan.withColumnRenamed("source", "s").drop("weight", "n_rows"), "targets")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        # the first 52 bits of the key as a fraction: ranges in key order
+        fraction = F.conv(F.substring("order_key", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+        return df.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("range", F.floor(fraction * F.col("ranges")).cast("long"))
+
+    sums = keyed(sized).groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     over = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_key", "range", F.coalesce(F.sum("range_size").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_key", "range").orderBy("order_key", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.join(offsets, ["source_key", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source_key", "range").orderBy("order_key", "size", "content").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed(rows).join(offsets, ["source_key", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_key")
+    return placed.withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3, share: float = 1.0, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row of docs(doc_id, source, text)."""
+    sized = materialize(_sized(docs, seed), "sizes")
+    return _taken(sized, sized, weights, limit, share).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -83,15 +94,16 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(starts, 1, n.cast("int")), "")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3, share: float = 1.0, seed: int = 7) -> DataFrame:
     """The mixed corpus: a row for every whole repeat of a document, and the first words of a cut one.
 
-    Rows equal in doc_id, source and text share what they take evenly, to a word.
+    Every row, repeated ones too, gives exactly the words that ``mix`` grants it: rows travel with their plan.
     """
-    seed = options.get("seed", 7)
-    plan = mix(docs, **options).groupBy("row_key").agg(F.max("size").alias("size_"), F.floor(F.avg("taken")).alias("taken_"))
-    keyed = docs.withColumn("row_key", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
-    copies = F.expr("transform(sequence(1, cast(ceil(taken_ / size_) as int)), i -> least(size_, taken_ - (i - 1) * size_))")
-    out = keyed.join(plan.where("taken_ > 0"), "row_key").withColumn("words_", F.explode(copies))
-    text = F.when(F.col("words_") < F.col("size_"), first_words(F.col("text"), F.col("words_"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    sized = materialize(_sized(docs, seed), "sizes")
+    rows = _taken(_sized(docs, seed, F.struct("*").alias("row_")), sized, weights, limit, share).where("taken > 0")
+    copies = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")
+    out = rows.select("row_", "size", F.explode(copies).alias("words"))
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("row_.text"), F.col("words"))).otherwise(F.col("row_.text"))
+    mixed = out.withColumn("text", text)
+    own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return mixed.select(*[own.get(c, F.col("row_").getField(c)).alias(c) for c in docs.columns])

@@ -6,8 +6,9 @@ rest. A tier's queue becomes a sequence once it fills the tier's window: whole d
 filled from shorter tiers, and only when these have nothing left is a document cut. What a task holds at its
 end goes out as sequences whose lengths are powers of two, which need no padding. A task holds less than one window a tier.
 
-Step groups: sequences of one tier are dealt to groups of ``step_tokens`` tokens, so that every optimiser step
-sees the same number of tokens; a task's tail sequences share its last group.
+Step groups: sequences of one tier are held until they make a group of ``step_tokens`` tokens, so that every optimiser
+step sees the same number of tokens. What is left at a task's end, of all tiers and the tail, is dealt to groups of that size
+together, largest sequences first: only a task's last group is smaller. A task holds less than one group a tier.
 
 Defined results: null text is empty (only the end id); every row is packed, repeated ones too; an empty table
 gives no pieces; other columns are ignored. sequence_id is unique over tasks.
@@ -31,21 +32,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 class Packer:
-    """A piece is (doc_id, start, length, ids as bytes of 4 a token, tokens of its document)."""
+    """A piece is (doc_id, start, length, ids as a view of 4 bytes a token, tokens of its document); cutting moves the view."""
 
     def __init__(self, tiers=TIERS, step_tokens=8 * 4096, first_id=0):
-        self.tiers, self.step_tokens, self.next_id = sorted(tiers), step_tokens, first_id
+        self.tiers, self.step_tokens, self.next_id, self.next_group = sorted(tiers), step_tokens, first_id, first_id
         self.queues = {t: deque() for t in self.tiers}
         self.held = dict.fromkeys(self.tiers, 0)
-        self.groups = dict.fromkeys(self.tiers, (first_id, 0))
-        self.next_group = first_id
+        self.waiting: dict[int, list] = {t: [] for t in self.tiers}
         self.out: list[tuple] = []
-        for t in self.tiers:
-            self.groups[t] = (self._new_group(), 0)
-
-    def _new_group(self) -> int:
-        self.next_group += 1
-        return self.next_group - 1
 
     def _push(self, piece: tuple, front: bool = False) -> None:
         tier = next(t for t in self.tiers if piece[2] <= t)
@@ -57,21 +51,26 @@ class Packer:
         d, s, length, ids, total = piece
         return (d, s, n, ids[: 4 * n], total), (d, s + n, length - n, ids[4 * n :], total)
 
-    def _emit(self, pieces: list[tuple], tier: int, group: int) -> None:
-        at = 0
-        for d, s, n, ids, total in pieces:
-            self.out.append((d, s, n, ids, total, self.next_id, at, tier, group))
-            at += n
-        self.next_id += 1
+    def _close(self, sequences: list[tuple[int, list]]) -> None:
+        """Write a step group of (size, pieces) sequences."""
+        for size, pieces in sequences:
+            at = 0
+            for d, s, n, ids, total in pieces:
+                self.out.append((d, s, n, bytes(ids), total, self.next_id, at, size, self.next_group))
+                at += n
+            self.next_id += 1
+        self.next_group += 1
 
     def _sequence(self, tier: int, pieces: list[tuple]) -> None:
-        group, n = self.groups[tier]
-        self._emit(pieces, tier, group)
-        self.groups[tier] = (group, n + tier) if n + tier < self.step_tokens else (self._new_group(), 0)
+        waiting = self.waiting[tier]
+        waiting.append((tier, pieces))
+        if (len(waiting) + 1) * tier > self.step_tokens:
+            self._close(waiting)
+            self.waiting[tier] = []
 
     def add(self, doc_id, ids: bytes) -> None:
         total, top = len(ids) // 4, self.tiers[-1]
-        piece = (doc_id, 0, total, ids, total)
+        piece = (doc_id, 0, total, memoryview(ids), total)
         while piece[2] > top:
             window, piece = self._cut(piece, top)
             self._sequence(top, [window])
@@ -108,7 +107,8 @@ class Packer:
 
     def finish(self) -> None:
         rest = deque(p for t in reversed(self.tiers) for p in self.queues[t])
-        left, top, group = sum(p[2] for p in rest), self.tiers[-1], self._new_group()
+        left, top = sum(p[2] for p in rest), self.tiers[-1]
+        open_ = [s for t in self.tiers for s in self.waiting[t]]
         while left:
             size = min(top, 1 << (left.bit_length() - 1))
             pieces, room = [], size
@@ -119,11 +119,21 @@ class Packer:
                     rest.appendleft(tail)
                 pieces.append(piece)
                 room -= piece[2]
-            self._emit(pieces, size, group)
+            open_.append((size, pieces))
             left -= size
+        # sizes are powers of two, or tiers: the largest first, every group but the last fills up
+        group, n = [], 0
+        for size, pieces in sorted(open_, key=lambda x: -x[0]):
+            if group and n + size > self.step_tokens:
+                self._close(group)
+                group, n = [], 0
+            group.append((size, pieces))
+            n += size
+        if group:
+            self._close(group)
         for t in self.tiers:
             self.queues[t].clear()
-            self.held[t] = 0
+            self.held[t], self.waiting[t] = 0, []
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = 8 * 4096) -> DataFrame:
