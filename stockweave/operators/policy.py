@@ -15,7 +15,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.functions.expr import lot_size, quantile_at, rolling_sums, sample_std, total, upper_level, whole_up, z_score
+from stockweave.functions.expr import let, lot_size, quantile_at, rolling_sums, sample_std, total, upper_level, whole_up, z_score
 from stockweave.params import CLASSIC_WINDOW, EXTEND_CYCLE, HORIZON, N_EVAL, Costs
 from stockweave.session import attach
 
@@ -123,7 +123,9 @@ def scenarios(spark: SparkSession, methods: Iterable[str], levels: Iterable[floa
 
 
 def safety_stock(sigma: Column, lead_time: Column, z: Column) -> Column:
-    return F.greatest(z * sigma * F.sqrt(lead_time), F.lit(0.0))
+    """z * sigma * sqrt(lead time), 0 at least; a negative lead time fails."""
+    sound = F.when(lead_time < 0, F.raise_error(F.lit("a lead time is not negative")).cast("double")).otherwise(F.sqrt(lead_time))
+    return F.greatest(z * sigma * sound, F.lit(0.0))
 
 
 def window_stock(w: Column) -> Column:
@@ -139,19 +141,18 @@ def decisions(basis: DataFrame, scenario: DataFrame, horizon: int = HORIZON, n_e
 
     basis carries price. The last window also owns its end.
     """
-    rows = basis.crossJoin(F.broadcast(scenario)).withColumn("stock", F.transform("windows", window_stock))
-
-    def spread(f) -> Column:
-        def of(k: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.lit(horizon + (k == n_eval - 1))), lambda i: f(F.col("windows")[k], F.col("stock")[k], i))
-
-        return F.concat(*[of(k) for k in range(n_eval)])
-
+    lot = lambda w: lot_size(w["daily"], F.col("price"), order_cost=F.col("order_cost"), holding_rate=F.col("holding_rate"))
+    rows = basis.crossJoin(F.broadcast(scenario))
+    # once per window: its stock, lot, and the reorder points of all of its days
+    plan = F.transform("windows", lambda w: let(window_stock(w), lambda s: F.struct(s.alias("ss"), lot(w).alias("lot"), F.transform(w["mu"], lambda m: whole_up(F.greatest(m + s, F.lit(0.0)))).alias("rop"))))
+    rows = rows.withColumn("plan", plan)
+    days = lambda k: F.when(k == n_eval - 1, horizon + 1).otherwise(horizon)
+    spread = lambda f: F.flatten(F.transform("plan", f))
     return rows.select(
         "unique_id", "policy", "lead_time", "ss_method", "service_level", "order_cost", "holding_rate", "price",
-        spread(lambda w, s, i: s).alias("ss"),
-        spread(lambda w, s, i: whole_up(F.greatest(F.get(w["mu"], i - 1) + s, F.lit(0.0)))).alias("rop"),
-        spread(lambda w, s, i: lot_size(w["daily"], F.col("price"), order_cost=F.col("order_cost"), holding_rate=F.col("holding_rate"))).alias("lot"),
+        spread(lambda w, k: F.array_repeat(w["ss"], days(k))).alias("ss"),
+        spread(lambda w, k: F.slice(w["rop"], F.lit(1), days(k))).alias("rop"),
+        spread(lambda w, k: F.array_repeat(w["lot"], days(k))).alias("lot"),
     )
 
 

@@ -24,8 +24,8 @@ FILL_TARGETS = (0.90, 0.95, 0.98)
 FRONTIER_LEVELS = (0.001, 0.01, 0.03, 0.07, 0.15, 0.25, 0.35, 0.50, 0.60, 0.70, 0.80, 0.85, 0.90, 0.925, 0.95, 0.965, 0.98, 0.99, 0.995, 0.999, 0.9999, 0.99999)
 ORDER_COSTS, HOLDING_RATES = (2.5, 5.0, 10.0), (0.15, 0.25, 0.35)
 
-#: The panel that the catalogue builds from lineitem and part ends here; weeks begin on Saturdays.
-PANEL_END, WEEK_ZERO = dt.date(2001, 7, 31), dt.date(1994, 12, 31)
+#: Weeks of the catalogue's panel begin on Saturdays.
+WEEK_ZERO = dt.date(1994, 12, 31)
 #: (month, day, name, type)
 EVENTS = ((2, 1, "SuperBowl", "Sporting"), (5, 10, "MothersDay", "Cultural"), (11, 25, "Thanksgiving", "National"), (12, 25, "Christmas", "National"))
 

@@ -108,7 +108,8 @@ def unpivot_price_join(p):
 
 @query
 def future_exog(p):
-    ahead = p.sparkSession.range(1, 61).select(F.date_add(F.lit(params.PANEL_END), F.col("id").cast("int")).alias("ds")).withColumns(panels.calendar_columns(F.col("ds")))
+    last = p.agg(F.max("ds").alias("last"))  # one row
+    ahead = last.select(F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", 60))).alias("ds")).withColumns(panels.calendar_columns(F.col("ds")))
     known = p.groupBy("unique_id", "wm_yr_wk").agg(F.max("sell_price").alias("sell_price"))
     return panels.build_future(p, ahead, known)
 
@@ -344,14 +345,13 @@ def rop_eoq_lot(p):
     return rows.select("unique_id", "policy", "lead_time", "d", "x.rop", "x.lot")
 
 
-def _grid(p, lead_times, scenario, fold=False) -> DataFrame:
-    run = simulate.simulate_fold if fold else simulate.simulate
-    return simulate.by_sku(run(_decided(p, lead_times, scenario)))
+def _grid(p, lead_times, scenario) -> DataFrame:
+    return simulate.by_sku(simulate.simulate(_decided(p, lead_times, scenario)))
 
 
 @shared
 def sim_single(p):
-    return _grid(p, [params.DEFAULT_LEAD], _default(p), fold=True).drop("order_cost", "holding_rate", "lost_days", "days")
+    return _grid(p, [params.DEFAULT_LEAD], _default(p)).drop("order_cost", "holding_rate", "lost_days", "days")
 
 
 @shared

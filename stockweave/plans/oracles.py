@@ -10,19 +10,21 @@ from stockweave import params
 MONEY = frozenset("revenue units y y_ref demand abs_err err avg_inv_value avg_inv_units inv_classic inv_average weight Clasica SeasonalNaive_value mean_demand middle forecast_28d".split())
 
 CTES: dict[str, str] = {}
+#: Parts that several others read, or that a join would repeat: worked out once.
+SHARED = frozenset({"dense", "sales", "cv", "marg", "basis", "plan", "eval"})
 ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, ctes: str, select: str, doubles: str = "") -> None:
     """ctes: names of the first-level parts that select needs, in order."""
-    wanted = [f"{c} AS ({CTES[c]})" for c in ctes.split()]
+    wanted = [f"{c} AS {'MATERIALIZED ' if c in SHARED else ''}({CTES[c]})" for c in ctes.split()]
     replace = ", ".join(f'round("{c}", {2 if c in MONEY else 6}) AS "{c}"' for c in doubles.split())
     ORACLES[name] = f"WITH RECURSIVE {', '.join(wanted)} SELECT * {f'REPLACE ({replace})' if replace else ''} FROM ({select})"
 
 
 CTES["lines"] = """SELECT p_brand || '_' || p_type AS unique_id, p_brand AS item_id, p_type AS dept_id, CAST(l_shipdate AS DATE) AS ds, l_quantity AS quantity, CAST(round(p_retailprice * (1 - l_discount) * 10000) AS BIGINT) AS price
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_shipdate AS DATE) <= DATE '2001-07-31'"""
-CTES["spine"] = "SELECT unique_id, item_id, dept_id, CAST(unnest(generate_series(min(ds), DATE '2001-07-31', INTERVAL 1 DAY)) AS DATE) AS ds FROM lines GROUP BY unique_id, item_id, dept_id"
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_shipdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"""
+CTES["spine"] = "SELECT unique_id, item_id, dept_id, CAST(unnest(generate_series(min(ds), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders), INTERVAL 1 DAY)) AS DATE) AS ds FROM lines GROUP BY unique_id, item_id, dept_id"
 CTES["dense"] = """SELECT s.*, coalesce(q.y, 0.0) AS y, CAST(floor((s.ds - DATE '1994-12-31') / 7.0) AS INTEGER) AS wm_yr_wk
     FROM spine s LEFT JOIN (SELECT unique_id, ds, sum(quantity) AS y FROM lines GROUP BY ALL) q USING (unique_id, ds)"""
 CTES["weekprice"] = """SELECT unique_id, wm_yr_wk, last_value(p IGNORE NULLS) OVER (PARTITION BY unique_id ORDER BY wm_yr_wk ROWS UNBOUNDED PRECEDING) AS sell_price FROM
@@ -50,7 +52,7 @@ oracle("price_response", P, """SELECT bucket, sum(y) AS y, sum(yr) AS y_ref, cou
 oracle("wide_unpivot", P, "SELECT 'd_' || day(ds) AS d, count(*) AS n, CAST(sum(y) AS BIGINT) AS units FROM sales GROUP BY 1")
 oracle("unpivot_price_join", P, "SELECT unique_id, count(*) AS n, sum(y * p) AS revenue FROM (SELECT unique_id, y, min(sell_price) OVER (PARTITION BY unique_id, date_trunc('month', ds)) AS p FROM sales) GROUP BY 1", "revenue")
 oracle("future_exog", P, f"""SELECT unique_id, item_id, dept_id, ds, CAST(floor((ds - DATE '1994-12-31') / 7.0) AS INTEGER) AS wm_yr_wk, CAST(day(ds) <= 10 AS INTEGER) AS snap, {_CASES(0)} AS event_name_1, {_CASES(1)} AS event_type_1, sell_price
-    FROM (SELECT unique_id, item_id, dept_id, arg_max(sell_price, ds) AS sell_price FROM sales GROUP BY 1, 2, 3), (SELECT CAST(DATE '2001-07-31' + CAST(unnest(range(1, 29)) AS INTEGER) AS DATE) AS ds)""", "sell_price")
+    FROM (SELECT unique_id, item_id, dept_id, arg_max(sell_price, ds) AS sell_price FROM sales GROUP BY 1, 2, 3), (SELECT CAST(last + CAST(unnest(range(1, 29)) AS INTEGER) AS DATE) AS ds FROM (SELECT max(ds) AS last FROM sales))""", "sell_price")
 oracle("min_history_filter", P, "SELECT unique_id, count(*) AS n FROM sales GROUP BY 1 HAVING count(*) >= 2300")
 
 

@@ -15,11 +15,18 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def attach(spark: SparkSession) -> None:
-    """Make this package importable in Python workers and bound the size of their Arrow batches."""
+    """Make this package importable in Python workers and bound the size of their Arrow batches: for the whole session,
+    unless it has set a bound of its own."""
     try:
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in ("-1", str((1 << 31) - 1), str((1 << 63) - 1)):
+            return _ship(spark)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     except Exception:  # the setting is missing in this Spark: batches are then bounded by rows
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_stockweave_attached", False):
         return
@@ -33,21 +40,36 @@ def attach(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
+    folder (tests); on a cluster that is an error, as executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="stockweave-shared-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir() or named
     return named.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/stockweave/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/stockweave/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application has materialised. Results that still read one must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

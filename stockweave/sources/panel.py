@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockweave.params import EVENTS, HORIZON, MIN_HISTORY, PANEL_END, WEEK_ZERO
+from stockweave.params import EVENTS, HORIZON, MIN_HISTORY, WEEK_ZERO
 
 DAY_COLUMN = re.compile(r"^d_\d+$")
 CALENDAR = "date date, wm_yr_wk int, weekday string, wday int, month int, year int, d string, event_name_1 string, event_type_1 string, event_name_2 string, event_type_2 string, snap_CA int, snap_TX int, snap_WI int"
@@ -72,24 +72,30 @@ def calendar_columns(ds: Column) -> dict[str, Column]:
     return {"wm_yr_wk": week_of(ds), "snap": (F.dayofmonth(ds) <= 10).cast("int"), "event_name_1": name, "event_type_1": kind}
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unique_id, item_id, dept_id, ds, quantity, price (ten-thousandths) of every order line up to the panel's end."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_discount", F.col("l_shipdate").cast("date").alias("ds")).where(F.col("ds") <= F.lit(PANEL_END))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type", "p_retailprice")
-    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(F.concat_ws("_", "p_brand", "p_type").alias("unique_id"), F.col("p_brand").alias("item_id"), F.col("p_type").alias("dept_id"), "ds", F.col("l_quantity").alias("quantity"), F.round(F.col("p_retailprice") * (1 - F.col("l_discount")) * 10_000).cast("long").alias("price"))
+def panel_end(spark: SparkSession, sf_dir: str):
+    """The date of the last order: the days after it have shipments of older orders only, so demand is incomplete there."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.max(F.col("o_orderdate").cast("date"))).first()[0]
 
 
 def demand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of order lines: daily quantities from a series' first day to PANEL_END, weekly prices.
+    """The panel of order lines: daily quantities from a series' first day to the last order's, weekly prices.
 
-    One shuffle of pre-aggregated days does the lines; the rest is per series. Prices are whole 64ths, so that sums
-    of quantity times price are exact in any order.
+    lineitem is scanned once and shuffled once, in partial sums of a series' days; a second shuffle of these sums brings
+    a series' days together, where windows fill the gaps and carry prices. Prices are whole 64ths, so that sums of
+    quantity times price are exact in any order.
     """
-    daily = order_lines(spark, sf_dir).groupBy("unique_id", "item_id", "dept_id", "ds").agg(F.sum("quantity").alias("y"), F.sum("price").alias("paid"), F.count("*").alias("lines"))
-    spine = daily.groupBy("unique_id", "item_id", "dept_id").agg(F.min("ds").alias("first")).select("unique_id", "item_id", "dept_id", F.explode(F.sequence("first", F.lit(PANEL_END))).alias("ds"))
-    dense = spine.join(daily.select("unique_id", "ds", "y", "paid", "lines"), ["unique_id", "ds"], "left").withColumns(calendar_columns(F.col("ds")))
-    weekly = dense.groupBy("unique_id", "wm_yr_wk").agg((F.expr("sum(paid) * 64 div (sum(lines) * 10000)") / 64).alias("week_price"))
-    before = Window.partitionBy("unique_id").orderBy("wm_yr_wk").rowsBetween(Window.unboundedPreceding, 0)
-    carried = weekly.select("unique_id", "wm_yr_wk", F.last("week_price", ignorenulls=True).over(before).alias("sell_price"))
-    return dense.join(carried, ["unique_id", "wm_yr_wk"]).select("unique_id", "ds", F.coalesce("y", F.lit(0.0)).alias("y"), "item_id", "dept_id", "wm_yr_wk", "snap", "event_name_1", "event_type_1", "sell_price")
+    end = F.lit(panel_end(spark, sf_dir))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_discount", F.col("l_shipdate").cast("date").alias("ds")).where(F.col("ds") <= end)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_brand").alias("item_id"), F.col("p_type").alias("dept_id"), "p_retailprice")
+    paid = F.floor(F.col("p_retailprice") * (1 - F.col("l_discount")) * 10_000 + 0.5)  # whole ten-thousandths
+    daily = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("item_id", "dept_id", "ds").agg(F.sum("l_quantity").alias("y"), F.sum(paid).alias("paid"), F.count("*").alias("lines"))
+    series = Window.partitionBy("item_id", "dept_id")
+    next_day = F.lead("ds", 1).over(series.orderBy("ds"))
+    gaps = daily.withColumn("until", F.coalesce(F.date_sub(next_day, 1), end)).select("item_id", "dept_id", "y", "paid", "lines", F.posexplode(F.sequence("ds", "until")).alias("gap", "ds"))
+    own = lambda c, other: F.when(F.col("gap") == 0, F.col(c)).otherwise(other)
+    dense = gaps.select("item_id", "dept_id", "ds", own("y", F.lit(0.0)).alias("y"), own("paid", F.lit(None)).alias("paid"), own("lines", F.lit(None)).alias("lines")).withColumns(calendar_columns(F.col("ds")))
+    week = Window.partitionBy("item_id", "dept_id", "wm_yr_wk")
+    weekly = dense.withColumns({"w_paid": F.sum("paid").over(week), "w_lines": F.sum("lines").over(week)})
+    priced = weekly.withColumn("week_price", F.expr("w_paid * 64 div (w_lines * 10000)") / 64)
+    carried = F.last("week_price", ignorenulls=True).over(series.orderBy("ds").rowsBetween(Window.unboundedPreceding, 0))
+    return priced.select(F.concat_ws("_", "item_id", "dept_id").alias("unique_id"), "ds", "y", "item_id", "dept_id", "wm_yr_wk", "snap", "event_name_1", "event_type_1", carried.alias("sell_price"))

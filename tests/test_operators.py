@@ -22,6 +22,8 @@ def test_scalars(spark):
     with pytest.raises(ValueError):
         expr.z_score(1.0)
     assert value(spark, policy.safety_stock(F.lit(2.0), F.lit(9), F.lit(expr.z_score(0.95)))) == pytest.approx(9.869, abs=1e-3)
+    with pytest.raises(Exception, match="not negative"):
+        value(spark, policy.safety_stock(F.lit(2.0), F.lit(-1), F.lit(1.0)))
     assert value(spark, expr.eoq(F.lit(1000.0), F.lit(10.0), F.lit(2.0))) == 100
     assert [value(spark, expr.order_quantity(F.lit(p), F.lit(10.0), F.lit(20.0))) for p in (5.0, 10.0, 11.0)] == [25, 20, 0]
 
@@ -74,16 +76,43 @@ def test_features_do_not_look_ahead(spark):
     assert (days[20], days[17], days[0], days[21]) == (0, 3, 7, 7)
 
 
-def test_simulator_forms_agree(spark):
+def by_hand(demand, rop, lot, lead):
+    """One series, day by day, as the policy is stated: a list of (arrival day, quantity) orders."""
+    stock, orders, short = rop[0] + lot[0], [], False
+    out = dict.fromkeys(simulate.TOTALS, 0.0)
+    for day, wanted in enumerate(demand):
+        arrived = sum(q for when, q in orders if when == day)
+        stock += arrived
+        if arrived:
+            out["cycles"] += 1
+            out["stockout_cycles"] += short
+            short = False
+        sold = min(stock, wanted)
+        stock -= sold
+        short |= wanted > sold
+        position = stock + sum(q for when, q in orders if when > day)
+        if position <= rop[day + 1]:
+            q = float(np.ceil(rop[day + 1] + lot[day + 1] - position))
+            orders.append((day + lead, q))
+            out["n_orders"] += q > 0
+        for k, v in (("sales", sold), ("lost", wanted - sold), ("stock_sum", stock), ("lost_days", wanted > sold)):
+            out[k] += v
+    return out
+
+
+def test_simulation(spark):
     rng = np.random.default_rng(5)
-    rows = [(f"s{k}", lead, rng.poisson(3, 60).astype(float).tolist(), [float(rng.integers(2, 30))] * 61, [float(rng.integers(1, 24))] * 61, [0.0] * 61) for k in range(6) for lead in (1, 3, 7, 14)]
-    df = spark.createDataFrame(rows, "unique_id string, lead_time int, demand array<double>, rop array<double>, lot array<double>, ss array<double>")
-    a, b = (sorted(map(tuple, f(df).collect())) for f in (simulate.simulate, simulate.simulate_fold))
-    assert a == b
-    demand, rop, lot = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
-    flows = {}
-    simulate.step_days(demand, rop, lot, np.array([r[1] for r in rows]), flows)
-    assert np.allclose(flows["sales"] + flows["lost"], demand.T) and (flows["lost"][flows["on_hand"] > 0] == 0).all()
+    rows = [(f"s{k}", lead, rng.poisson(3, 60).astype(float).tolist(), rng.integers(2, 30, 61).astype(float).tolist(), rng.integers(1, 24, 61).astype(float).tolist(), [0.0] * 61) for k in range(6) for lead in (1, 3, 7, 14)]
+    rows += [("still", 5, [0.0] * 60, [5.0] * 61, [3.0] * 61, [0.0] * 61), ("short", 3, [10.0] * 60, [0.0] * 61, [1.0] * 61, [0.0] * 61)]
+    schema = "unique_id string, lead_time int, demand array<double>, rop array<double>, lot array<double>, ss array<double>"
+    got = {(r["unique_id"], r["lead_time"]): r for r in simulate.simulate(spark.createDataFrame(rows, schema)).collect()}
+    for u, lead, demand, rop, lot, _ in rows:
+        want = by_hand(demand, rop, lot, lead)
+        assert {k: got[u, lead][k] for k in simulate.TOTALS} == want
+        assert want["sales"] + want["lost"] == sum(demand)
+    assert got["still", 5]["stock_sum"] == 8 * 60 and got["short", 3]["cycles"] == got["short", 3]["stockout_cycles"] > 0
+    with pytest.raises(Exception, match="one day at least"):
+        simulate.simulate(spark.createDataFrame([("x", 0, *rows[0][2:])], schema)).collect()
 
 
 def test_inventory_at_fill(spark):
