@@ -2,59 +2,105 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 
 from stockweave.params import HORIZON, SEASON
 
+#: Smoothing constants tried: level, trend, season, and how much of the trend stays each day.
+ALPHAS, BETAS, GAMMAS, DAMPS = (0.02, 0.05, 0.1, 0.2, 0.4), (0.01, 0.05), (0.02, 0.05, 0.1), (0.9, 1.0)
+
 
+def _aicc(sse, n: int, k):
+    return n * np.log(np.maximum(sse, 1e-9) / n) + 2 * k + 2 * k * (k + 1) / np.maximum(n - k - 1, 1)
 
 
-def _aicc(sse: float, n: int, k: int) -> float:
-    return n * np.log(max(sse, 1e-9) / n) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
+def _short(y: np.ndarray, horizon: int) -> np.ndarray:
+    return np.full(horizon, max(y[-1], 0.0) if len(y) else 0.0)
 
 
 def ets_forecast(y: np.ndarray, horizon: int = HORIZON, season: int = SEASON) -> np.ndarray:
-    """Additive level, with or without an additive season, smoothing constants from a small grid, least AICc."""
+    """Exponential smoothing with additive errors: no, plain or damped trend; no, additive or (for positive series)
+    multiplicative season. All families and constants run through the days at once; the least AICc forecasts."""
     if len(y) < 2 * season:
-        return np.full(horizon, y[-1] if len(y) else 0.0)
-    best = (np.inf, None)
-    grid = (0.02, 0.05, 0.1, 0.2, 0.4)
-    combos = [(a, g) for a in grid for g in (0.0, *grid[:3])]
-    alpha, gamma = np.array([c[0] for c in combos]), np.array([c[1] for c in combos])
-    level = np.full(len(combos), y[: 2 * season].mean())
-    start = np.array([y[k : 2 * season : season].mean() for k in range(season)]) - y[: 2 * season].mean()
-    seasonal = np.where(gamma[:, None] > 0, start[None, :], 0.0)
-    sse = np.zeros(len(combos))
-    for t, v in enumerate(y):  # all combinations at once
-        s = seasonal[:, t % season]
-        e = v - level - s
-        sse += e * e
-        level = level + alpha * e
-        seasonal[:, t % season] = s + gamma * e
-    for i in range(len(combos)):
-        score = _aicc(sse[i], len(y), 2 + (season + 1) * (gamma[i] > 0))
-        if score < best[0]:
-            best = (score, level[i] + seasonal[i, (len(y) + np.arange(horizon)) % season])
-    return np.maximum(best[1], 0.0)
-
-
-def sar_forecast(y: np.ndarray, horizon: int = HORIZON, season: int = SEASON) -> np.ndarray:
-    """Autoregression by least squares on daily and weekly lags, the set with the least AICc."""
-    lags_sets = [(), (1,), (season,), (1, season), (1, 2, season), (1, season, 2 * season)]
-    m = 2 * season
-    if len(y) < 4 * season:
-        return np.full(horizon, y[-1] if len(y) else 0.0)
-    best = (np.inf, (), np.array([y.mean()]))
-    for lags in lags_sets:
-        x = np.column_stack([np.ones(len(y) - m), *(y[m - k : len(y) - k] for k in lags)])
-        w = np.linalg.lstsq(x, y[m:], rcond=None)[0]
-        score = _aicc(float(((y[m:] - x @ w) ** 2).sum()), len(y) - m, len(lags) + 2)
-        if score < best[0]:
-            best = (score, lags, w)
-    _, lags, w = best
-    cap, line = 2 * max(y.max(), 1.0), list(y)
-    for _ in range(horizon):
-        line.append(min(max(float(w[0] + sum(c * line[-k] for c, k in zip(w[1:], lags, strict=True))), 0.0), cap))
-    return np.array(line[-horizon:])
+        return _short(y, horizon)
+    kinds = ("none", "add", "mul") if y.min() > 0 else ("none", "add")
+    rows = [(a, b, d, g, kind) for kind in kinds for a in ALPHAS for b, d in [(0.0, 0.0), *product(BETAS, DAMPS)] for g in (GAMMAS if kind != "none" else (0.0,))]
+    alpha, beta, damp, gamma = (np.array([r[k] for r in rows]) for k in range(4))
+    mul = np.array([r[4] == "mul" for r in rows])
+    seasonal_kind = np.array([r[4] != "none" for r in rows])
+    first = y[: 2 * season]
+    mean = first.mean()
+    by_day = first.reshape(2, season).mean(axis=0)
+    level, trend = np.full(len(rows), mean), np.where(damp > 0, (first[season:].mean() - first[:season].mean()) / season, 0.0)
+    s = np.where(mul[:, None], by_day / mean if mul.any() else 1.0, np.where(seasonal_kind[:, None], by_day - mean, 0.0))
+    s = np.where(seasonal_kind[:, None], s, 0.0)
+    sse = np.zeros(len(rows))
+    with np.errstate(all="ignore"):
+        for t, v in enumerate(y):
+            k = t % season
+            base = level + damp * trend
+            e = v - np.where(mul, base * s[:, k], base + s[:, k])
+            sse += e * e
+            by_level = np.where(mul, e / np.where(s[:, k] == 0, 1.0, s[:, k]), e)
+            level = base + alpha * by_level
+            trend = damp * trend + beta * by_level
+            s[:, k] += gamma * np.where(mul, e / np.where(base == 0, 1.0, base), e)
+    free = 2 + 2 * (beta > 0) + (damp == DAMPS[0]) + (season + 1) * seasonal_kind
+    score = _aicc(sse, len(y), free)
+    best = int(np.nanargmin(np.where(np.isfinite(score), score, np.inf)))
+    steps = np.arange(1, horizon + 1)
+    growth = np.cumsum(damp[best] ** steps) if damp[best] else np.zeros(horizon)
+    base = level[best] + growth * trend[best]
+    cycle = s[best, (len(y) + np.arange(horizon)) % season]
+    return np.maximum(base * cycle if mul[best] else base + cycle, 0.0)
+
+
+def _lagged(x: np.ndarray, lags: tuple[int, ...], start: int) -> list[np.ndarray]:
+    return [x[start - k : len(x) - k] for k in lags]
+
 
+def sarima_forecast(y: np.ndarray, horizon: int = HORIZON, season: int = SEASON) -> np.ndarray:
+    """Seasonal ARIMA: a difference is taken where it lowers the variance; orders up to (2, 2)(1, 1) by least AICc.
 
+    Coefficients come from two regressions: a long autoregression gives the errors, then the values are regressed on
+    lagged values and errors.
+    """
+    if len(y) < 6 * season:
+        return _short(y, horizon)
+    w, undo = y.astype(float), []
+    for lag in (season, 1):
+        d = w[lag:] - w[:-lag]
+        if d.var() < w.var():
+            undo.append((lag, w))
+            w = d
+    if w.var() < 1e-12:  # nothing is left to explain
+        fore = np.full(horizon, w.mean())
+    else:
+        long = 2 * season
+        x = np.column_stack([np.ones(len(w) - long), *_lagged(w, tuple(range(1, long + 1)), long)])
+        e = np.concatenate([np.zeros(long), w[long:] - x @ np.linalg.lstsq(x, w[long:], rcond=None)[0]])
+        start = long + season + 2
+        best = (np.inf, (), (), np.array([w.mean()]))
+        for p, q, sp, sq in product(range(3), range(3), range(2), range(2)):
+            ar = tuple(range(1, p + 1)) + (season,) * sp
+            ma = tuple(range(1, q + 1)) + (season,) * sq
+            x = np.column_stack([np.ones(len(w) - start), *_lagged(w, ar, start), *_lagged(e, ma, start)])
+            c = np.linalg.lstsq(x, w[start:], rcond=None)[0]
+            score = float(_aicc(((w[start:] - x @ c) ** 2).sum(), len(w) - start, len(c) + 1))
+            if score < best[0]:
+                best = (score, ar, ma, c)
+        _, ar, ma, c = best
+        line, errors, bound = list(w), list(e), 3 * np.abs(w).max()
+        for _ in range(horizon):
+            v = c[0] + sum(k * line[-lag] for k, lag in zip(c[1:], ar, strict=False)) + sum(k * errors[-lag] for k, lag in zip(c[1 + len(ar) :], ma, strict=True))
+            line.append(float(np.clip(v, -bound, bound)))
+            errors.append(0.0)
+        fore = np.array(line[-horizon:])
+    for lag, before in reversed(undo):
+        line = list(before)
+        for v in fore:
+            line.append(line[-lag] + v)
+        fore = np.array(line[-horizon:])
+    return np.clip(fore, 0.0, 2 * max(y.max(), 1.0))

@@ -1,152 +1,147 @@
-"""Fitted forecasters, each named for what it is.
+"""Fitted forecasters.
 
-GlobalTweedie is one generalised linear model (Tweedie variance 1.1, log link) over all series, fitted anew for every
-window by Spark ML. Every autoregressive feature looks back a week or more, so predicting four blocks of seven days
-equals predicting day by day. ETS and SAR are small per-series models (grouped maps): additive exponential smoothing
-with or without a weekly season, and an autoregression on daily and weekly lags, both chosen by corrected AIC.
+GlobalBoosted is one model over all series: boosted trees with a Tweedie loss, fitted anew for every window (see
+``boosting``). Every autoregressive feature looks back a week or more, so predicting four blocks of seven days equals
+predicting day by day. ETS and SARIMA are per-series models (grouped maps), each chosen by corrected AIC.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import time
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.functions.fitters import ets_forecast, sar_forecast
-from stockweave.operators import backtest, features, metrics
+from stockweave.functions.fitters import ets_forecast, sarima_forecast
+from stockweave.operators import backtest, boosting, features, metrics
 from stockweave.operators.classify import last_day
 from stockweave.params import HORIZON, N_CALIB, N_EVAL, N_WINDOWS, SEASON, STATS_DAYS
 from stockweave.session import attach, materialize
 
-TWEEDIE = "GlobalTweedie"
-LAGGED = [f"log_{n}" for n in features.AUTOREGRESSIVE]
+BOOSTED = "GlobalBoosted"
+LAGGED = list(features.AUTOREGRESSIVE)
 PRICE = ["sell_price", "price_rel_item", "price_rel_dept", "price_change_7"]
-CALENDAR = ["snap", "is_event", "days_to_event"]
-DATES = [*(f"dow_{k}" for k in range(1, 7)), "day", *(f"month_{k}" for k in range(2, 13))]
-#: Categories as indicator columns: <name>=<k> for the k-th value in order.
-CATEGORIES = ("dept_id", "event_name", "event_type")
+CALENDAR = ["snap", "is_event", "event_name", "event_type", "days_to_event"]
+DATES = list(features.DATE_PARTS)
+#: Categories, as places in the order of their mean demand up to the earliest cutoff.
+CATEGORIES = ("dept_id", "event_name", "event_type", "item_id")
+COLUMNS = [*LAGGED, *PRICE, *CALENDAR, *DATES, "dept_id", "item_id"]
 #: name -> (features left out, features added, variance power)
-VARIANTS = {"base": ((), (), 1.1), "con item_id": ((), ("item_mean",), 1.1), "sin precio": (PRICE, (), 1.1), "sin calendario": ((*CALENDAR, "event_name", "event_type"), (), 1.1), "objetivo Poisson": ((), (), 1.0)}
+VARIANTS = {"base": ((), (), 1.1), "con item_id": ((), ("item_id",), 1.1), "sin precio": (PRICE, (), 1.1), "sin calendario": (CALENDAR, (), 1.1), "objetivo Poisson": ((), (), 1.0)}
 
 
-def feature_columns(base: DataFrame, leave_out=(), add=()) -> list[str]:
-    """The model's columns in a design; a category counts with all of its indicators."""
-    given = [c for c in base.columns if c.partition("=")[0] in CATEGORIES]
-    return [c for c in [*LAGGED, *PRICE, *CALENDAR, *DATES, *given, *add] if c.partition("=")[0] not in leave_out]
+def feature_columns(leave_out=(), add=()) -> list[str]:
+    """A model's columns: all but item_id, which is added where a variant asks for it."""
+    return [c for c in COLUMNS if c not in leave_out and (c != "item_id" or c in add)]
 
 
-def _columns(rows: DataFrame) -> DataFrame:
-    logs = {f"log_{n}": F.log1p(F.greatest(F.col(n), F.lit(0.0))) for n in features.AUTOREGRESSIVE}
-    dates = {f"dow_{k}": (F.weekday("ds") == k).cast("double") for k in range(1, 7)} | {f"month_{k}": (F.month("ds") == k).cast("double") for k in range(2, 13)}
-    return rows.withColumns(logs | dates | {"day": F.dayofmonth("ds").cast("double")})
+def design(panel: DataFrame, future: DataFrame | None = None) -> DataFrame:
+    """Exogenous and date features of the panel, and of the days ahead if given (y is null there), written once.
+
+    A category's places are a small table, a row per value, joined back.
+    """
+    history, ahead = features.model_frames(panel, future)
+    rows = history if ahead is None else history.unionByName(ahead.join(panel.select("unique_id", "item_id", "dept_id").distinct(), "unique_id"), allowMissingColumns=True)
+    rows = features.date_parts(rows)
+    end = F.broadcast(last_day(panel, N_WINDOWS * HORIZON))
+    early = rows.crossJoin(end)
+    for c in CATEGORIES:
+        seen = early.groupBy(c).agg(F.coalesce(F.avg(F.when(F.col("ds") <= F.col("end_day"), F.col("y"))), F.lit(0.0)).alias("mean_"))
+        ranked = materialize(seen.withColumnRenamed(c, "value_"), "categories")
+        rows = rows.join(ranked, F.col(c) == F.col("value_"), "left").withColumn(f"{c}_code", F.coalesce("mean_", F.lit(0.0))).drop("value_", "mean_")
+    kept = [F.col(f"{c}_code" if c in CATEGORIES else c).cast("double").alias(c) for c in COLUMNS if c not in LAGGED]
+    return materialize(rows.select("unique_id", "ds", "y", *kept), "design")
+
+
+def _day(d: dt.date) -> int:
+    return (d - dt.date(1970, 1, 1)).days
 
 
-def design(panel: DataFrame) -> DataFrame:
-    """Features of the whole panel, written once: fits of all windows read it.
+def fit_models(base: DataFrame, wanted: list[tuple[str, dt.date, list[str], float]], **options) -> tuple[list, list]:
+    """(models, bounds) for (name, last day, columns, power) of each wanted model, grown in the same jobs.
 
-    Lags of a row look at earlier rows only, so they hold for every cutoff at or after the row's day. item_mean is
-    the item's mean of earlier days, on a log scale: the series' identity as one number.
+    Lags of a row look at earlier rows only, so they hold for every model that learns from the row.
     """
-    earlier = features.by_series().rowsBetween(Window.unboundedPreceding, -SEASON)
-    rows = features.lag_features(features.exogenous_features(panel)).withColumn("item_mean", F.log1p(F.coalesce(F.avg("y").over(earlier), F.lit(0.0))))
-    shown = {c: sorted(r[0] for r in panel.groupBy(F.col({"event_name": "event_name_1", "event_type": "event_type_1"}.get(c, c))).count().collect() if r[0] is not None) for c in CATEGORIES}
-    marks = [(F.col(c) == v).cast("double").alias(f"{c}={k}") for c, values in shown.items() for k, v in enumerate(values, 1)]
-    return materialize(_columns(rows).select("unique_id", "ds", "y", "item_mean", *LAGGED, *PRICE, *CALENDAR, *DATES, *marks), "design")
-
-
-def fit(rows: DataFrame, columns: list[str], power: float):
-    """The model on rows with complete lags; the solver needs one small matrix of the columns, summed over tasks."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="x", handleInvalid="skip")
-    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol="y", featuresCol="x", regParam=1e-3, maxIter=15)
-    return assembler, glm.fit(assembler.transform(rows))
-
-
-def window_forecast(base: DataFrame, cutoff, columns: list[str], power: float = 1.1) -> DataFrame:
-    """unique_id, ds, y, yhat of the horizon after a cutoff, from a model fitted on all days up to it."""
-    if "item_mean" in columns:  # a week after the cutoff it rests on the days up to the cutoff
-        known_mean = base.where(F.col("ds") == F.date_add(F.lit(cutoff), SEASON)).select("unique_id", F.col("item_mean").alias("known_mean"))
-        base = base.join(known_mean, "unique_id").withColumn("item_mean", F.when(F.col("ds") > F.lit(cutoff), F.col("known_mean")).otherwise(F.col("item_mean"))).drop("known_mean")
-    train = base.where(F.col("ds") <= F.lit(cutoff))
-    assembler, model = fit(train, columns, power)
-    fixed = [c for c in base.columns if c not in LAGGED]
-    known = base.where(F.col("ds").between(F.date_sub(F.lit(cutoff), 60), F.date_add(F.lit(cutoff), HORIZON))).select(*fixed).withColumn("y", F.when(F.col("ds") <= F.lit(cutoff), F.col("y")))
-    done = []
+    rows = materialize(features.lag_features(base), "lags")
+    first = min(w[1] for w in wanted)
+    bounds = boosting.edges(rows.where(F.col("ds") <= F.lit(first)), COLUMNS)
+    bins = boosting.written_bins(rows.where("y is not null"), COLUMNS, bounds)
+    models = [boosting.Model(name, _day(last), [COLUMNS.index(c) for c in columns], power) for name, last, columns, power in wanted]
+    return boosting.fit(bins, models, len(COLUMNS), **options), bounds
+
+
+def forecasts(base: DataFrame, models: list, bounds: list) -> DataFrame:
+    """unique_id, ds, model, yhat: the horizon after each model's last day, in blocks of a week; all models at once."""
+    spark = base.sparkSession
+    ends = spark.createDataFrame([(m.name, dt.date(1970, 1, 1) + dt.timedelta(m.last)) for m in models], "model string, cutoff date")  # a row per model
+    near = base.join(F.broadcast(ends), (F.col("ds") > F.date_sub("cutoff", 60)) & (F.col("ds") <= F.date_add("cutoff", HORIZON)))
+    # a series of a model is a series of its own while lags are worked out
+    known = near.withColumns({"y": F.when(F.col("ds") <= F.col("cutoff"), F.col("y")), "own_id": F.col("unique_id"), "unique_id": F.concat_ws("|", "model", "unique_id"), "step": F.datediff("ds", "cutoff")})
+    known = materialize(known, "horizon")
+    done = None
     for block in range(HORIZON // SEASON):
-        lo, hi = block * SEASON, (block + 1) * SEASON
-        # the first week looks back on known days only, and its lags are in the design
-        rows = base if block == 0 else _columns(features.lag_features(known))
-        rows = rows.where((F.col("ds") > F.date_add(F.lit(cutoff), lo)) & (F.col("ds") <= F.date_add(F.lit(cutoff), hi)))
-        got = model.transform(assembler.transform(rows)).select("unique_id", "ds", F.greatest("prediction", F.lit(0.0)).alias("yhat"))
+        lagged = features.lag_features(known).where(F.col("step").between(block * SEASON + 1, (block + 1) * SEASON))
+        got = boosting.predict(boosting.binned(lagged, COLUMNS, bounds, "model", "unique_id", "own_id", "ds"), models, len(COLUMNS))
         got = materialize(got, f"block-{block}")
-        done.append(got)
-        known = known.join(got, ["unique_id", "ds"], "left").withColumn("y", F.coalesce("y", "yhat")).drop("yhat")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.join(base.select("unique_id", "ds", "y"), ["unique_id", "ds"])
+        done = got if done is None else done.unionByName(got)
+        known = known.join(got.select("unique_id", "ds", "yhat"), ["unique_id", "ds"], "left").withColumn("y", F.coalesce("y", "yhat")).drop("yhat")
+    return done.select(F.col("own_id").alias("unique_id"), "ds", "model", "yhat")
 
 
-def _cutoffs(panel: DataFrame) -> list:
-    return [(r["window"], r["cutoff"]) for r in backtest.cutoffs(panel).orderBy("window").collect()]  # a row per window
+def _cutoffs(panel: DataFrame, n_windows: int = N_WINDOWS) -> list:
+    return [(r["window"], r["cutoff"]) for r in backtest.cutoffs(panel, n_windows).orderBy("window").collect()]  # a row per window
 
 
-def global_backtest(panel: DataFrame, windows: range = range(N_WINDOWS), power: float = 1.1) -> DataFrame:
-    """unique_id, ds, cutoff, step, window, model, y, yhat; the model is fitted anew for each window."""
-    base = design(panel)
-    parts = [window_forecast(base, c, feature_columns(base), power).withColumns({"cutoff": F.lit(c), "window": F.lit(k), "model": F.lit(TWEEDIE)}) for k, c in _cutoffs(panel) if k in windows]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("unique_id", "ds", "cutoff", F.datediff("ds", "cutoff").alias("step"), "window", "model", "y", "yhat")
+def global_model(panel: DataFrame, future: DataFrame | None = None, n_windows: int = N_WINDOWS, **options) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(backtest, forecast of the days ahead or None, importance) of the boosted model; a model a window, one on all days.
 
-
-def importance(panel: DataFrame) -> DataFrame:
-    """feature, gain, gain_share of the model fitted on the whole panel.
-
-    gain is the deviation of the feature's part of the linear predictor: for a number its absolute coefficient times
-    its deviation; a category's indicators are one feature.
+    backtest: unique_id, ds, cutoff, step, window, model, y, yhat. forecast: unique_id, ds, yhat. importance: feature,
+    gain, gain_share of the model on all days.
     """
-    base = design(panel)
-    columns = feature_columns(base)
-    _, model = fit(base, columns, 1.1)
-    parts: dict = {}
-    for c, w in zip(columns, model.coefficients, strict=True):
-        parts[c.partition("=")[0]] = parts.get(c.partition("=")[0], F.lit(0.0)) + F.col(c).cast("double") * float(w)
-    spread = base.agg(*[F.stddev_samp(x).alias(c) for c, x in parts.items()]).first()
-    gains = [(c, float(spread[c] or 0.0)) for c in parts]
-    total = sum(g for _, g in gains) or 1.0
-    return panel.sparkSession.createDataFrame([(c, g, g / total) for c, g in gains], "feature string, gain double, gain_share double")
-
-
-def ablation(panel: DataFrame) -> DataFrame:
-    """variant, wrmsse, wape, bias, seconds, wrmsse_vs_base: means over the N_CALIB calibration windows of the panel cut at the evaluation's start."""
+    base = design(panel, future)
+    windows = _cutoffs(panel, n_windows)
+    last = last_day(panel).first()[0]
+    names = {str(c): (k, c) for k, c in windows}
+    models, bounds = fit_models(base, [*((n, c, feature_columns(), 1.1) for n, (_, c) in names.items()), ("final", last, feature_columns(), 1.1)], **options)
+    ahead = forecasts(base, models if future is not None else models[:-1], bounds)
+    test = backtest.windows(panel, n_windows).select("unique_id", "ds", "cutoff", "step", "window", "y")
+    cv = test.join(ahead.where("model <> 'final'").withColumn("cutoff", F.col("model").cast("date")).drop("model"), ["unique_id", "ds", "cutoff"])
+    cv = cv.select("unique_id", "ds", "cutoff", "step", "window", F.lit(BOOSTED).alias("model"), "y", "yhat")
+    gains = {COLUMNS[f]: g for f, g in models[-1].gains.items()}
+    total = sum(gains.values()) or 1.0
+    rows = [(c, gains.get(c, 0.0), gains.get(c, 0.0) / total) for c in feature_columns()]
+    importance = panel.sparkSession.createDataFrame(rows, "feature string, gain double, gain_share double")
+    return cv, ahead.where("model = 'final'").drop("model") if future is not None else None, importance
+
+
+def ablation(panel: DataFrame, **options) -> DataFrame:
+    """variant, wrmsse, wape, bias, seconds, wrmsse_vs_base: means over the N_CALIB calibration windows of the panel cut at
+    the evaluation's start. All variants grow in the same jobs, so seconds is an equal share of the whole."""
+    began = time.time()
     end = last_day(panel, N_EVAL * HORIZON).first()[0]
     early = panel.where(F.col("ds") <= F.lit(end))
-    base, dept = design(early), early.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id"))
-    cut = backtest.cutoffs(early, N_CALIB)
-    days = _cutoffs(early)[:N_CALIB]
-    rows = []
-    for name, (leave_out, add, power) in VARIANTS.items():
-        began = time.time()
-        columns = feature_columns(base, leave_out, add)
-        parts = [window_forecast(base, c, columns, power).withColumns({"cutoff": F.lit(c), "window": F.lit(k), "model": F.lit(name)}) for k, c in days]
-        cv = materialize(reduce(DataFrame.unionByName, parts).join(dept, "unique_id"), "ablation")
-        score = metrics.wrmsse(metrics.rmsse_by_level(early, cv, cut)).where("level = 'WRMSSE'").agg(F.avg("value")).first()[0]
-        m = metrics.point_metrics(cv).first()
-        rows.append((name, score, m["wape"], m["bias"], time.time() - began))
-    first = rows[0][1]
-    return panel.sparkSession.createDataFrame([(*r, r[1] / first - 1 if first else None) for r in rows], "variant string, wrmsse double, wape double, bias double, seconds double, wrmsse_vs_base double")
+    dept = early.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id"))
+    windows = _cutoffs(early, N_CALIB)
+    wanted = [(f"{name}|{c}", c, feature_columns(out, add), power) for name, (out, add, power) in VARIANTS.items() for _, c in windows]
+    base = design(early)
+    models, bounds = fit_models(base, wanted, **options)
+    got = forecasts(base, models, bounds)
+    name = F.split("model", r"\|")
+    cv = got.select("unique_id", "ds", name[0].alias("model"), name[1].cast("date").alias("cutoff"), "yhat").join(early.select("unique_id", "ds", "y"), ["unique_id", "ds"]).join(dept, "unique_id")
+    cv = materialize(cv, "ablation")
+    score = metrics.wrmsse(metrics.rmsse_by_level(early, cv, backtest.cutoffs(early, N_CALIB))).where("level = 'WRMSSE'").groupBy("model").agg(F.avg("value").alias("wrmsse"))
+    rows = {r["model"]: r for r in score.join(metrics.point_metrics(cv, "model"), "model").collect()}  # a row per variant
+    first, share = rows["base"]["wrmsse"], (time.time() - began) / len(VARIANTS)
+    out = [(n, rows[n]["wrmsse"], rows[n]["wape"], rows[n]["bias"], share, rows[n]["wrmsse"] / first - 1 if first else None) for n in VARIANTS]
+    return panel.sparkSession.createDataFrame(out, "variant string, wrmsse double, wape double, bias double, seconds double, wrmsse_vs_base double")
 
 
 # ---- per-series models
 
-FITTERS = {"ets": ("ETS", ets_forecast), "sar": ("SAR", sar_forecast)}
+FITTERS = {"ets": ("ETS", ets_forecast), "sar": ("SARIMA", sarima_forecast)}
 
 
 def series_backtest(panel: DataFrame, kind: str, n_windows: int = N_WINDOWS, days: int = STATS_DAYS) -> DataFrame:

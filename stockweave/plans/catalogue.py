@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockweave import params
 from stockweave.operators import backtest, classify, eda, features, intervals, metrics, models, policy, simulate
+from stockweave.plans import outputs, report
 from stockweave.plans.oracles import MONEY, ORACLES  # noqa: F401
 from stockweave.session import materialize
 from stockweave.sources import panel as panels
@@ -219,7 +220,19 @@ def fc_window_average(p):
 
 @query
 def cv_full_outer(p):
-    return backtest.to_wide(backtest.simple_forecasts(p), [backtest.NAIVE, backtest.SEASONAL, backtest.AVERAGE])
+    """A model of all windows beside one of the newest four: days that only one side has stay, with nulls."""
+    cv = backtest.simple_forecasts(p)
+    side = lambda name, rows: rows.where(F.col("model") == name).select(*backtest.KEYS, F.col("y").alias(f"y_{name}"), F.col("yhat").alias(name))
+    one, two = side(backtest.SEASONAL, cv.where("window > 0")), side(backtest.AVERAGE, cv.where("window < 4"))
+    both = one.join(two, backtest.KEYS, "full_outer")
+    return both.select(*backtest.KEYS, F.coalesce(f"y_{backtest.SEASONAL}", f"y_{backtest.AVERAGE}").alias("y"), backtest.SEASONAL, backtest.AVERAGE)
+
+
+@query
+def cv_wide_to_long(p):
+    """Models as columns, and back to rows: nulls of a model stay rows."""
+    names = [backtest.NAIVE, backtest.SEASONAL, backtest.AVERAGE]
+    return backtest.to_long(backtest.to_wide(backtest.simple_forecasts(p), names), names)
 
 
 @query
@@ -279,6 +292,47 @@ def horizon_error(p):
     return metrics.horizon_error(backtest.simple_forecasts(p))
 
 
+@query
+def weekly_horizon_error(p):
+    """Mean wape of the steps of each week ahead."""
+    return metrics.horizon_error(backtest.simple_forecasts(p)).groupBy(F.floor((F.col("step") - 1) / 7 + 1).cast("int").alias("week"), "model").agg(F.avg("wape").alias("wape"))
+
+
+def _versus_best(segments: DataFrame, model: str) -> DataFrame:
+    """A model's wape against the best of the others in each group."""
+    other = F.col("model") != model
+    rows = segments.where("split = 'eval'").groupBy("grouping", "group").agg(
+        F.max("n_skus").alias("n_skus"), F.max(F.when(~other, F.col("wape"))).alias("wape_model"), F.min_by("model", F.when(other, F.struct("wape", "model"))).alias("best_other"), F.min(F.when(other, F.col("wape"))).alias("wape_other")
+    )
+    return rows.withColumn("difference", F.col("wape_model") / F.nullif(F.col("wape_other"), F.lit(0.0)) - 1.0)
+
+
+@shared
+def versus_best(p):
+    return _versus_best(_segments(p), backtest.AVERAGE)
+
+
+@query
+def recent_days(p):
+    """The last days of the evaluation of every series."""
+    newest = Window.partitionBy("unique_id").orderBy(F.desc("ds"))
+    return p.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= params.N_EVAL * params.HORIZON).select("unique_id", "ds", "y", "sell_price")
+
+
+@query
+def dept_day_totals(p):
+    """Demand and forecasts of the evaluation by department and day, and in total."""
+    return report.real_and_forecast(_cv(p))
+
+
+@query
+def model_inputs(p):
+    """History and the days ahead in one frame of features, and how far they go."""
+    history, ahead = features.model_frames(p, outputs.with_future(p))
+    marked = history.select("unique_id", "ds", "is_event", "days_to_event", "price_rel_item", "price_rel_dept", "price_change_7", F.lit("history").alias("part")).unionByName(ahead.select("unique_id", "ds", "is_event", "days_to_event", "price_rel_item", "price_rel_dept", "price_change_7", F.lit("future").alias("part")))
+    return marked.where(F.col("ds") > F.date_sub(F.lit(p.agg(F.max("ds")).first()[0]), 28))
+
+
 # ---- intervals
 
 
@@ -404,11 +458,8 @@ def cost_sensitivity(p):
 @query
 def recommendation(p):
     """From the mean of the last 28 days as forecast of the next 28."""
-    last = F.broadcast(p.agg(F.max("ds").alias("end_day")))
-    base = p.crossJoin(last).where("ds > date_sub(end_day, 28)").groupBy("unique_id", "end_day").agg(F.avg("y").alias("yhat"), F.max_by("sell_price", "ds").alias("price"))
-    ahead = base.select("unique_id", F.explode(F.sequence(F.date_add("end_day", 1), F.date_add("end_day", 28))).alias("ds"), "yhat", "price")
     cv = backtest.simple_forecasts(p).where(F.col("model") == backtest.AVERAGE)
-    return policy.recommend(ahead, cv, _default(p), params.DEFAULT_LEAD)
+    return policy.recommend(_ahead(p), cv, _default(p), params.DEFAULT_LEAD)
 
 
 @shared
@@ -418,6 +469,75 @@ def missing_target(p):
     return rows.groupBy("policy", "pattern").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") < F.col("service_level")).cast("double")).alias("missing_share"), F.median("fill_rate").alias("median_fill"), F.avg("demand").alias("mean_demand"))
 
 
+@shared
+def missing_by_class(p):
+    rows = _grid(p, [params.DEFAULT_LEAD], _default(p)).join(_classes(p).select("unique_id", "abc"), "unique_id").where("fill_rate is not null")
+    return rows.groupBy("policy", "abc").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") >= F.col("service_level")).cast("double")).alias("meeting_share"), F.percentile("fill_rate", 0.10).alias("fill_p10"))
+
+
+def _savings(need: DataFrame, names: list[str], model: str) -> DataFrame:
+    """Inventory by target and lead time, a column a policy, and what the model's policy saves against the classic one."""
+    rows = need.where("group = 'Total' and ss_method = 'sqrt'").groupBy("target_fill_rate", "lead_time").pivot("policy", [policy.CLASSIC, *names]).agg(F.first("avg_inv_value")).withColumnRenamed(policy.CLASSIC, "Clasica")
+    return rows.withColumn("saving", F.col(model) / F.nullif(F.col("Clasica"), F.lit(0.0)) - 1.0)
+
+
+@shared
+def savings_by_target(p):
+    return _savings(simulate.inventory_at_fill(_frontier(p), params.FILL_TARGETS), [backtest.SEASONAL, backtest.AVERAGE], backtest.AVERAGE)
+
+
+@shared
+def service_curve(p):
+    """Fill rate and inventory of one policy's curve, in order."""
+    rows = _frontier(p, [params.DEFAULT_LEAD]).where((F.col("policy") == backtest.AVERAGE) & (F.col("group") == "Total") & (F.col("ss_method") == "sqrt"))
+    return rows.select("service_level", "fill_rate", "cycle_service", "avg_inv_value").orderBy("avg_inv_value")
+
+
+@shared
+def method_comparison(p):
+    """Per policy and method: cycle service reached at the default level, and inventory for that fill rate."""
+    levels = policy.scenarios(p.sparkSession, params.SS_METHODS, params.FRONTIER_LEVELS, clip=False)
+    curve = materialize(simulate.kpis(_grid(p, [params.DEFAULT_LEAD], levels), _classes(p)).where("group = 'Total'"), "curve")
+    need = simulate.inventory_at_fill(curve, (params.DEFAULT_LEVEL,)).select("policy", "ss_method", "avg_inv_value")
+    return curve.where(F.col("service_level") == params.DEFAULT_LEVEL).select("policy", "ss_method", "cycle_service").join(need, ["policy", "ss_method"], "left")
+
+
+@shared
+def nominal_service(p):
+    """Cycle service reached at each nominal level, a column a method."""
+    rows = simulate.kpis(_grid(p, [params.DEFAULT_LEAD], policy.scenarios(p.sparkSession, params.SS_METHODS, params.SERVICE_LEVELS)), _classes(p))
+    return rows.where((F.col("group") == "Total") & (F.col("policy") == backtest.AVERAGE)).groupBy("service_level").pivot("ss_method", list(params.SS_METHODS)).agg(F.first("cycle_service"))
+
+
+def _ahead(p) -> DataFrame:
+    """The mean of the last 28 days as forecast of the next 28, at the last price."""
+    last = F.broadcast(p.agg(F.max("ds").alias("end_day")))
+    base = p.crossJoin(last).where("ds > date_sub(end_day, 28)").groupBy("unique_id", "end_day").agg(F.avg("y").alias("yhat"), F.max_by("sell_price", "ds").alias("price"))
+    return base.select("unique_id", F.explode(F.sequence(F.date_add("end_day", 1), F.date_add("end_day", 28))).alias("ds"), "yhat", "price")
+
+
+@shared
+def planner_table(p):
+    """The ten series with the greatest forecast, with classes and policy."""
+    cv = backtest.simple_forecasts(p).where(F.col("model") == backtest.AVERAGE)
+    rows = outputs.recommendation(p, _ahead(p), cv, _default(p), params.DEFAULT_LEAD)
+    return rows.orderBy(F.desc("forecast_28d"), "unique_id").limit(10).select("unique_id", "item_id", "dept_id", "abc", "xyz", "segment", "pattern", "forecast_28d", "demand_lead_time", "safety_stock", "rop", "lot", "order_up_to")
+
+
+@shared
+def stock_value_by_segment(p):
+    """The value of safety stock by scenario, segment and department."""
+    cv = backtest.simple_forecasts(p).where(F.col("model") == backtest.AVERAGE)
+    return report.stock_value(p, _classes(p), report.recommendations(p.sparkSession, _ahead(p), cv))
+
+
+@query
+def top_products(p):
+    """The ten series with the greatest revenue, and when they were last sold."""
+    sold = p.groupBy("unique_id").agg(F.date_format(F.max(F.when(F.col("y") > 0, F.col("ds"))), "yyyy-MM-dd").alias("last_sale"), F.date_format(F.min("ds"), "yyyy-MM").alias("first_month"))
+    return classify.classify(p).select("unique_id", "revenue", "segment").join(sold, "unique_id").orderBy(F.desc("revenue"), "unique_id").limit(10)
+
+
 @query
 def report_columns(p):
     """One row per department: series in order with their rounded revenue, as arrays."""
@@ -429,9 +549,111 @@ def report_columns(p):
 # ---- fitted models: no SQL states these
 
 
-@shared
-def global_tweedie_cv(p):
-    return models.global_backtest(p)
+def boosted(f):
+    """A query on the panel and the stored tables of the boosted model, which is fitted once an application and source."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        panel = lambda: materialize(panels.demand_panel(spark, sf_dir), "panel")
+        p = outputs.stored(spark, sf_dir, "panel", lambda: {"panel": panel()})
+        return tidy(f(p, lambda name: outputs.stored(spark, sf_dir, name, lambda: outputs.boosted(p))))
+
+    run.__doc__, run.__name__ = f.__doc__, f.__name__
+    QUERIES[f.__name__] = run
+    return f
+
+
+@boosted
+def global_tweedie_cv(p, table):
+    return table("cv_global")
+
+
+@boosted
+def forecast_future(p, table):
+    """The next 28 days with intervals, from the model on all days."""
+    return table("forecast_future")
+
+
+@boosted
+def feature_importance(p, table):
+    return table("feature_importance")
+
+
+def _all_models(p, table) -> DataFrame:
+    return outputs.with_dept(backtest.simple_forecasts(p).unionByName(table("cv_global")), p)
+
+
+@boosted
+def global_wrmsse(p, table):
+    """The boosted model beside the simple ones."""
+    return metrics.evaluate(p, _all_models(p, table), backtest.cutoffs(p))[0]
+
+
+@boosted
+def global_versus_best(p, table):
+    by_sku = metrics.evaluate(p, _all_models(p, table), backtest.cutoffs(p))[1]
+    return _versus_best(metrics.segment_table(by_sku, _classes(p)), models.BOOSTED)
+
+
+@boosted
+def global_recommendation(p, table):
+    """Today's policy from the boosted forecast of the next 28 days, with classes."""
+    return outputs.recommendation(p, table("forecast_future"), table("cv_global"), _default(p), params.DEFAULT_LEAD)
+
+
+def _global_grid(p, table, lead_times, scenario) -> DataFrame:
+    cv = _all_models(p, table).where(F.col("model").isin(backtest.SEASONAL, models.BOOSTED)).drop("dept_id")
+    sold = policy.evaluation_demand(p)
+    basis = policy.forecast_basis(cv, lead_times).unionByName(policy.classic_basis(p, lead_times)).join(sold.select("unique_id", "price"), "unique_id")
+    return simulate.by_sku(simulate.simulate(policy.decisions(basis, scenario).join(sold.select("unique_id", "demand"), "unique_id")))
+
+
+def _global_frontier(p, table, lead_times=params.LEAD_TIMES) -> DataFrame:
+    levels = policy.scenarios(p.sparkSession, ["sqrt"], params.FRONTIER_LEVELS, clip=False)
+    return simulate.kpis(_global_grid(p, table, lead_times, levels), _classes(p))
+
+
+@boosted
+def global_scenario_grid(p, table):
+    """The three policies: classic, same weekday, boosted."""
+    return simulate.kpis(_global_grid(p, table, params.LEAD_TIMES, policy.scenarios(p.sparkSession, params.SS_METHODS, params.SERVICE_LEVELS)), _classes(p)).drop("order_cost", "holding_rate")
+
+
+@boosted
+def global_savings(p, table):
+    need = simulate.inventory_at_fill(_global_frontier(p, table), params.FILL_TARGETS)
+    return _savings(need, [backtest.SEASONAL, models.BOOSTED], models.BOOSTED)
+
+
+def _global_costs(p, table) -> DataFrame:
+    costs = [params.Costs(order_cost=k, holding_rate_annual=h) for k in params.ORDER_COSTS for h in params.HOLDING_RATES]
+    levels = policy.scenarios(p.sparkSession, ["sqrt"], params.FRONTIER_LEVELS, False, costs)
+    curve = simulate.kpis(_global_grid(p, table, [params.DEFAULT_LEAD], levels), _classes(p)).where("group = 'Total'")
+    need = simulate.inventory_at_fill(curve, (params.DEFAULT_LEVEL,), ("policy", "order_cost", "holding_rate"))
+    value = lambda name: F.max(F.when(F.col("policy") == name, F.col("avg_inv_value")))
+    return need.groupBy("order_cost", "holding_rate").agg(value(policy.CLASSIC).alias("inv_classic"), value(models.BOOSTED).alias("inv_boosted")).withColumn("reduction", F.col("inv_boosted") / F.nullif(F.col("inv_classic"), F.lit(0.0)) - 1.0)
+
+
+@boosted
+def global_cost_sensitivity(p, table):
+    return _global_costs(p, table)
+
+
+@boosted
+def report_datasets(p, table):
+    """Every dataset of the report as JSON rows, after its checks."""
+    cv = materialize(_all_models(p, table), "all-models")
+    scenario = simulate.kpis(_global_grid(p, table, params.LEAD_TIMES, policy.scenarios(p.sparkSession, params.SS_METHODS, params.SERVICE_LEVELS)), _classes(p))
+    fill = _global_grid(p, table, [params.DEFAULT_LEAD], _default(p)).where(F.col("policy") == models.BOOSTED)
+    # the report takes the table of variants as given; here it has the base row only
+    base = p.sparkSession.createDataFrame([("base", None, None, None, 0.0)], "variant string, wrmsse double, wape double, bias double, wrmsse_vs_base double")
+    sets = report.extract(p, _classes(p), cv, models.BOOSTED, table("forecast_future"), table("feature_importance"), base, scenario, materialize(_global_frontier(p, table), "frontier"), fill, _global_costs(p, table), backtest.cutoffs(p))
+    sets = {name: materialize(df, "report") for name, df in sets.items()}
+    report.validate(sets)
+    out = None
+    for name, df in sets.items():
+        rows = df.select(F.lit(name).alias("dataset"), F.to_json(F.struct("*")).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query
@@ -444,11 +666,6 @@ def sar_cv(p):
     return models.series_backtest(p, "sar")
 
 
-@shared
-def feature_importance(p):
-    return models.importance(p)
-
-
 @shared
 def ablation(p):
     return models.ablation(p)

@@ -7,7 +7,7 @@ from statistics import NormalDist
 from stockweave import params
 
 #: Columns in money or volume: rounded to 2 digits, all other doubles to 6.
-MONEY = frozenset("revenue units y y_ref demand abs_err err avg_inv_value avg_inv_units inv_classic inv_average weight Clasica SeasonalNaive_value mean_demand middle forecast_28d".split())
+MONEY = frozenset("revenue units y y_ref demand abs_err err avg_inv_value avg_inv_units inv_classic inv_average weight Clasica SeasonalNaive_value mean_demand middle forecast_28d valor".split())
 
 CTES: dict[str, str] = {}
 #: Parts that several others read, or that a join would repeat: worked out once.
@@ -103,7 +103,22 @@ oracle("cv_cutoffs", P + " wins", """SELECT "window", cutoff, CAST(cutoff + 1 AS
 oracle("cv_long_union", B, "SELECT unique_id, ds, cutoff, model, y, yhat FROM cv", "y yhat")
 for _name, _model in (("fc_naive", "Naive"), ("fc_seasonal_naive", "SeasonalNaive"), ("fc_window_average", "MediaMovil28")):
     oracle(_name, B, f"SELECT unique_id, ds, yhat FROM cv WHERE model = '{_model}'", "yhat")
-oracle("cv_full_outer", B, """SELECT unique_id, ds, cutoff, max(yhat) FILTER (model = 'Naive') AS "Naive", max(yhat) FILTER (model = 'SeasonalNaive') AS "SeasonalNaive", max(yhat) FILTER (model = 'MediaMovil28') AS "MediaMovil28", max(y) AS y FROM cv GROUP BY 1, 2, 3""", "Naive SeasonalNaive MediaMovil28 y")
+oracle("cv_full_outer", B, """SELECT unique_id, ds, cutoff, coalesce(a.y, b.y) AS y, a.yhat AS "SeasonalNaive", b.yhat AS "MediaMovil28" FROM (SELECT * FROM cv WHERE model = 'SeasonalNaive' AND "window" > 0) a
+    FULL JOIN (SELECT * FROM cv WHERE model = 'MediaMovil28' AND "window" < 4) b USING (unique_id, ds, cutoff)""", "y SeasonalNaive MediaMovil28")
+oracle("cv_wide_to_long", B, "SELECT unique_id, ds, cutoff, model, y, yhat FROM cv", "y yhat")
+oracle("weekly_horizon_error", B, """SELECT CAST((step - 1) // 7 + 1 AS INTEGER) AS week, model, avg(w) AS wape FROM (SELECT step, model, sum(abs(y - yhat)) / nullif(sum(abs(y)), 0) AS w FROM cv WHERE "window" < 3 GROUP BY 1, 2) GROUP BY 1, 2""", "wape")
+oracle("recent_days", P, "SELECT unique_id, ds, y, sell_price FROM sales QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) <= 84", "y sell_price")
+_TOTALS = """sum(y) AS "real", sum(a) AS "MediaMovil28", sum(n) AS "Naive", sum(s) AS "SeasonalNaive" FROM (
+    SELECT unique_id, dept_id, ds, max(y) AS y, max(yhat) FILTER (model = 'Naive') AS n, max(yhat) FILTER (model = 'SeasonalNaive') AS s, max(yhat) FILTER (model = 'MediaMovil28') AS a FROM cv WHERE "window" < 3 GROUP BY 1, 2, 3)"""
+oracle("dept_day_totals", B, f"SELECT dept_id AS dept, strftime(ds, '%Y-%m-%d') AS ds, {_TOTALS} GROUP BY dept_id, ds UNION ALL SELECT 'Total', strftime(ds, '%Y-%m-%d'), {_TOTALS} GROUP BY ds", "real MediaMovil28 Naive SeasonalNaive")
+CTES["ahead"] = f"""SELECT unique_id, item_id, dept_id, ds, NULL::DOUBLE AS y, {_CASES(0)} AS event_name_1, sell_price, 'future' AS part
+    FROM (SELECT unique_id, item_id, dept_id, arg_max(sell_price, ds) AS sell_price FROM sales GROUP BY 1, 2, 3), (SELECT CAST(last + CAST(unnest(range(1, 29)) AS INTEGER) AS DATE) AS ds FROM (SELECT max(ds) AS last FROM sales))"""
+CTES["frames"] = "SELECT unique_id, dept_id, ds, event_name_1, sell_price, 'history' AS part FROM sales UNION ALL SELECT unique_id, dept_id, ds, event_name_1, sell_price, part FROM ahead"
+oracle("model_inputs", P + " ahead frames", """SELECT unique_id, ds, CAST(event_name_1 IS NOT NULL AS INTEGER) AS is_event, CAST(least(coalesce(e - ds, 7), 7) AS INTEGER) AS days_to_event, price_rel_item, price_rel_dept, price_change_7, part FROM (
+    SELECT f.*, d.e, sell_price / avg(sell_price) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 90 PRECEDING AND CURRENT ROW) AS price_rel_item, sell_price / avg(sell_price) OVER (PARTITION BY dept_id, ds) AS price_rel_dept,
+    coalesce(sell_price / lag(sell_price, 7) OVER (PARTITION BY unique_id ORDER BY ds) - 1, 0) AS price_change_7
+    FROM frames f JOIN (SELECT ds, min(CASE WHEN ev THEN ds END) OVER (ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM (SELECT ds, bool_or(event_name_1 IS NOT NULL) AS ev FROM frames GROUP BY ds)) d USING (ds))
+    WHERE ds > (SELECT max(ds) FROM sales) - 28""", "price_rel_item price_rel_dept price_change_7")
 oracle("point_metrics", B, "SELECT cutoff, model, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ** 2)) AS rmse, sum(abs(y - yhat)) / nullif(sum(abs(y)), 0) AS wape, CASE WHEN sum(y) > 0 THEN sum(yhat - y) / sum(y) END AS bias FROM cv GROUP BY 1, 2", "mae rmse wape bias")
 CTES["lv"] = """SELECT 'total' AS level, 'total' AS key, ds, sum(y) AS y, sum(y * sell_price) AS r FROM sales GROUP BY ds UNION ALL SELECT 'dept', dept_id, ds, sum(y), sum(y * sell_price) FROM sales GROUP BY dept_id, ds UNION ALL SELECT 'sku', unique_id, ds, y, y * sell_price FROM sales"""
 CTES["scale"] = """SELECT level, key, cutoff, nullif(avg(c * c) FILTER (ds > first), 0) AS scale, coalesce(sum(r) FILTER (ds > cutoff - 28), 0) AS weight FROM wins JOIN (
@@ -129,6 +144,7 @@ CTES["segs"] = " UNION ALL ".join(f"""SELECT split, '{n}' AS "grouping", {e} AS
     FROM sku LEFT JOIN (SELECT c.*, d.dept_id FROM classes c JOIN (SELECT DISTINCT unique_id, dept_id FROM sales) d USING (unique_id)) USING (unique_id) GROUP BY 1, 2, 3, 4""" for n, e in _GROUPS)
 oracle("segment_table", M + " sku" + EC + " segs", "SELECT * FROM segs", "demand mae wape bias rmsse")
 oracle("best_model_by_segment", M + " sku" + EC + " segs", """SELECT "grouping", "group", arg_min(model, (wape, model)) AS model, min(wape) AS wape FROM segs WHERE split = 'eval' GROUP BY 1, 2""", "wape")
+oracle("versus_best", M + " sku" + EC + " segs", """SELECT *, wape_model / nullif(wape_other, 0) - 1 AS difference FROM (SELECT "grouping", "group", max(n_skus) AS n_skus, max(wape) FILTER (model = 'MediaMovil28') AS wape_model, arg_min(model, (wape, model)) FILTER (model <> 'MediaMovil28') AS best_other, min(wape) FILTER (model <> 'MediaMovil28') AS wape_other FROM segs WHERE split = 'eval' GROUP BY 1, 2)""", "wape_model wape_other difference")
 oracle("horizon_error", B, """SELECT step, model, sum(abs(y - yhat)) / nullif(sum(abs(y)), 0) AS wape FROM cv WHERE "window" < 3 GROUP BY 1, 2""", "wape")
 
 
@@ -213,6 +229,11 @@ oracle("sim_single", S, "SELECT * EXCLUDE (order_cost, holding_rate, ld, days) F
 _KPI_D = "service_level fill_rate fill_rate_units cycle_service stockout_days avg_inv_units avg_inv_value days_of_supply orders_per_sku skus_meeting_target"
 oracle("sim_kpis_by_class", S + EC + " kpi", "SELECT * EXCLUDE (order_cost, holding_rate) FROM kpi", _KPI_D)
 oracle("missing_target", S + EC, "SELECT policy, pattern, count(*) AS n_skus, avg(CASE WHEN fill_rate < service_level THEN 1.0 ELSE 0 END) AS missing_share, median(fill_rate) AS median_fill, avg(demand) AS mean_demand FROM skus JOIN (SELECT unique_id, pattern FROM classes) USING (unique_id) WHERE fill_rate IS NOT NULL GROUP BY 1, 2", "missing_share median_fill mean_demand")
+oracle("missing_by_class", S + EC, "SELECT policy, abc, count(*) AS n_skus, avg(CASE WHEN fill_rate >= service_level THEN 1.0 ELSE 0 END) AS meeting_share, quantile_cont(fill_rate, 0.1) AS fill_p10 FROM skus JOIN (SELECT unique_id, abc FROM classes) USING (unique_id) WHERE fill_rate IS NOT NULL GROUP BY 1, 2", "meeting_share fill_p10")
+CTES["scen"] = _scenarios(params.SS_METHODS, params.SERVICE_LEVELS)
+oracle("nominal_service", S + EC + " kpi", """SELECT service_level, max(cycle_service) FILTER (ss_method = 'sqrt') AS "sqrt", max(cycle_service) FILTER (ss_method = 'acumulado') AS acumulado, max(cycle_service) FILTER (ss_method = 'empirico') AS empirico FROM kpi WHERE "group" = 'Total' AND policy = 'MediaMovil28' GROUP BY 1""", "service_level sqrt acumulado empirico")
+CTES["scen"] = _scenarios(["sqrt"], params.FRONTIER_LEVELS, clip=False)
+oracle("service_curve", S + EC + " kpi", """SELECT service_level, fill_rate, cycle_service, avg_inv_value FROM kpi WHERE "group" = 'Total' AND policy = 'MediaMovil28'""", "service_level fill_rate cycle_service avg_inv_value")
 CTES |= _basis(params.LEAD_TIMES)
 CTES["scen"] = _scenarios(params.SS_METHODS, params.SERVICE_LEVELS)
 oracle("scenario_grid", S + EC + " kpi", "SELECT * EXCLUDE (order_cost, holding_rate) FROM kpi", _KPI_D)
@@ -230,10 +251,27 @@ def _at_fill(keys: str, targets) -> str:
 
 
 oracle("inventory_at_fill", S + EC + " kpi", _at_fill('policy, ss_method, lead_time, "group"', params.FILL_TARGETS), "target_fill_rate avg_inv_value")
+CTES["needed"] = _at_fill('policy, ss_method, lead_time, "group"', params.FILL_TARGETS)
+oracle("savings_by_target", S + EC + " kpi needed", """SELECT *, "MediaMovil28" / nullif("Clasica", 0) - 1 AS saving FROM (SELECT target_fill_rate, lead_time, max(avg_inv_value) FILTER (policy LIKE 'Cl%') AS "Clasica", max(avg_inv_value) FILTER (policy = 'SeasonalNaive') AS "SeasonalNaive", max(avg_inv_value) FILTER (policy = 'MediaMovil28') AS "MediaMovil28" FROM needed WHERE "group" = 'Total' GROUP BY 1, 2)""", "target_fill_rate Clasica SeasonalNaive MediaMovil28 saving")
 CTES |= _basis([params.DEFAULT_LEAD])
 CTES["scen"] = _scenarios(["sqrt"], params.FRONTIER_LEVELS, False, [(k, h) for k in params.ORDER_COSTS for h in params.HOLDING_RATES])
 CTES["need"] = f"""SELECT * FROM ({_at_fill('"group", policy, order_cost, holding_rate', [params.DEFAULT_LEVEL])}) WHERE "group" = 'Total'"""
 oracle("cost_sensitivity", S + EC + " kpi need", """SELECT order_cost, holding_rate, c AS inv_classic, a AS inv_average, a / nullif(c, 0) - 1 AS reduction FROM (SELECT order_cost, holding_rate, max(avg_inv_value) FILTER (policy LIKE 'Cl%') AS c, max(avg_inv_value) FILTER (policy = 'MediaMovil28') AS a FROM need GROUP BY 1, 2)""", "order_cost holding_rate inv_classic inv_average reduction")
+CTES["scen"] = _scenarios(params.SS_METHODS, params.FRONTIER_LEVELS, False)
+CTES["needed"] = _at_fill('policy, ss_method, "group"', [params.DEFAULT_LEVEL])
+oracle("method_comparison", S + EC + " kpi needed", """SELECT k.policy, k.ss_method, k.cycle_service, n.avg_inv_value FROM kpi k LEFT JOIN needed n ON k.policy = n.policy AND k.ss_method = n.ss_method AND n."group" = 'Total' WHERE k."group" = 'Total' AND k.service_level = 0.95::DOUBLE""", "cycle_service avg_inv_value")
+CTES["rec"] = f"""SELECT unique_id, lead_time, service_level, ss_method, f, price, CAST(ceil(round(greatest(CASE WHEN ss_method = 'sqrt' THEN z * sigma * sqrt(lead_time::DOUBLE) ELSE z * sigma_lead END, 0), 6)) AS DOUBLE) AS ss FROM (
+    SELECT unique_id, lead_time, list_aggregate(e, 'stddev_samp') AS sigma, list_aggregate(flatten([[list_sum(e[28 * j + s + 1 : 28 * j + s + lead_time]) for s in range(29 - lead_time)] for j in range(6)]), 'stddev_samp') AS sigma_lead FROM arr, {_L.format(", ".join(map(str, params.LEAD_TIMES)))} WHERE policy = 'MediaMovil28')
+    JOIN (SELECT unique_id, avg(y) AS f, arg_max(sell_price, ds) AS price FROM sales WHERE ds > (SELECT max(ds) FROM sales) - 28 GROUP BY 1) USING (unique_id), scen"""
+CTES["scen"] = _scenarios(("sqrt", "acumulado"), params.SERVICE_LEVELS)
+oracle("stock_value_by_segment", B + " arr scen rec" + EC, """SELECT CAST(((CASE lead_time WHEN 3 THEN 0 WHEN 7 THEN 1 ELSE 2 END) * 3 + (CASE service_level WHEN 0.9::DOUBLE THEN 0 WHEN 0.95::DOUBLE THEN 1 ELSE 2 END)) * 2 + (CASE ss_method WHEN 'sqrt' THEN 0 ELSE 1 END) AS INTEGER) AS escenario, segment AS segmento, d.dept_id AS dept, sum(ss * r.price * 0.7::DOUBLE) AS valor
+    FROM rec r JOIN classes USING (unique_id) JOIN (SELECT DISTINCT unique_id, dept_id FROM sales) d USING (unique_id) GROUP BY 1, 2, 3""", "valor")
+CTES["scen"] = _scenarios(["sqrt"], [params.DEFAULT_LEVEL])
+oracle("planner_table", B + " arr scen rec" + EC, """SELECT *, rop + lot AS order_up_to FROM (SELECT r.unique_id, d.item_id, d.dept_id, abc, xyz, segment, pattern, f * 28 AS forecast_28d, f * 7 AS demand_lead_time, ss AS safety_stock, CAST(ceil(round(greatest(f * 7 + ss, 0), 6)) AS DOUBLE) AS rop,
+    greatest(1.0::DOUBLE, CAST(ceil(round(least(greatest(CASE WHEN f > 0 AND r.price > 0 THEN sqrt(2.0 * f * 365 * 5.0 / (r.price * 0.7::DOUBLE * 0.25::DOUBLE)) ELSE 0 END, f), f * 14), 6)) AS DOUBLE)) AS lot
+    FROM rec r JOIN classes USING (unique_id) JOIN (SELECT DISTINCT unique_id, item_id, dept_id FROM sales) d USING (unique_id) WHERE lead_time = 7) ORDER BY forecast_28d DESC, unique_id LIMIT 10""", "forecast_28d demand_lead_time safety_stock rop lot order_up_to")
+CTES |= _classes(0)
+oracle("top_products", C, """SELECT unique_id, revenue, segment, strftime(max(s.ds) FILTER (s.y > 0), '%Y-%m-%d') AS last_sale, strftime(min(s.ds), '%Y-%m') AS first_month FROM classes JOIN sales s USING (unique_id) GROUP BY 1, 2, 3 ORDER BY revenue DESC, unique_id LIMIT 10""", "revenue")
 oracle("recommendation", B + " arr", f"""SELECT unique_id, f * 28 AS forecast_28d, f AS forecast_daily, f * 7 AS demand_lead_time, sigma_error, sigma_lead, price, safety_stock, rop, lot, rop + lot AS order_up_to, 7 AS lead_time, 0.95::DOUBLE AS service_level, 'sqrt' AS ss_method FROM (
     SELECT *, CAST(ceil(round(greatest(f * 7 + safety_stock, 0), 6)) AS DOUBLE) AS rop, greatest(1.0::DOUBLE, CAST(ceil(round(least(greatest(CASE WHEN f > 0 AND price > 0 THEN sqrt(2.0 * f * 365 * 5.0 / (price * 0.7::DOUBLE * 0.25::DOUBLE)) ELSE 0 END, f), f * 14), 6)) AS DOUBLE)) AS lot FROM (
     SELECT *, CAST(ceil(round(greatest({NormalDist().inv_cdf(0.95)!r}::DOUBLE * sigma_error * sqrt(7.0::DOUBLE), 0), 6)) AS DOUBLE) AS safety_stock FROM (SELECT unique_id, list_aggregate(e, 'stddev_samp') AS sigma_error, list_aggregate(flatten([[list_sum(e[28 * j + s + 1 : 28 * j + s + 7]) for s in range(22)] for j in range(6)]), 'stddev_samp') AS sigma_lead FROM arr WHERE policy = 'MediaMovil28')
