@@ -264,7 +264,7 @@ CTES["rec"] = f"""SELECT unique_id, lead_time, service_level, ss_method, f, pric
     SELECT unique_id, lead_time, list_aggregate(e, 'stddev_samp') AS sigma, list_aggregate(flatten([[list_sum(e[28 * j + s + 1 : 28 * j + s + lead_time]) for s in range(29 - lead_time)] for j in range(6)]), 'stddev_samp') AS sigma_lead FROM arr, {_L.format(", ".join(map(str, params.LEAD_TIMES)))} WHERE policy = 'MediaMovil28')
     JOIN (SELECT unique_id, avg(y) AS f, arg_max(sell_price, ds) AS price FROM sales WHERE ds > (SELECT max(ds) FROM sales) - 28 GROUP BY 1) USING (unique_id), scen"""
 CTES["scen"] = _scenarios(("sqrt", "acumulado"), params.SERVICE_LEVELS)
-oracle("stock_value_by_segment", B + " arr scen rec" + EC, """SELECT CAST(((CASE lead_time WHEN 3 THEN 0 WHEN 7 THEN 1 ELSE 2 END) * 3 + (CASE service_level WHEN 0.9::DOUBLE THEN 0 WHEN 0.95::DOUBLE THEN 1 ELSE 2 END)) * 2 + (CASE ss_method WHEN 'sqrt' THEN 0 ELSE 1 END) AS INTEGER) AS escenario, segment AS segmento, d.dept_id AS dept, sum(ss * r.price * 0.7::DOUBLE) AS valor
+oracle("stock_value_by_segment", B + " arr scen rec" + EC, """SELECT CAST(((CASE lead_time WHEN 3 THEN 0 WHEN 7 THEN 1 ELSE 2 END) * 3 + (CASE service_level WHEN 0.9::DOUBLE THEN 0 WHEN 0.95::DOUBLE THEN 1 ELSE 2 END)) * 2 + (CASE ss_method WHEN 'sqrt' THEN 0 ELSE 1 END) AS INTEGER) AS escenario, segment AS segmento, d.dept_id AS dept, sum(ss * r.price) * 0.7::DOUBLE AS valor
     FROM rec r JOIN classes USING (unique_id) JOIN (SELECT DISTINCT unique_id, dept_id FROM sales) d USING (unique_id) GROUP BY 1, 2, 3""", "valor")
 CTES["scen"] = _scenarios(["sqrt"], [params.DEFAULT_LEVEL])
 oracle("planner_table", B + " arr scen rec" + EC, """SELECT *, rop + lot AS order_up_to FROM (SELECT r.unique_id, d.item_id, d.dept_id, abc, xyz, segment, pattern, f * 28 AS forecast_28d, f * 7 AS demand_lead_time, ss AS safety_stock, CAST(ceil(round(greatest(f * 7 + ss, 0), 6)) AS DOUBLE) AS rop,

@@ -60,7 +60,7 @@ def stock_value(panel: DataFrame, classes: DataFrame, table: DataFrame) -> DataF
     """escenario, segmento, dept, valor: the value of safety stock at cost."""
     named = panel.groupBy("unique_id").agg(F.first("dept_id").alias("dept"))
     rows = table.join(classes.select("unique_id", F.col("segment").alias("segmento")), "unique_id").join(named, "unique_id")
-    return rows.groupBy(F.col("scenario").alias("escenario"), "segmento", "dept").agg(F.sum(F.col("safety_stock") * F.col("price") * params.Costs().unit_cost_ratio).alias("valor"))
+    return rows.groupBy(F.col("scenario").alias("escenario"), "segmento", "dept").agg((F.sum(F.col("safety_stock") * F.col("price")) * params.Costs().unit_cost_ratio).alias("valor"))
 
 
 def real_and_forecast(cv: DataFrame) -> DataFrame:

@@ -1,48 +1,106 @@
-"""The global model is fitted on the whole history, with all features, and ablation averages the calibration windows."""
+"""Boosted trees against plain sums, no look-ahead, one fit a window, and better than last week's values."""
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.operators import models
-from stockweave.params import N_CALIB
+from stockweave.operators import backtest, boosting, metrics, models
+from stockweave.params import HORIZON
+from stockweave.session import materialize
 
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    start, events = dt.date(2022, 1, 1), {40: ("Fest", "Local"), 300: ("Feast", "National")}
-    rows = [(f"s{u}", start + dt.timedelta(k), float((k * (u + 3)) % 7 + u), f"s{u}", f"D{u % 2}", 2.0 + k % (5 + u), k % 2, *events.get(k, (None, None))) for u in range(3) for k in range(600)]
-    return spark.createDataFrame(rows, "unique_id string, ds date, y double, item_id string, dept_id string, sell_price double, snap int, event_name_1 string, event_type_1 string").cache()
+    rng = np.random.default_rng(7)
+    start, rows = dt.date(2023, 1, 1), []
+    for u in range(4):
+        level = (1, 3, 6, 9)[u]
+        for k in range(420):
+            price = 2.0 if (k // 14 + u) % 3 else 1.5
+            mean = level * (1.6 if (k + u) % 7 in (0, 1) else 0.8) * (2 / price) ** 2
+            event = ("Fest", "Local") if k % 90 == 40 else (None, None)
+            rows.append((f"s{u}", start + dt.timedelta(k), float(rng.poisson(mean)), f"s{u}", f"D{u % 2}", price, int(k % 30 < 10), *event))
+    df = spark.createDataFrame(rows, "unique_id string, ds date, y double, item_id string, dept_id string, sell_price double, snap int, event_name_1 string, event_type_1 string")
+    return materialize(df, "panel")
 
 
-def test_importance_on_the_whole_panel(panel, monkeypatch):
-    seen, fit = [], models.fit
-    monkeypatch.setattr(models, "fit", lambda rows, *a: seen.append(rows.agg(F.min("ds"), F.max("ds")).first()) or fit(rows, *a))
-    names = {r["feature"] for r in models.importance(panel).collect()}
-    assert {"sell_price", "dept_id", "event_name", "event_type", "day", "month_12"} <= names
-    assert tuple(seen[0]) == (dt.date(2022, 1, 1), dt.date(2022, 1, 1) + dt.timedelta(599))
+@pytest.fixture(scope="module")
+def made(panel):
+    cv, _, importance = models.global_model(panel, n_windows=2, rounds=8)
+    return materialize(cv, "cv"), importance
+
+
+def test_sums_and_the_best_question(spark):
+    rng = np.random.default_rng(1)
+    n = 500
+    bins, y, day = rng.integers(0, 6, (n, 3), dtype=np.uint8), rng.poisson(2, n).astype(float), rng.integers(0, 10, n)
+    rows = spark.createDataFrame([(float(a), int(d), bytearray(b.tobytes())) for a, d, b in zip(y, day, bins, strict=True)], "y double, day int, bins binary").repartition(3)
+    found = [boosting.Model("a", 6, [0, 1, 2], 1.1, 0.3), boosting.Model("b", 9, [2], 1.0, -0.1)]
+    asked = [[(0, 2)], [(2, 3)]]
+    got = boosting._sums(rows, found, asked, 3)
+    for m, model in enumerate(found):
+        for f in model.allowed:
+            for node in range(2):
+                for b in range(6):
+                    own = [i for i in range(n) if day[i] <= model.last and bins[i, f] == b and (bins[i, asked[m][0][0]] > asked[m][0][1]) == bool(node)]
+                    z, p = model.base, model.power
+                    slope = sum(-y[i] * np.exp((1 - p) * z) + np.exp((2 - p) * z) for i in own)
+                    curve = sum((p - 1) * y[i] * np.exp((1 - p) * z) + (2 - p) * np.exp((2 - p) * z) for i in own)
+                    assert got[m, f, node, b] == pytest.approx([slope, curve])
+    question, gain, leaves = boosting._best(got[0], [0, 1, 2])
+    tried = {}
+    for f in range(3):
+        for cut in range(boosting.BINS - 1):
+            parts = [got[0, f, node, side].sum(axis=0) for node in range(2) for side in (slice(0, cut + 1), slice(cut + 1, None))]
+            whole = [got[0, f, node].sum(axis=0) for node in range(2)]
+            worth = lambda s: s[0] ** 2 / (s[1] + boosting.RIDGE)
+            tried[f, cut] = sum(map(worth, parts)) - sum(map(worth, whole))
+    assert gain == pytest.approx(max(tried.values())) and tried[question] == pytest.approx(gain)
+    f, cut = question
+    want = [got[0, f, node, side].sum(axis=0) for side in (slice(0, cut + 1), slice(cut + 1, None)) for node in range(2)]
+    assert leaves == pytest.approx(np.array(want))
+
+
+def test_rounds_lower_the_deviance(spark):
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 8, (600, 2), dtype=np.uint8)
+    y = rng.poisson(np.where(bins[:, 0] > 4, 9.0, 2.0) * (1 + bins[:, 1] / 8)).astype(float)
+    rows = materialize(spark.createDataFrame([(float(a), 0, bytearray(b.tobytes())) for a, b in zip(y, bins, strict=True)], "y double, day int, bins binary"), "rows")
+    model = boosting.fit(rows, [boosting.Model("a", 0, [0, 1])], 2, rounds=12)[0]
+    columns = boosting.matrix(pa.array([b.tobytes() for b in bins], pa.binary()), 2)
+    mean = np.exp(model.score(columns))
+    assert mean[bins[:, 0] > 4].mean() == pytest.approx(y[bins[:, 0] > 4].mean(), rel=0.05)
+    assert ((y - mean) ** 2).mean() < 0.6 * y.var() and sum(model.gains.values()) > 0 and max(model.gains, key=model.gains.get) == 0
 
 
-def test_windows_and_ablation(panel, monkeypatch):
-    class Stop(Exception):
-        pass
+def test_backtest_of_the_boosted_model(panel, made):
+    cv, importance = made
+    assert cv.count() == 4 * 2 * HORIZON and cv.where("yhat is null or yhat < 0").count() == 0
+    shares = {r["feature"]: r["gain_share"] for r in importance.collect()}
+    assert sum(shares.values()) == pytest.approx(1.0) and set(shares) == set(models.feature_columns()) and "item_id" not in shares
+    dept = panel.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id"))
+    both = cv.unionByName(backtest.simple_forecasts(panel, 2)).join(dept, "unique_id")
+    scores = metrics.evaluate(panel, both, backtest.cutoffs(panel, 2))[0].where("level = 'WRMSSE'").collect()
+    value = {(r["cutoff"], r["model"]): r["value"] for r in scores}
+    for cutoff in {c for c, _ in value}:
+        assert value[cutoff, models.BOOSTED] < value[cutoff, backtest.SEASONAL]
 
-    def stop(rows, *a):
-        raise Stop(*rows.agg(F.min("ds"), F.max("ds")).first())
 
-    cutoff = models._cutoffs(panel)[0][1]
-    with monkeypatch.context() as m, pytest.raises(Stop) as stopped:
-        m.setattr(models, "fit", stop)
-        models.global_backtest(panel, range(1))
-    assert stopped.value.args == (dt.date(2022, 1, 1), cutoff)
-    asked = []
+def test_no_look_ahead_and_one_fit_a_window(panel, made):
+    """Demand changed after the older cutoff leaves that window's forecasts alone and changes the newer one's."""
+    cutoffs = sorted(c for _, c in models._cutoffs(panel, 2))
+    changed = panel.withColumn("y", F.when(F.col("ds") > F.lit(cutoffs[0]), F.col("y") * 3 + 5).otherwise(F.col("y")))
+    other = models.global_model(materialize(changed, "changed"), n_windows=2, rounds=8)[0]
+    key = lambda df: {(r["cutoff"], r["unique_id"], r["ds"]): r["yhat"] for r in df.collect()}
+    a, b = key(made[0]), key(other)
+    assert all(a[k] == pytest.approx(b[k]) for k in a if k[0] == cutoffs[0])
+    assert any(a[k] != pytest.approx(b[k]) for k in a if k[0] == cutoffs[1])
 
-    def ahead(base, cutoff, columns, *a, **k):
-        asked.append((cutoff, "sell_price" in columns, "dow_1" in columns))
-        return base.where((F.col("ds") > F.lit(cutoff)) & (F.col("ds") <= F.date_add(F.lit(cutoff), 28))).select("unique_id", "ds", "y", F.lit(3.0).alias("yhat"))
 
-    monkeypatch.setattr(models, "window_forecast", ahead)
-    assert [r["variant"] for r in models.ablation(panel).collect()] == list(models.VARIANTS)
-    assert len({a[0] for a in asked}) == N_CALIB and len(asked) == N_CALIB * len(models.VARIANTS)
-    assert sum(not a[1] for a in asked) == N_CALIB and all(a[2] for a in asked)
+def test_variants():
+    assert "item_id" in models.feature_columns(*models.VARIANTS["con item_id"][:2])
+    assert not set(models.PRICE) & set(models.feature_columns(*models.VARIANTS["sin precio"][:2]))
+    assert not set(models.CALENDAR) & set(models.feature_columns(*models.VARIANTS["sin calendario"][:2]))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.functions import expr
-from stockweave.functions.fitters import ets_forecast, sar_forecast
+from stockweave.functions.fitters import ets_forecast, sarima_forecast
 from stockweave.operators import backtest, classify, features, intervals, policy, simulate
 from stockweave.sources import panel as panels
 from stockweave.sources import synthetic
@@ -123,22 +123,56 @@ def test_inventory_at_fill(spark):
 
 
 def test_raw_layout(spark, tmp_path):
-    synthetic.generate(str(tmp_path), 8, 420)
-    sales, calendar, prices = panels.read_raw(spark, str(tmp_path), 420)
-    panel = panels.build_long(sales, calendar, prices, "CA_1", "FOODS")
+    folder = f"{tmp_path}/raw"
+    synthetic.generate(spark, folder, 8, 420)
+    sales, calendar, prices = panels.read_raw(spark, folder, 420)
+    assert calendar.count() == 448 and calendar.where("event_name_1 is not null").count() > 0 and calendar.agg(F.min("date")).first()[0] == synthetic.START
+    panel = panels.build_long(sales, calendar, prices, "CA_1", "FOODS").cache()
     counts = {r["unique_id"]: r["count"] for r in panel.groupBy("unique_id").count().collect()}
     assert len(counts) == 6 and set(counts.values()) == {420}  # the two late ones are too short
     days = calendar.select(F.col("date").alias("ds"), "wm_yr_wk", "event_name_1", "event_type_1")
     ahead = panels.build_future(panel, days, prices.select(F.concat_ws("_", "item_id", "store_id").alias("unique_id"), "wm_yr_wk", "sell_price"))
     assert ahead.count() == 6 * 28 and ahead.where("sell_price is null").count() == 0
-    with pytest.raises(FileExistsError):
-        synthetic.generate(str(tmp_path), 8, 420)
+    with pytest.raises(Exception, match="(?i)exists"):
+        synthetic.generate(spark, folder, 8, 420)
+    assert panel.agg(F.min("y"), F.max("y")).first()[0] >= 0 and panel.where("sell_price <= 0").count() == 0
+    # known and last prices ahead, every kind of series kept without the filter
+    known = prices.select(F.concat_ws("_", "item_id", "store_id").alias("unique_id"), "wm_yr_wk", "sell_price").where("wm_yr_wk < 11162")
+    last = panels.build_future(panel, days, known).where("wm_yr_wk >= 11162").select("unique_id", "sell_price").distinct()
+    assert last.count() == 6
+    late = panels.build_long(sales, calendar, prices, "CA_1", "FOODS", 1).groupBy("unique_id").count().collect()
+    assert sorted(r["count"] for r in late)[:2] == [210, 322]
+
+
+def test_poisson_draws(spark):
+    for mean in (0.3, 3.0, 20.0):
+        got = spark.range(4000).select(synthetic.poisson(F.lit(mean), 1, F.col("id")).alias("y")).agg(F.avg("y"), F.variance("y"), F.min("y")).first()
+        assert got[0] == pytest.approx(mean, rel=0.1) and got[1] == pytest.approx(mean, rel=0.15) and got[2] >= 0
 
 
 def test_fitters():
     week = np.tile([1.0, 2, 3, 4, 5, 6, 7], 30)
-    assert np.abs(ets_forecast(week) - week[:28]).max() < 0.5 and np.abs(sar_forecast(week) - week[:28]).max() < 0.5
-    assert (ets_forecast(np.zeros(3)) == 0).all()
+    assert np.abs(ets_forecast(week) - week[:28]).max() < 0.5 and np.abs(sarima_forecast(week) - week[:28]).max() < 0.5
+    days = np.arange(400.0)
+    for f in (ets_forecast, sarima_forecast):  # a trend, and a season that grows with it
+        assert np.abs(f(5 + 0.1 * days) - (5 + 0.1 * (400 + np.arange(28)))).max() < 2.0
+        assert (f(np.zeros(3)) == 0).all() and (f(np.zeros(100)) == 0).all() and len(f(np.array([]))) == 28
+        noise = f(np.random.default_rng(1).poisson(4, 300).astype(float))
+        assert np.abs(noise - 4).max() < 2.5 and (noise >= 0).all()
+    rng = np.random.default_rng(2)
+    y = [10.0, 10.0]
+    for _ in range(600):
+        y.append(2 + 0.8 * y[-1] + rng.normal())
+    assert abs(sarima_forecast(np.array(y))[-1] - 10) < 2.5
+
+
+def test_fallback_and_forms_of_a_backtest(spark):
+    rows = [("a", dt.date(2024, 1, k), dt.date(2024, 1, 1), m, 1.0, v) for k in (2, 3) for m, v in (("m1", None if k == 2 else 5.0), ("m2", 7.0))]
+    cv = spark.createDataFrame(rows, "unique_id string, ds date, cutoff date, model string, y double, yhat double")
+    mended = backtest.with_fallback(cv.where("model = 'm1'"), cv.where("model = 'm2'"))
+    assert sorted(r["yhat"] for r in mended.collect()) == [5.0, 7.0]
+    back = backtest.to_long(backtest.to_wide(cv, ["m1", "m2"]), ["m1", "m2"])
+    assert sorted(map(str, back.select(*cv.columns).collect())) == sorted(map(str, cv.collect()))
 
 
 def test_complete_models(spark):
