@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.llm.graph import connected_components, hot_keys, rows_in, spread_join
-from stockweave.llm.words import distinct, mixed, shingle_hashes, slices, sums, word_hashes
+from stockweave.llm.words import distinct, mixed, shingle_hashes, slices, sums, trimmed, word_hashes
 from stockweave.session import attach, materialize
 
 SIDE, ROWS = 16, 3
 #: Members and shingles of a block, so that two blocks fit a task's memory; a bucket's rows are copied once a block.
-BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+BLOCK, BLOCK_SHINGLES = 4096, 1_000_000
 #: A pair whose minimum hashes agree less often than this is not tested on full sets: at similarity 0.75 and
 #: 96 hashes, 4.5 standard deviations below the mean (a few pairs in a million).
 LEAST_AGREEMENT = 0.55
@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS) -> DataFrame:
                 )
                 at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, tuples array<long>, agreement binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, k1 long, k2 long, tuples array<long>, agreement binary")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(sums(mixed(values), at).view(np.int64)), pa.array(np.diff(at).astype(np.int64)), lists], ["doc_id", "k1", "n_shingles", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, n_shingles long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, k1 long, n_shingles long, shingles array<long>")
 
 
 def _keys(reps: DataFrame, side: int) -> DataFrame:
@@ -301,8 +301,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows:
     spread = spread.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "comp", "x", "y")
     full = spread.join(near.select("node", "tuples", "agreement"), "node")
     grouped = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    across = materialize(grouped(full).mapInArrow(_across(side, least), "key long, bi int, bj int, node long, comp long, partners array<long>"), "pairs-rest")
-    more = grouped(across.join(sets, "node")).mapInArrow(_linked(percent), "u long, v long")
+    across = materialize(grouped(full).mapInArrow(trimmed(_across(side, least)), "key long, bi int, bj int, node long, comp long, partners array<long>"), "pairs-rest")
+    more = grouped(across.join(sets, "node")).mapInArrow(trimmed(_linked(percent)), "u long, v long")
     more = materialize(more.distinct(), "links-rest")
     # a component's id is the least doc_id of its nodes
     components = connected_components(links.union(more).union(own))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm.tokens import encoder
+from stockweave.llm.words import trimmed
 from stockweave.session import attach
 
 TIERS = (512, 1024, 2048, 4096)
@@ -161,4 +162,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
         packer.finish()
         yield rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run, encodes=True), SCHEMA)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.words import distinct, shingle_hashes, slices, sums, word_hashes
+from stockweave.llm.words import distinct, shingle_hashes, slices, sums, trimmed, word_hashes
 from stockweave.session import attach
 
 #: Most labelled rows the model is learnt from, the first by a hash of doc_id.
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().to_pylist()
+    got = rows.mapInArrow(trimmed(run), "doc_id long, quality int, x binary").toArrow().to_pylist()
     got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in got), float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([float(r["quality"] == 1) for r in got]))
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> Data
             s = model.score(features(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) ->
         for b in batches:
             yield b.filter(pa.array(model.score(features(b.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

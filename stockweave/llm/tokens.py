@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-#: Words kept per worker; the table is emptied when it is full.
-WORD_CAP = 500_000
+#: Words kept per worker and generation: a full table becomes the older one, from which words still met are taken over.
+WORD_CAP = 150_000
 _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 #: White space to Python's split(), but not to the tokenizer.
@@ -29,12 +29,14 @@ def byte_symbols() -> list[str]:
 class _Words(dict):
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word):
         if len(self) >= WORD_CAP:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = self.encode(word)
+        out = self.older.get(word)
+        out = self[word] = self.encode(word) if out is None else out
         return out
 
 
@@ -49,7 +51,6 @@ class Encoder:
         self.model = self.tokenizer.model
         self.simple_ok = self._plain_words_agree()
         self.symbols = byte_symbols()
-        self.pieces = _Words(self._piece)
         self.words = _Words(self._word)
 
     def _plain_words_agree(self) -> bool:
@@ -70,7 +71,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         if self.simple_ok and "<|" not in word and _SIMPLE.fullmatch(word):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+            return b"".join(map(self._piece, _PIECE.findall(word.lower())))
         return self._full(word)
 
     def ids_of(self, text: str | None) -> bytes:
@@ -91,6 +92,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the worker's encoders, and their words, before work that needs none."""
+    _ENCODERS.clear()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

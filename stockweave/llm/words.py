@@ -6,12 +6,16 @@ size, so memory follows the slice or the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+from stockweave.llm.tokens import forget
+
+#: Working arrays take some hundred bytes a byte of the slice.
+SLICE_BYTES = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,6 +35,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trimmed(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """run, giving freed memory back to the system at a task's end: workers live on and serve other stages.
+
+    A run that does not encode drops the worker's encoders first.
+    """
+
+    def again(batches):
+        if not encodes:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return again
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row count, bytes, row offsets in them); null texts are empty."""
     column = column.cast(pa.large_string()).fill_null("")
