@@ -70,9 +70,15 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.simple_ok and "<|" not in word and _SIMPLE.fullmatch(word):
-            return b"".join(map(self._piece, _PIECE.findall(word.lower())))
-        return self._full(word)
+        """A word's ids; its pieces (runs of letters or signs, digits) are words of the table themselves."""
+        if not self.simple_ok or "<|" in word:
+            return self._full(word)
+        if word.isascii() and word.isalpha():
+            return self._piece(word) if word.islower() else self.words[word.lower()]
+        if not _SIMPLE.fullmatch(word):
+            return self._full(word)
+        pieces = _PIECE.findall(word.lower())
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
 
     def ids_of(self, text: str | None) -> bytes:
         if not text:
