@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import chat, chunks, html_text, minhash, mixing, packing, quality, shards, topk, urls
+from stockweave.llm import chat, chunks, html_text, minhash, mixing, packing, quality, ranked, runs, shards, topk, urls, vectors
 from stockweave.llm.tokens import default_tokenizer
 
 END_ID = 2
@@ -72,11 +72,47 @@ def op10_token_shards(spark, sf_dir):
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_runs(spark, sf_dir):
+    """Documents whose crc32 ends in 0 get a periodic tail first, as the contract says."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    edited = F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(F.col("text"))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    found = runs.find_runs(docs, edited).withColumn("best", F.when(F.size("runs") > 0, longest))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    length, period = -F.col("best.l"), F.col("best.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_dedup(spark, sf_dir):
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_source_mix, op3_url_filter, op4_pack, op5_fingerprints, op6_topk, op7_chat_format, op8_quality_gam, op9_html_main_text, op10_token_shards)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_source_mix, op3_url_filter, op4_pack, op5_fingerprints, op6_topk, op7_chat_format, op8_quality_gam, op9_html_main_text, op10_token_shards, op11_runs, op12_vector_dedup, op13_ranked_search)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def _url_sql(levels: int = 6) -> str:
     """The template tree level by level, for paths of at most that many segments."""
@@ -140,6 +176,35 @@ _ORACLES = {
         a AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
         sum(length(replace(text, '<|', '<||')) + CASE WHEN head THEN length('{chat.START}{chat.END}') + 2 + length(replace(replace(role, '<|', '<||'), chr(10), '{chat.NL}')) ELSE length('{chat.SEP}') END) AS f FROM o GROUP BY conv_id)
         SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM a""",
+    "op11_runs": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+        h AS (SELECT *, len(w) AS n, CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(CAST(doc_id AS VARCHAR), '')])),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) END AS h FROM d),
+        a AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM h),
+        e AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] for i in range(n)] ELSE w END AS w FROM a),
+        g AS (SELECT r, n, unnest(range(n - 5)) AS i, unnest([array_to_string(w[i + 1 : i + 6], ' ') for i in range(n - 5)]) AS g FROM e),
+        m AS (SELECT a.r, b.i - a.i AS q, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS island, a.i FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND a.i < b.i AND 2 * (b.i - a.i) <= a.n),
+        s AS (SELECT r, q, min(i) AS start, count(*) + 5 + q AS length FROM m GROUP BY r, q, island HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+        u AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM s GROUP BY r, start, length),
+        x AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+        k AS (SELECT e.r, string_agg(e.word, ' ' ORDER BY e.i) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM e WHERE r IN (SELECT r FROM u)) e ANTI JOIN x ON e.r = x.r AND e.i = x.i GROUP BY e.r),
+        b AS (SELECT r, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM u GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.b.s AS start, b.b.l AS length, b.b.p AS period, 1000 * b.b.l // b.b.p AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256
+        FROM e LEFT JOIN b ON e.r = b.r LEFT JOIN k ON e.r = k.r""",
+    "op12_vector_dedup": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        u AS (SELECT r, vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+        links AS (SELECT a.r AS u, b.r AS v FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.95),
+        reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, links.v FROM reach JOIN links ON links.u = reach.s),
+        c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY 1),
+        n AS (SELECT u AS r, count(*) AS n FROM links GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)""",
+    "op13_ranked_search": rf"""WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_TERM}')) AS t FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+        n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY r),
+        s AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM n),
+        f AS (SELECT r, t, count(*) AS tf FROM t GROUP BY ALL),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY t, big_n),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_TERM}')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+        x AS (SELECT item_id, n.r, n.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // l)))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN f USING (t) JOIN n USING (r), s GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 AND doc_id IS NOT NULL WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 50""",
 }
 
 

@@ -134,7 +134,7 @@ def build_index(rows: DataFrame) -> DataFrame:
     return rows.groupBy("w", "block").applyInPandas(pack, "w int, block int, n int, bits int, ids binary, slices binary, vectors binary")
 
 
-def _copies(rows: DataFrame, name: str, times: str) -> DataFrame:
+def copies(rows: DataFrame, name: str, times: str) -> DataFrame:
     """rows as often as their column times says, numbered in a new column; one batch is held at a time, however many copies."""
 
     def run(batches):
@@ -215,8 +215,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
 
     grouped = asking.join(sizes, "w").withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), "groups").cast("int"))
     groups = grouped.groupBy("w", "group").applyInPandas(gather, "w int, group int, query_ids binary, queries binary").join(sizes, "w")
-    groups = _copies(groups.select("w", "query_ids", "queries", F.pmod("group", "shares").cast("int").alias("share"), "blocks"), "block", "blocks").drop("blocks")
-    met = _copies(index, "share", "shares").drop("shares").unionByName(groups, allowMissingColumns=True).repartition("w", "block", "share")
+    groups = copies(groups.select("w", "query_ids", "queries", F.pmod("group", "shares").cast("int").alias("share"), "blocks"), "block", "blocks").drop("blocks")
+    met = copies(index, "share", "shares").drop("shares").unionByName(groups, allowMissingColumns=True).repartition("w", "block", "share")
     order = met.sortWithinPartitions("w", "block", "share", F.col("slices").isNull())
     found = order.select("w", "block", "n", "bits", "ids", "slices", "vectors", "query_ids", "queries").mapInArrow(_probe(k), "query_id long, vec_id long, score long, exact binary")
     best = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")

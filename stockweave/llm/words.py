@@ -16,13 +16,13 @@ from stockweave.llm.tokens import forget
 
 #: Working arrays take some hundred bytes a byte of the slice.
 SLICE_BYTES = 1 << 19
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE[_SPACE] = 0
+_BYTE[SPACE] = 0
 _BASE = np.uint64(int(_RNG.integers(0, 1 << 63)) * 2 + 1)
 _POWERS = np.cumprod(np.full(1 << 12, _BASE, np.uint64), dtype=np.uint64)
 _PLACES = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,13 +79,13 @@ def sums(values: np.ndarray, offsets: np.ndarray, op=np.add) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, offset of each row's first word, start of each word)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, offset of each row's first word, start of each word); apart marks the bytes between words."""
     global _POWERS
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[data]
+    space = apart[data]
     start = ~space
     start[1:] &= space[:-1]
     firsts = offsets[:-1][offsets[:-1] < len(data)]
@@ -99,7 +99,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     longest = int(place.max()) + 1
     if longest > len(_POWERS):
         _POWERS = np.cumprod(np.full(2 * longest, _BASE, np.uint64), dtype=np.uint64)
-    terms = _BYTE[_LOWER[data]] * _POWERS[place]
+    terms = _BYTE[_LOWER[data] if lower else data] * _POWERS[place]
+    if apart is not SPACE:
+        terms[space] = 0
     return mixed(np.add.reduceat(terms, at)), word_offsets, at
 
 
