@@ -37,7 +37,7 @@ SHARD_BYTES, SHARD_DOCS, GROUP_TERMS = 16 << 20, 1 << 14, 1 << 16
 B_PERCENT, K, IMPACT = 50, 20, 1_000_000_000
 _APART = np.ones(256, bool)
 _APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-_SHARD = "tokens long, filled long, ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary"
+_SHARD = "tokens long, filled long, ids binary, named binary, lengths binary, terms binary, starts binary, docs binary, counts binary"
 _HIT = "item_id long, doc_id long, score long"
 
 
@@ -88,12 +88,12 @@ def build_index(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     bits = len(wanted) * 8
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def shard(ids, lengths, rows, terms, counts):
+    def shard(ids, named, lengths, rows, terms, counts):
         order = np.lexsort((rows, terms))
         terms, rows, counts = terms[order], rows[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-        row = [int(lengths.sum()), int((lengths > 0).sum()), ids.tobytes(), _narrow(lengths), terms[first].tobytes(), np.append(first, len(terms)).astype(np.int64).tobytes(), _narrow(rows), _narrow(counts)]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        row = [int(lengths.sum()), int((lengths > 0).sum()), ids.tobytes(), named.tobytes(), _narrow(lengths), terms[first].tobytes(), np.append(first, len(terms)).astype(np.int64).tobytes(), _narrow(rows), _narrow(counts)]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _SHARD.split(", ")])
 
     def run(batches):
@@ -101,17 +101,17 @@ def build_index(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         held, n_rows, n_bytes = [], 0, 0
         for batch in batches:
             known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for row, n, hashes, at in _terms(batch.column(1)):
                 lengths, owner = np.diff(at), np.repeat(np.arange(n), np.diff(at))
-                hit = passes[(hashes % np.uint64(bits)).astype(np.int64)] & ~missing[row : row + n][owner]
+                hit = passes[(hashes % np.uint64(bits)).astype(np.int64)]
                 terms, owner = hashes[hit], owner[hit]
                 order = np.lexsort((terms, owner))
                 terms, owner = terms[order], owner[order]
                 new = np.ones(len(terms), bool)
                 new[1:] = (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])
                 first = np.flatnonzero(new)
-                held.append((known[row : row + n].astype(np.int64), lengths, owner[first] + n_rows, terms[first].view(np.int64), np.diff(np.append(first, len(terms)))))
+                held.append((known[row : row + n].astype(np.int64), named[row : row + n], lengths, owner[first] + n_rows, terms[first].view(np.int64), np.diff(np.append(first, len(terms)))))
                 n_rows, n_bytes = n_rows + n, n_bytes + 6 * len(hashes)
                 if n_rows >= SHARD_DOCS or n_bytes >= SHARD_BYTES:
                     yield shard(*map(np.concatenate, zip(*held, strict=True)))
@@ -183,7 +183,7 @@ def _search(k: int, n: int, tokens: int):
             for r in batch.to_pylist():
                 if r["terms"] is not None:
                     shard, lists = r["shard"], {}
-                    ids, lengths = np.frombuffer(r["ids"], np.int64), _wide(r["lengths"])
+                    ids, named, lengths = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["named"], bool), _wide(r["lengths"])
                     m = 100 - B_PERCENT + (B_PERCENT * lengths * n) // max(1, tokens)
                     terms, starts, docs, counts = np.frombuffer(r["terms"], np.int64), np.frombuffer(r["starts"], np.int64), _wide(r["docs"]), _wide(r["counts"])
                     continue
@@ -195,7 +195,8 @@ def _search(k: int, n: int, tokens: int):
                 for j in hit.tolist():
                     if asked[j].item() not in lists:
                         lo, hi = starts[at[j]], starts[at[j] + 1]
-                        own, tf = docs[lo:hi], counts[lo:hi]
+                        ranked = named[docs[lo:hi]]
+                        own, tf = docs[lo:hi][ranked], counts[lo:hi][ranked]
                         impacts = weights[j] * ((IMPACT * tf) // (1000 * tf + K * m[own]))
                         order = np.argsort(-impacts, kind="stable")
                         lists[asked[j].item()] = impacts[order], own[order]

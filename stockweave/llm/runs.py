@@ -130,7 +130,9 @@ def segment_runs(word: np.ndarray, least: int = LEAST) -> list[tuple[int, int, i
         if sets[p] is None:
             sets[p] = own
             continue
-        small, large = sorted((own, sets[p]), key=len)
+        small, large = own, sets[p]
+        if len(small) > len(large):
+            small, large = large, small
         most = length[p]
         for e in small:
             below, above = large.neighbours(e)
@@ -191,7 +193,7 @@ def text_runs(words: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> lis
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at, firsts = segments(words, owner, least - least // 2)
     out = []
-    for lo, hi in zip(firsts.tolist(), [*firsts[1:].tolist(), len(at)], strict=True):
+    for lo, hi in zip(firsts.tolist(), [*firsts.tolist(), len(at)][1:], strict=True):
         first = int(at[lo])
         row = int(owner[first])
         _, small = np.unique(words[at[lo:hi]], return_inverse=True)
