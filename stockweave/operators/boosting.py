@@ -1,9 +1,14 @@
 """Gradient-boosted trees with a Tweedie loss (log link) over all series, several models in the same passes.
 
-Rows are binned once into a written table of bytes. Trees are symmetric: a level asks one question of all nodes, so a
-row's leaf is a few bits. Each level is one Spark job: tasks work out the scores of the trees so far, sum gradients and
-curvatures by node, feature and bin, and these sums are added up over tasks by (model, feature); the driver sees one
-small table of sums a model, whatever the rows. Nothing is kept on executors between jobs, so a lost one costs a retry.
+Rows are binned once into a written table of bytes, which also carries every model's score of a row. The table is
+written anew every SAVE_EVERY trees, so a task works out the scores of the last few trees only, and a run's work is
+linear in its trees; the table before is deleted. Trees grow leaf by leaf: the driver holds the sums of slopes,
+curvatures and rows by feature and bin of every open leaf (a table whose size is leaves x features x bins) and splits
+the best ones. One Spark job then sums the smaller child of each split over the rows; its sibling is the parent less
+that child. Leaves that gain much less than the best open one wait, as splitting one by one would have them wait.
+
+A tree learns from a share of the rows and of the features, both chosen by a hash of the tree's number: the same in any
+partitioning, and in a retried task. Nothing is kept on executors between jobs, so a lost one costs a retry.
 
 Models differ in the last day they learn from, their features and the power of the variance (1: Poisson). All windows
 of a backtest, and the final model, grow in the same jobs.
@@ -11,6 +16,7 @@ of a backtest, and the final model, grow in the same jobs.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,12 +24,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.session import attach, materialize, shuffle_partitions
+from stockweave.session import attach, discard, materialize, shuffle_partitions
 
-ROUNDS, DEPTH, RATE, BINS, RIDGE = 25, 4, 0.25, 32, 1.0
+#: Fixed values of the method.
+ROUNDS, LEAVES, RATE, RIDGE, MIN_ROWS, ROW_SHARE, FEATURE_SHARE = 600, 63, 0.05, 1.0, 50, 0.8, 0.8
+BINS, SAVE_EVERY = 32, 5
+#: An open leaf waits while its gain is below this share of the best one's.
+EAGER = 0.03
 EPOCH = "1970-01-01"
 
 
+@dataclass
+class Tree:
+    """Nodes in arrays: a leaf has feature -1; a row goes right if its bin is above cut."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    cut: list[int] = field(default_factory=lambda: [0])
+    left: list[int] = field(default_factory=lambda: [0])
+    right: list[int] = field(default_factory=lambda: [0])
+    value: list[float] = field(default_factory=lambda: [0.0])
+    depth: list[int] = field(default_factory=lambda: [0])
+
+    def split(self, node: int, feature: int, cut: int) -> tuple[int, int]:
+        """The numbers of node's new children."""
+        n = len(self.feature)
+        self.feature[node], self.cut[node], self.left[node], self.right[node] = feature, cut, n, n + 1
+        for x, new in ((self.feature, -1), (self.cut, 0), (self.left, 0), (self.right, 0), (self.value, 0.0), (self.depth, self.depth[node] + 1)):
+            x += [new, new]
+        return n, n + 1
+
+    def places(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row; bins: (features, rows)."""
+        feature, cut, left, right = (np.array(x) for x in (self.feature, self.cut, self.left, self.right))
+        node, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+        for _ in range(max(self.depth)):
+            f = feature[node]
+            node = np.where(f < 0, node, np.where(bins[f, rows] > cut[node], right[node], left[node]))
+        return node
+
+
 @dataclass
 class Model:
     """last: the last day learnt from, in days since 1970; allowed: places of its features."""
@@ -33,14 +72,16 @@ class Model:
     allowed: list[int]
     power: float = 1.1
     base: float = 0.0
-    trees: list[tuple[list[tuple[int, int]], np.ndarray]] = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
     gains: dict[int, float] = field(default_factory=dict)
-
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        """Logarithm of the expected demand; bins: (features, rows)."""
-        z = np.full(bins.shape[1], self.base)
-        for questions, leaves in self.trees:
-            z += leaves[places(bins, questions)]
+    #: Time that tasks spent on this model's sums.
+    seconds: float = 0.0
+
+    def score(self, bins: np.ndarray, start: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+        """Logarithm of the expected demand: base, or start with the trees before first, and the trees from first on."""
+        z = np.full(bins.shape[1], self.base) if start is None else start.copy()
+        for tree in self.trees[first:]:
+            z += np.array(tree.value)[tree.places(bins)]
         return z
 
     def slopes(self, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +90,6 @@ class Model:
         return high - y * low, (2 - self.power) * high - (1 - self.power) * y * low
 
 
-def places(bins: np.ndarray, questions: list[tuple[int, int]]) -> np.ndarray:
-    """The node of each row after the questions (feature, greatest bin on the left)."""
-    node = np.zeros(bins.shape[1], np.int64)
-    for k, (f, cut) in enumerate(questions):
-        node |= (bins[f] > cut).astype(np.int64) << k
-    return node
-
-
 def edges(rows: DataFrame, columns: list[str]) -> list[np.ndarray]:
     """Quantiles of each column: the inner bounds of its bins. One aggregation."""
     points = [k / BINS for k in range(1, BINS)]
@@ -81,77 +114,159 @@ def binned(rows: DataFrame, columns: list[str], bounds: list[np.ndarray], *kept:
     return given.mapInArrow(run, f"{fields}, bins binary")
 
 
+def _raw(column: pa.Array, kind) -> np.ndarray:
+    """The values of a binary column without nulls, one after another."""
+    if not len(column):
+        return np.zeros(0, kind)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+
+
 def matrix(column: pa.Array, n_features: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n_features).T)
+    return np.ascontiguousarray(_raw(column, np.uint8).reshape(-1, n_features).T)
 
 
-def _sums(rows: DataFrame, models: list[Model], asked: list[list[tuple[int, int]]], n_features: int) -> np.ndarray:
-    """(model, feature, node, bin, 2): sums of slopes and curvatures at the open nodes of each model's tree."""
-    nodes = 1 << len(asked[0])
-    shape = (nodes, BINS, 2)
+def sampled(key: np.ndarray, tree: int, share: float) -> np.ndarray:
+    """Which rows a tree learns from, by a hash of their key and its number."""
+    x = key.view(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) < np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+
+
+def chosen_features(allowed: list[int], tree: int, share: float) -> list[int]:
+    """The features that a tree may ask about: a hash of their places and its number orders them, the first share is taken."""
+    score = {f: int(np.random.default_rng([tree, f]).integers(1 << 62)) for f in allowed}
+    return sorted(sorted(allowed, key=score.get)[: max(1, round(share * len(allowed)))])
+
+
+def sums(rows: DataFrame, models: list[Model], trees: list[Tree], wanted: list[list[int]], features: list[list[int]], saved: int, n_features: int, number: int, row_share: float) -> list[np.ndarray]:
+    """Per model (leaf, feature, bin, 3): slopes, curvatures and rows of the wanted leaves of its open tree.
+
+    One job: tasks sum their rows, and their sums are added up by model and leaf, as is the time they took (leaf -1).
+    features: places a tree asks about.
+    """
+    n_models = len(models)
 
     def count(batches):
-        total = np.zeros((len(models), n_features, nodes * BINS, 2))
+        total = [np.zeros((len(f), len(w) * BINS, 3)) for f, w in zip(features, wanted, strict=True)]
+        spent = np.zeros(n_models)
         for b in batches:
-            bins, y, day = matrix(b.column("bins"), n_features), b.column("y").to_numpy(), b.column("day").to_numpy()
+            take = sampled(b.column("key").to_numpy(), number, row_share)
+            if not take.any():
+                continue
+            bins, y, day = matrix(b.column("bins"), n_features)[:, take], b.column("y").to_numpy()[take], b.column("day").to_numpy()[take]
+            z = _raw(b.column("z"), np.float64).reshape(-1, n_models)[take]
             for m, model in enumerate(models):
-                own = day <= model.last
-                if not own.any():
+                if not wanted[m]:
                     continue
-                part, target = (bins, y) if own.all() else (bins[:, own], y[own])
-                g, h = model.slopes(target, model.score(part))
-                at = places(part, asked[m]) * BINS
-                for f in model.allowed:
+                began = time.perf_counter()
+                slot = np.full(len(trees[m].feature), -1)
+                slot[wanted[m]] = np.arange(len(wanted[m]))
+                own = np.flatnonzero(day <= model.last)
+                at = slot[trees[m].places(bins[:, own])]
+                own, at = own[at >= 0], at[at >= 0] * BINS
+                part = bins[:, own]
+                g, h = model.slopes(y[own], model.score(part, z[own, m], saved))
+                for k, f in enumerate(features[m]):
                     cell = at + part[f]
-                    total[m, f, :, 0] += np.bincount(cell, g, nodes * BINS)
-                    total[m, f, :, 1] += np.bincount(cell, h, nodes * BINS)
-        keys = [(m, f) for m, model in enumerate(models) for f in model.allowed]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([f for _, f in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["model", "feature", "sums"])
+                    for c, weight in enumerate((g, h, None)):
+                        total[m][k, :, c] += np.bincount(cell, weight, total[m].shape[1])
+                spent[m] += time.perf_counter() - began
+        keys = [(m, k) for m, w in enumerate(wanted) for k in range(-1, len(w))]
+        cut = [(total[m][:, k * BINS : (k + 1) * BINS] if k >= 0 else spent[m]).tobytes() for m, k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(cut, pa.binary())], ["model", "leaf", "sums"])
 
     def add(batches):
         held: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for m, f, s in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                held[m, f] = held.get((m, f), 0.0) + np.frombuffer(s)
-        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.int32()), pa.array([f for _, f in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["model", "feature", "sums"])
+            for m, k, s in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                held[m, k] = held.get((m, k), 0.0) + np.frombuffer(s)
+        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.int32()), pa.array([k for _, k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["model", "leaf", "sums"])
 
-    schema = "model int, feature int, sums binary"
+    schema = "model int, leaf int, sums binary"
     reducers = min(8, shuffle_partitions(rows.sparkSession))
-    got = rows.mapInArrow(count, schema).repartition(reducers, "model", "feature").mapInArrow(add, schema).toArrow()
-    out = np.zeros((len(models), n_features, *shape))
-    for m, f, s in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True):
-        out[m, f] = np.frombuffer(s).reshape(shape)
+    got = rows.mapInArrow(count, schema).repartition(reducers, "model", "leaf").mapInArrow(add, schema).toArrow()
+    out = [np.zeros((len(w), len(f), BINS, 3)) for f, w in zip(features, wanted, strict=True)]
+    for m, k, s in zip(*(got.column(c).to_pylist() for c in range(3)), strict=True):
+        if k < 0:
+            models[m].seconds += float(np.frombuffer(s)[0])
+        else:
+            out[m][k] = np.frombuffer(s).reshape(out[m].shape[1:])
     return out
 
 
-def _best(sums: np.ndarray, allowed: list[int]) -> tuple[tuple[int, int], float, np.ndarray]:
-    """The question that gains most over all nodes: (feature, cut), gain, leaf sums (2 * nodes, 2) after it."""
-    left = sums[allowed].cumsum(axis=2)[:, :, :-1]  # feature, node, cut
-    whole = sums[allowed].sum(axis=2)[:, :, None]
+def best_split(leaf: np.ndarray, min_rows: int = MIN_ROWS) -> tuple[float, int, int, bool]:
+    """(gain, place of the feature, cut, whether the left child has fewer rows) of a leaf's sums (feature, bin, 3)."""
+    left = leaf.cumsum(axis=1)[:, :-1]
+    whole = leaf.sum(axis=1)[:, None]
     right = whole - left
-    worth = lambda s: s[..., 0] ** 2 / (s[..., 1] + RIDGE)
-    gain = (worth(left) + worth(right) - worth(whole)).sum(axis=1)
+    worth = lambda s: s[..., 0] ** 2 / (np.maximum(s[..., 1], 0.0) + RIDGE)
+    gain = np.where((left[..., 2] >= min_rows) & (right[..., 2] >= min_rows), worth(left) + worth(right) - worth(whole), -1.0)
     f, cut = np.unravel_index(int(gain.argmax()), gain.shape)
-    return (allowed[f], int(cut)), float(gain[f, cut]), np.concatenate([left[f, :, cut], right[f, :, cut]])
+    return float(gain[f, cut]), int(f), int(cut), bool(left[f, cut, 2] <= right[f, cut, 2])
+
+
+def _grow(rows, models, saved, n_features, number, options) -> None:
+    """One tree for every model."""
+    leaves, rate, min_rows, row_share, feature_share = options
+    features = [chosen_features(m.allowed, number, feature_share) for m in models]
+    trees, known = [Tree() for _ in models], [{} for _ in models]  # known: sums of open leaves
+    pairs: list[list[tuple[int, int | None, np.ndarray | None]]] = [[(0, None, None)] for _ in models]  # leaf to sum, sibling, parent's sums
+    while any(pairs):
+        got = sums(rows, models, trees, [[x[0] for x in p] for p in pairs], features, saved, n_features, number, row_share)
+        for m, model in enumerate(models):
+            for (leaf, sibling, parent), own in zip(pairs[m], got[m], strict=True):
+                known[m][leaf] = own
+                if sibling is not None:
+                    known[m][sibling] = parent - own
+            pairs[m] = []
+            splits = sorted(((*best_split(s, min_rows), leaf) for leaf, s in known[m].items()), reverse=True) if len(known[m]) < leaves else []
+            splits = [s for s in splits[: leaves - len(known[m])] if s[0] > 1e-9 and s[0] >= EAGER * splits[0][0]]
+            for gain, f, cut, left_is_less, leaf in splits:
+                place = features[m][f]
+                left, right = trees[m].split(leaf, place, cut)
+                model.gains[place] = model.gains.get(place, 0.0) + gain
+                parent = known[m].pop(leaf)
+                known[m][left] = known[m][right] = parent  # until summed
+                pairs[m].append((left, right, parent) if left_is_less else (right, left, parent))
+    for m, model in enumerate(models):
+        for leaf, s in known[m].items():
+            g, h, _ = s[0].sum(axis=0)
+            trees[m].value[leaf] = -rate * g / (max(h, 0.0) + RIDGE)
+        model.trees.append(trees[m])
+
+
+def scored(rows: DataFrame, models: list[Model], n_features: int, saved: int | None) -> DataFrame:
+    """rows with z: every model's score after its trees so far; saved: how many trees z has, None where there is no z yet."""
+    kept = ["y", "day", "key", "bins"]
+    n_models = len(models)
+
+    def run(batches):
+        for b in batches:
+            bins = matrix(b.column("bins"), n_features)
+            old = None if saved is None else _raw(b.column("z"), np.float64).reshape(-1, n_models)
+            z = np.column_stack([m.score(bins, None if old is None else old[:, k], saved or 0) for k, m in enumerate(models)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([r.tobytes() for r in z], pa.binary())], [*kept, "z"])
+
+    return rows.mapInArrow(run, "y double, day int, key long, bins binary, z binary")
 
 
-def fit(rows: DataFrame, models: list[Model], n_features: int, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE) -> list[Model]:
-    """Grow every model on rows(y, day, bins), a written table."""
-    rows = rows.where("bins is not null and y is not null").select("y", "day", "bins")
+def fit(rows: DataFrame, models: list[Model], n_features: int, rounds: int = ROUNDS, leaves: int = LEAVES, rate: float = RATE, min_rows: int = MIN_ROWS, row_share: float = ROW_SHARE, feature_share: float = FEATURE_SHARE) -> list[Model]:
+    """Grow every model on rows(y, day, key, bins), a written table; key spreads the rows for sampling."""
+    rows = rows.where("bins is not null and y is not null").select("y", "day", "key", "bins")
     known = [(F.sum(F.when(F.col("day") <= m.last, F.col("y"))), F.count(F.when(F.col("day") <= m.last, 1))) for m in models]
     means = rows.agg(*[x for pair in known for x in pair]).first()
     for k, m in enumerate(models):
         m.base = float(np.log(max((means[2 * k] or 0.0) / max(means[2 * k + 1], 1), 1e-6)))
-    for _ in range(rounds):
-        asked: list[list[tuple[int, int]]] = [[] for _ in models]
-        for _level in range(depth):
-            sums = _sums(rows, models, asked, n_features)
-            for k, m in enumerate(models):
-                question, gain, leaves = _best(sums[k], m.allowed)
-                asked[k].append(question)
-                m.gains[question[0]] = m.gains.get(question[0], 0.0) + max(gain, 0.0)
-                if len(asked[k]) == depth:
-                    m.trees.append((asked[k], -rate * leaves[:, 0] / (leaves[:, 1] + RIDGE)))
+    table, saved = materialize(scored(rows, models, n_features, None), "scores"), 0
+    for number in range(rounds):
+        _grow(table, models, saved, n_features, number, (leaves, rate, min_rows, row_share, feature_share))
+        if number + 1 - saved >= SAVE_EVERY and number + 1 < rounds:
+            new = materialize(scored(table, models, n_features, saved), "scores")
+            discard(table)
+            table, saved = new, number + 1
+    discard(table)
     return models
 
 
@@ -162,10 +277,10 @@ def predict(rows: DataFrame, models: list[Model], n_features: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            names, values = b.column("model").to_pylist(), b.column("bins").to_pylist()
+            names, values = b.column("model").to_pylist(), b.column("bins").is_valid().to_pylist()
             out = np.full(b.num_rows, np.nan)
             for name in set(names):
-                at = [i for i, (n, v) in enumerate(zip(names, values, strict=True)) if n == name and v is not None]
+                at = [i for i, (n, v) in enumerate(zip(names, values, strict=True)) if n == name and v]
                 if at:
                     out[at] = np.exp(by_name[name].score(matrix(b.column("bins").take(pa.array(at)), n_features)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.float64(), from_pandas=True)], [*kept, "yhat"])
@@ -175,4 +290,6 @@ def predict(rows: DataFrame, models: list[Model], n_features: int) -> DataFrame:
 
 
 def written_bins(rows: DataFrame, columns: list[str], bounds: list[np.ndarray]) -> DataFrame:
-    return materialize(binned(rows.withColumn("day", F.datediff("ds", F.lit(EPOCH).cast("date"))), columns, bounds, "y", "day"), "bins")
+    """y, day, key and bins of rows, which have unique_id and ds."""
+    keyed = rows.withColumns({"day": F.datediff("ds", F.lit(EPOCH).cast("date")), "key": F.xxhash64("unique_id", "ds")})
+    return materialize(binned(keyed, columns, bounds, "y", "day", "key"), "bins")

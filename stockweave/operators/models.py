@@ -8,18 +8,17 @@ predicting day by day. ETS and SARIMA are per-series models (grouped maps), each
 from __future__ import annotations
 
 import datetime as dt
-import time
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stockweave.functions.fitters import ets_forecast, sarima_forecast
+from stockweave.functions.fitters import ets_forecasts, sarima_forecasts
 from stockweave.operators import backtest, boosting, features, metrics
 from stockweave.operators.classify import last_day
 from stockweave.params import HORIZON, N_CALIB, N_EVAL, N_WINDOWS, SEASON, STATS_DAYS
-from stockweave.session import attach, materialize
+from stockweave.session import attach, materialize, shuffle_partitions
 
 BOOSTED = "GlobalBoosted"
 LAGGED = list(features.AUTOREGRESSIVE)
@@ -119,8 +118,7 @@ def global_model(panel: DataFrame, future: DataFrame | None = None, n_windows: i
 
 def ablation(panel: DataFrame, **options) -> DataFrame:
     """variant, wrmsse, wape, bias, seconds, wrmsse_vs_base: means over the N_CALIB calibration windows of the panel cut at
-    the evaluation's start. All variants grow in the same jobs, so seconds is an equal share of the whole."""
-    began = time.time()
+    the evaluation's start. All variants grow in the same jobs; seconds is the time that tasks spent on a variant's models."""
     end = last_day(panel, N_EVAL * HORIZON).first()[0]
     early = panel.where(F.col("ds") <= F.lit(end))
     dept = early.groupBy("unique_id").agg(F.first("dept_id").alias("dept_id"))
@@ -134,34 +132,57 @@ def ablation(panel: DataFrame, **options) -> DataFrame:
     cv = materialize(cv, "ablation")
     score = metrics.wrmsse(metrics.rmsse_by_level(early, cv, backtest.cutoffs(early, N_CALIB))).where("level = 'WRMSSE'").groupBy("model").agg(F.avg("value").alias("wrmsse"))
     rows = {r["model"]: r for r in score.join(metrics.point_metrics(cv, "model"), "model").collect()}  # a row per variant
-    first, share = rows["base"]["wrmsse"], (time.time() - began) / len(VARIANTS)
-    out = [(n, rows[n]["wrmsse"], rows[n]["wape"], rows[n]["bias"], share, rows[n]["wrmsse"] / first - 1 if first else None) for n in VARIANTS]
+    first = rows["base"]["wrmsse"]
+    seconds = {n: sum(m.seconds for m in models if m.name.split("|")[0] == n) for n in VARIANTS}
+    out = [(n, rows[n]["wrmsse"], rows[n]["wape"], rows[n]["bias"], seconds[n], rows[n]["wrmsse"] / first - 1 if first else None) for n in VARIANTS]
     return panel.sparkSession.createDataFrame(out, "variant string, wrmsse double, wape double, bias double, seconds double, wrmsse_vs_base double")
 
 
 # ---- per-series models
 
-FITTERS = {"ets": ("ETS", ets_forecast), "sar": ("SARIMA", sarima_forecast)}
+FITTERS = {"ets": ("ETS", ets_forecasts), "sar": ("SARIMA", sarima_forecasts)}
+#: Series that a task fits together.
+PACK = 64
 
 
-def series_backtest(panel: DataFrame, kind: str, n_windows: int = N_WINDOWS, days: int = STATS_DAYS) -> DataFrame:
-    """A per-series model over all windows: one task call per series and cutoff, on at most ``days`` days of history.
+def series_backtest(panel: DataFrame, kind: str, n_windows: int = N_WINDOWS, days: int = STATS_DAYS, counts: Observation | None = None) -> DataFrame:
+    """A per-series model over all windows, on at most ``days`` days of history before each cutoff.
 
-    A series whose fit fails falls back to the same weekday of its last week.
+    A series' days are gathered once for all windows; a task fits packs of series and windows together. What cannot be
+    fitted falls back to the same weekday of the last week; fits and failed ones are counted by ``counts``, and failed
+    ones are marked in the column failed.
     """
     attach(panel.sparkSession)
-    name, forecast = FITTERS[kind]
+    name, forecasts_of = FITTERS[kind]
     test = backtest.windows(panel, n_windows).select("unique_id", "ds", "cutoff", "step", "window", "y")
-    cut = backtest.cutoffs(panel, n_windows).select("cutoff")
-    past = panel.select("unique_id", "ds", "y").join(F.broadcast(cut), (F.col("ds") <= F.col("cutoff")) & (F.col("ds") > F.date_sub("cutoff", days)))
-
-    def run(key, frame):
-        y = frame.sort_values("ds")["y"].to_numpy(float)
-        try:
-            f = forecast(y)
-        except (np.linalg.LinAlgError, ValueError):
-            f = np.resize(y[-SEASON:], HORIZON)
-        return pd.DataFrame({"unique_id": key[0], "cutoff": key[1], "step": np.arange(1, HORIZON + 1, dtype=np.int32), "yhat": f})
-
-    got = past.groupBy("unique_id", "cutoff").applyInPandas(run, "unique_id string, cutoff date, step int, yhat double")
-    return test.join(got, ["unique_id", "cutoff", "step"]).select("unique_id", "ds", "cutoff", "step", "window", F.lit(name).alias("model"), "y", "yhat")
+    end = last_day(panel)
+    own = panel.select("unique_id", F.datediff("ds", F.lit("1970-01-01").cast("date")).alias("day"), F.col("y").cast("double").alias("y")).crossJoin(F.broadcast(end))
+    last = F.datediff("end_day", F.lit("1970-01-01").cast("date"))
+    recent = own.withColumn("last", last).where(F.col("day") > F.col("last") - n_windows * HORIZON - days)
+    gathered = recent.groupBy("unique_id", "last").agg(F.array_sort(F.collect_list(F.struct("day", "y"))).alias("p"))
+    packs = gathered.select("unique_id", "last", F.transform("p", lambda x: x["day"]).alias("days"), F.transform("p", lambda x: x["y"]).alias("values"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PACK):
+                ids, ends, ds, ys = (c.to_pylist() for c in batch.slice(lo, PACK).columns)
+                keys, histories = [], []
+                for u, z, d, y in zip(ids, ends, ds, ys, strict=True):
+                    d, y = np.array(d), np.array(y, float)
+                    for w in range(n_windows):
+                        cut = z - (w + 1) * HORIZON
+                        mine = y[(d <= cut) & (d > cut - days)]
+                        if len(mine):
+                            keys.append((u, w))
+                            histories.append(mine)
+                fore, chosen = forecasts_of(histories)
+                failed = [c is None for c in chosen]
+                for k in np.flatnonzero(failed):
+                    fore[k] = np.resize(histories[k][-SEASON:], HORIZON)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(fore.tolist(), pa.list_(pa.float64())), pa.array(failed, pa.bool_())], ["unique_id", "window", "path", "failed"])
+
+    got = packs.repartition(2 * shuffle_partitions(panel.sparkSession), "unique_id").mapInArrow(run, "unique_id string, window int, path array<double>, failed boolean")
+    if counts is not None:
+        got = got.observe(counts, F.count("*").alias("fits"), F.count_if("failed").alias("failed"))
+    ahead = got.select("unique_id", "window", "failed", F.posexplode("path").alias("at", "yhat")).withColumn("step", F.col("at") + 1).drop("at")
+    return test.join(ahead, ["unique_id", "window", "step"]).select("unique_id", "ds", "cutoff", "step", "window", F.lit(name).alias("model"), "y", "yhat", "failed")

@@ -91,7 +91,7 @@ def run(spark: SparkSession, raw: str, out: str, n_days: int, settings: Settings
     baselines = put("cv_baselines", backtest.simple_forecasts(p))
     for kind in ("ets",) if settings.skip_sarima else ("ets", "sar"):
         fitted = backtest.with_fallback(models.series_backtest(p, kind), baselines.where(F.col("model") == backtest.SEASONAL))
-        baselines = baselines.unionByName(put(f"cv_{kind}", fitted))
+        baselines = baselines.unionByName(put(f"cv_{kind}", fitted).drop("failed"))
     for name, df in boosted(p, future, **options).items():
         put(name, df)
     cv = with_dept(baselines.unionByName(tables["cv_global"]), p)

@@ -64,11 +64,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialize() wrote for df; nothing may read it any more."""
+    own = work_dir(df.sparkSession)
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/stockweave/" in folder and folder.rsplit("/", 1)[0].endswith(own.split(":", 1)[-1].lstrip("/")):
+            _delete(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has materialised. Results that still read one must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, work_dir(spark))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

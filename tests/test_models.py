@@ -29,47 +29,90 @@ def panel(spark):
 
 @pytest.fixture(scope="module")
 def made(panel):
-    cv, _, importance = models.global_model(panel, n_windows=2, rounds=8)
+    cv, _, importance = models.global_model(panel, n_windows=2, rounds=6, leaves=16, rate=0.3)
     return materialize(cv, "cv"), importance
 
 
-def test_sums_and_the_best_question(spark):
-    rng = np.random.default_rng(1)
-    n = 500
-    bins, y, day = rng.integers(0, 6, (n, 3), dtype=np.uint8), rng.poisson(2, n).astype(float), rng.integers(0, 10, n)
-    rows = spark.createDataFrame([(float(a), int(d), bytearray(b.tobytes())) for a, d, b in zip(y, day, bins, strict=True)], "y double, day int, bins binary").repartition(3)
+def _rows(spark, n=900, n_features=3, seed=1):
+    rng = np.random.default_rng(seed)
+    bins, y, day = rng.integers(0, 6, (n, n_features), dtype=np.uint8), rng.poisson(2, n).astype(float), rng.integers(0, 10, n)
+    key = rng.integers(-(1 << 62), 1 << 62, n)
+    df = spark.createDataFrame([(float(a), int(d), int(k), bytearray(b.tobytes())) for a, d, k, b in zip(y, day, key, bins, strict=True)], "y double, day int, key long, bins binary").repartition(3)
+    return df, bins, y, day, key
+
+
+def test_sums_of_leaves(spark):
+    """Sampled rows of the wanted leaves, by feature and bin, against a loop over rows."""
+    df, bins, y, day, key = _rows(spark)
     found = [boosting.Model("a", 6, [0, 1, 2], 1.1, 0.3), boosting.Model("b", 9, [2], 1.0, -0.1)]
-    asked = [[(0, 2)], [(2, 3)]]
-    got = boosting._sums(rows, found, asked, 3)
+    table = materialize(boosting.scored(df, found, 3, None), "scored")
+    trees = [boosting.Tree(), boosting.Tree()]
+    left, right = trees[0].split(0, 0, 2)
+    trees[0].split(right, 1, 1)
+    wanted, features = [[left, 3], [0]], [[0, 2], [2]]
+    got = boosting.sums(table, found, trees, wanted, features, 0, 3, 4, 0.8)
+    taken = boosting.sampled(key, 4, 0.8)
+    assert 0.75 < taken.mean() < 0.85 and (boosting.sampled(key, 5, 0.8) != taken).any()
+    place = trees[0].places(np.ascontiguousarray(bins.T))
     for m, model in enumerate(found):
-        for f in model.allowed:
-            for node in range(2):
+        for k, leaf in enumerate(wanted[m]):
+            for j, f in enumerate(features[m]):
                 for b in range(6):
-                    own = [i for i in range(n) if day[i] <= model.last and bins[i, f] == b and (bins[i, asked[m][0][0]] > asked[m][0][1]) == bool(node)]
+                    own = [i for i in np.flatnonzero(taken) if day[i] <= model.last and bins[i, f] == b and (m == 1 or place[i] == leaf)]
                     z, p = model.base, model.power
                     slope = sum(-y[i] * np.exp((1 - p) * z) + np.exp((2 - p) * z) for i in own)
                     curve = sum((p - 1) * y[i] * np.exp((1 - p) * z) + (2 - p) * np.exp((2 - p) * z) for i in own)
-                    assert got[m, f, node, b] == pytest.approx([slope, curve])
-    question, gain, leaves = boosting._best(got[0], [0, 1, 2])
+                    assert got[m][k, j, b] == pytest.approx([slope, curve, len(own)])
+    assert all(model.seconds > 0 for model in found)
+
+
+def test_a_sibling_is_the_parent_less_the_child(spark):
+    df, bins, *_ = _rows(spark, 1200, 4, 3)
+    model = boosting.Model("a", 9, [0, 1, 2, 3])
+    table = materialize(boosting.scored(df, [model], 4, None), "scored")
+    tree = boosting.Tree()
+    parent = boosting.sums(table, [model], [tree], [[0]], [[0, 1, 2, 3]], 0, 4, 0, 0.8)[0][0]
+    left, right = tree.split(0, 2, 3)
+    direct = boosting.sums(table, [model], [tree], [[left, right]], [[0, 1, 2, 3]], 0, 4, 0, 0.8)[0]
+    assert parent - direct[0] == pytest.approx(direct[1])
+
+
+def test_the_best_split():
+    rng = np.random.default_rng(5)
+    leaf = np.stack([rng.normal(0, 5, (3, boosting.BINS)), rng.uniform(0.1, 3, (3, boosting.BINS)), rng.integers(0, 40, (3, boosting.BINS))], axis=2)
+    gain, f, cut, left_is_less = boosting.best_split(leaf, 50)
+    worth = lambda s: s[0] ** 2 / (s[1] + boosting.RIDGE)
     tried = {}
-    for f in range(3):
-        for cut in range(boosting.BINS - 1):
-            parts = [got[0, f, node, side].sum(axis=0) for node in range(2) for side in (slice(0, cut + 1), slice(cut + 1, None))]
-            whole = [got[0, f, node].sum(axis=0) for node in range(2)]
-            worth = lambda s: s[0] ** 2 / (s[1] + boosting.RIDGE)
-            tried[f, cut] = sum(map(worth, parts)) - sum(map(worth, whole))
-    assert gain == pytest.approx(max(tried.values())) and tried[question] == pytest.approx(gain)
-    f, cut = question
-    want = [got[0, f, node, side].sum(axis=0) for side in (slice(0, cut + 1), slice(cut + 1, None)) for node in range(2)]
-    assert leaves == pytest.approx(np.array(want))
+    for g in range(3):
+        for c in range(boosting.BINS - 1):
+            a, b = leaf[g, : c + 1].sum(axis=0), leaf[g, c + 1 :].sum(axis=0)
+            if min(a[2], b[2]) >= 50:
+                tried[g, c] = worth(a) + worth(b) - worth(a + b)
+    assert gain == pytest.approx(max(tried.values())) == pytest.approx(tried[f, cut])
+    assert left_is_less == (leaf[f, : cut + 1, 2].sum() <= leaf[f, cut + 1 :, 2].sum())
+    assert boosting.best_split(leaf, 10**6)[0] == -1.0
+
+
+def test_saved_scores_change_nothing(spark, monkeypatch):
+    """Scores carried in a table, from tree to tree, give the trees that rescoring all of them gives."""
+    df, bins, *_ = _rows(spark, 1500, 3, 8)
+    rows = materialize(df, "rows")
+    columns = np.ascontiguousarray(bins.T)
+    made = []
+    for every in (2, 100):
+        monkeypatch.setattr(boosting, "SAVE_EVERY", every)
+        made.append(boosting.fit(rows, [boosting.Model("a", 9, [0, 1, 2]), boosting.Model("b", 5, [0, 1])], 3, rounds=6, leaves=7, rate=0.2))
+    for a, b in zip(*made, strict=True):
+        assert a.score(columns) == pytest.approx(b.score(columns))
+        assert all(t.feature == u.feature and t.feature.count(-1) <= 7 for t, u in zip(a.trees, b.trees, strict=True))
 
 
 def test_rounds_lower_the_deviance(spark):
     rng = np.random.default_rng(2)
     bins = rng.integers(0, 8, (600, 2), dtype=np.uint8)
     y = rng.poisson(np.where(bins[:, 0] > 4, 9.0, 2.0) * (1 + bins[:, 1] / 8)).astype(float)
-    rows = materialize(spark.createDataFrame([(float(a), 0, bytearray(b.tobytes())) for a, b in zip(y, bins, strict=True)], "y double, day int, bins binary"), "rows")
-    model = boosting.fit(rows, [boosting.Model("a", 0, [0, 1])], 2, rounds=12)[0]
+    rows = materialize(spark.createDataFrame([(float(a), 0, k * 7919, bytearray(b.tobytes())) for k, (a, b) in enumerate(zip(y, bins, strict=True))], "y double, day int, key long, bins binary"), "rows")
+    model = boosting.fit(rows, [boosting.Model("a", 0, [0, 1])], 2, rounds=12, leaves=12, rate=0.3, min_rows=5, feature_share=1.0)[0]
     columns = boosting.matrix(pa.array([b.tobytes() for b in bins], pa.binary()), 2)
     mean = np.exp(model.score(columns))
     assert mean[bins[:, 0] > 4].mean() == pytest.approx(y[bins[:, 0] > 4].mean(), rel=0.05)
@@ -93,7 +136,7 @@ def test_no_look_ahead_and_one_fit_a_window(panel, made):
     """Demand changed after the older cutoff leaves that window's forecasts alone and changes the newer one's."""
     cutoffs = sorted(c for _, c in models._cutoffs(panel, 2))
     changed = panel.withColumn("y", F.when(F.col("ds") > F.lit(cutoffs[0]), F.col("y") * 3 + 5).otherwise(F.col("y")))
-    other = models.global_model(materialize(changed, "changed"), n_windows=2, rounds=8)[0]
+    other = models.global_model(materialize(changed, "changed"), n_windows=2, rounds=6, leaves=16, rate=0.3)[0]
     key = lambda df: {(r["cutoff"], r["unique_id"], r["ds"]): r["yhat"] for r in df.collect()}
     a, b = key(made[0]), key(other)
     assert all(a[k] == pytest.approx(b[k]) for k in a if k[0] == cutoffs[0])

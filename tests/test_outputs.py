@@ -48,7 +48,7 @@ def test_settings():
 
 def test_raw_files_to_tables(spark, tmp_path):
     synthetic.generate(spark, f"{tmp_path}/raw", 6, 420)
-    tables = outputs.run(spark, f"{tmp_path}/raw", f"{tmp_path}/out", 420, outputs.Settings(skip_sarima=True), min_history=300, rounds=2)
+    tables = outputs.run(spark, f"{tmp_path}/raw", f"{tmp_path}/out", 420, outputs.Settings(skip_sarima=True), min_history=300, rounds=2, leaves=8, rate=0.3)
     assert {"sales_long", "future_exog", "cv_global", "forecast_future", "metrics_segment", "sim_frontier", "policy_table"} <= set(tables)
     n = tables["sales_long"].select("unique_id").distinct().count()
     assert n == 5 and tables["policy_table"].count() == n and tables["forecast_future"].count() == 28 * n
