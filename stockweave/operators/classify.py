@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.functions.expr import abc_class, demand_pattern, ratio, xyz_class
+from stockweave.operators.ranks import in_order
 from stockweave.params import CLASSIFY_DAYS, HORIZON, N_EVAL
 
 
@@ -15,12 +16,11 @@ def last_day(panel: DataFrame, minus: int = 0) -> DataFrame:
 
 
 def with_abc(series: DataFrame, measure: str = "revenue") -> DataFrame:
-    """Adds abc and revenue_share. The window runs over one row per series; equal revenues go by unique_id."""
-    order = Window.orderBy(F.desc(measure), "unique_id").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(measure).over(Window.partitionBy())
-    before = F.coalesce(F.sum(measure).over(order), F.lit(0.0))
-    share = F.when(total > 0, before / total).otherwise(0.0)
-    return series.withColumn("abc", abc_class(share)).withColumn("revenue_share", ratio(F.col(measure), total))
+    """Adds abc and revenue_share, by distributed running sums over the series; equal revenues go by unique_id."""
+    total = F.col("total_")
+    share = F.when(total > 0, F.col("before_") / total).otherwise(0.0)
+    placed = in_order(series, [(measure, "desc"), "unique_id"], measure)
+    return placed.select(*series.columns, abc_class(share).alias("abc"), ratio(F.col(measure), total).alias("revenue_share"))
 
 
 def classify(panel: DataFrame, days: int = CLASSIFY_DAYS, before_evaluation: bool = False) -> DataFrame:
@@ -58,7 +58,6 @@ def class_matrix(classes: DataFrame) -> DataFrame:
 
 
 def pareto(classes: DataFrame) -> DataFrame:
-    """Cumulative share of revenue and of products, in order of revenue. The window runs over one row per series."""
-    order = Window.orderBy(F.desc("revenue"), "unique_id")
-    total, n = F.sum("revenue").over(Window.partitionBy()), F.count("*").over(Window.partitionBy())
-    return classes.select("unique_id", ratio(F.sum("revenue").over(order.rowsBetween(Window.unboundedPreceding, 0)), total).alias("revenue_share"), (F.row_number().over(order) / n).alias("sku_share"))
+    """Cumulative share of revenue and of products, in order of revenue, by distributed running sums."""
+    placed = in_order(classes.select("unique_id", "revenue"), [("revenue", "desc"), "unique_id"], "revenue")
+    return placed.select("unique_id", ratio(F.col("before_") + F.coalesce("revenue", F.lit(0.0)), F.col("total_")).alias("revenue_share"), (F.col("place_") / F.col("count_")).alias("sku_share"))

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.functions.expr import ratio
+from stockweave.operators.ranks import quantiles
+from stockweave.session import materialize
 
 
 def overview(panel: DataFrame) -> DataFrame:
     series = panel.groupBy("unique_id").agg(F.count("*").alias("n"), F.sum("y").alias("units"), F.sum((F.col("y") == 0).cast("long")).alias("zeros"), F.min("ds").alias("lo"), F.max("ds").alias("hi"), F.first("dept_id").alias("dept_id"))
-    return series.agg(F.count("*").alias("n_series"), F.sum("n").alias("n_rows"), F.countDistinct("dept_id").alias("n_depts"), F.min("lo").alias("first_day"), F.max("hi").alias("last_day"), F.sum("units").alias("units"), (F.sum("zeros") / F.sum("n")).alias("zero_share"), F.median("n").alias("median_days"), F.percentile("n", 0.10).alias("p10_days"))
+    series = materialize(series, "series")
+    return series.agg(F.count("*").alias("n_series"), F.sum("n").alias("n_rows"), F.countDistinct("dept_id").alias("n_depts"), F.min("lo").alias("first_day"), F.max("hi").alias("last_day"), F.sum("units").alias("units"), (F.sum("zeros") / F.sum("n")).alias("zero_share")).crossJoin(quantiles(series, "n", {"median_days": 0.5, "p10_days": 0.1}))  # a row each
 
 
 def daily_total(panel: DataFrame) -> DataFrame:

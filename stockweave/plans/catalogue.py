@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stockweave import params
 from stockweave.operators import backtest, classify, eda, features, intervals, metrics, models, policy, simulate
+from stockweave.operators.ranks import quantiles
 from stockweave.plans import outputs, report
 from stockweave.plans.oracles import MONEY, ORACLES  # noqa: F401
 from stockweave.session import materialize
@@ -465,14 +466,16 @@ def recommendation(p):
 @shared
 def missing_target(p):
     """Per policy and pattern: share of products below their target fill rate, by the default scenario."""
-    rows = _grid(p, [params.DEFAULT_LEAD], _default(p)).join(_classes(p).select("unique_id", "pattern"), "unique_id").where("fill_rate is not null")
-    return rows.groupBy("policy", "pattern").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") < F.col("service_level")).cast("double")).alias("missing_share"), F.median("fill_rate").alias("median_fill"), F.avg("demand").alias("mean_demand"))
+    rows = materialize(_grid(p, [params.DEFAULT_LEAD], _default(p)).join(_classes(p).select("unique_id", "pattern"), "unique_id").where("fill_rate is not null"), "filled")
+    shares = rows.groupBy("policy", "pattern").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") < F.col("service_level")).cast("double")).alias("missing_share"), F.avg("demand").alias("mean_demand"))
+    return shares.join(quantiles(rows, "fill_rate", {"median_fill": 0.5}, ["policy", "pattern"]), ["policy", "pattern"])
 
 
 @shared
 def missing_by_class(p):
-    rows = _grid(p, [params.DEFAULT_LEAD], _default(p)).join(_classes(p).select("unique_id", "abc"), "unique_id").where("fill_rate is not null")
-    return rows.groupBy("policy", "abc").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") >= F.col("service_level")).cast("double")).alias("meeting_share"), F.percentile("fill_rate", 0.10).alias("fill_p10"))
+    rows = materialize(_grid(p, [params.DEFAULT_LEAD], _default(p)).join(_classes(p).select("unique_id", "abc"), "unique_id").where("fill_rate is not null"), "filled")
+    shares = rows.groupBy("policy", "abc").agg(F.count("*").alias("n_skus"), F.avg((F.col("fill_rate") >= F.col("service_level")).cast("double")).alias("meeting_share"))
+    return shares.join(quantiles(rows, "fill_rate", {"fill_p10": 0.1}, ["policy", "abc"]), ["policy", "abc"])
 
 
 def _savings(need: DataFrame, names: list[str], model: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.functions import expr
-from stockweave.functions.fitters import ets_forecast, sarima_forecast
+from stockweave.functions.fitters import ets_forecasts, sarima_forecasts
 from stockweave.operators import backtest, classify, features, intervals, policy, simulate
 from stockweave.sources import panel as panels
 from stockweave.sources import synthetic
@@ -150,13 +150,21 @@ def test_poisson_draws(spark):
         assert got[0] == pytest.approx(mean, rel=0.1) and got[1] == pytest.approx(mean, rel=0.15) and got[2] >= 0
 
 
+def ets_forecast(y):
+    return ets_forecasts([y])[0][0]
+
+
+def sarima_forecast(y):
+    return sarima_forecasts([y])[0][0]
+
+
 def test_fitters():
     week = np.tile([1.0, 2, 3, 4, 5, 6, 7], 30)
     assert np.abs(ets_forecast(week) - week[:28]).max() < 0.5 and np.abs(sarima_forecast(week) - week[:28]).max() < 0.5
     days = np.arange(400.0)
     for f in (ets_forecast, sarima_forecast):  # a trend, and a season that grows with it
         assert np.abs(f(5 + 0.1 * days) - (5 + 0.1 * (400 + np.arange(28)))).max() < 2.0
-        assert (f(np.zeros(3)) == 0).all() and (f(np.zeros(100)) == 0).all() and len(f(np.array([]))) == 28
+        assert np.isnan(f(np.zeros(3))).all() and (f(np.zeros(100)) == 0).all() and len(f(np.array([]))) == 28
         noise = f(np.random.default_rng(1).poisson(4, 300).astype(float))
         assert np.abs(noise - 4).max() < 2.5 and (noise >= 0).all()
     rng = np.random.default_rng(2)
