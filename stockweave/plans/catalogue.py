@@ -5,6 +5,7 @@ Doubles are rounded at the very end (MONEY to 2 digits, all else to 6), so that
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -16,7 +17,7 @@ from stockweave.operators import backtest, classify, eda, features, intervals, m
 from stockweave.operators.ranks import quantiles
 from stockweave.plans import outputs, report
 from stockweave.plans.oracles import MONEY, ORACLES  # noqa: F401
-from stockweave.session import materialize
+from stockweave.session import materialize, work_dir
 from stockweave.sources import panel as panels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +122,17 @@ def min_history_filter(p):
     return panels.with_min_history(p, 2300).groupBy("unique_id").agg(F.count("*").alias("n"))
 
 
+@shared
+def raw_round_trip(p):
+    """The panel written as raw CSV files in the wide layout, read back, checked and made long again, by series."""
+    folder = f"{work_dir(p.sparkSession)}/raw-{uuid.uuid4().hex}"
+    n_days = panels.write_raw(p, folder, "CA_1", "FOODS")
+    sales, calendar, prices, rejected = panels.read_raw_checked(p.sparkSession, folder, n_days)
+    back = panels.build_long(sales, calendar, prices, "CA_1", "FOODS", 1)
+    series = back.groupBy(F.col("item_id").alias("unique_id"), "dept_id").agg(F.count("*").alias("n_days"), F.sum("y").alias("units"), F.sum(F.col("y") * F.col("sell_price")).alias("revenue"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"), F.count("event_name_1").alias("event_days"), F.sum("snap").cast("long").alias("snap_days"))
+    return series.crossJoin(F.broadcast(rejected.agg(F.count("*").alias("rejected_lines"))))  # one row
+
+
 # ---- classes
 
 

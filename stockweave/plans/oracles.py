@@ -55,6 +55,9 @@ oracle("future_exog", P, f"""SELECT unique_id, item_id, dept_id, ds, CAST(floor(
     FROM (SELECT unique_id, item_id, dept_id, arg_max(sell_price, ds) AS sell_price FROM sales GROUP BY 1, 2, 3), (SELECT CAST(last + CAST(unnest(range(1, 29)) AS INTEGER) AS DATE) AS ds FROM (SELECT max(ds) AS last FROM sales))""", "sell_price")
 oracle("min_history_filter", P, "SELECT unique_id, count(*) AS n FROM sales GROUP BY 1 HAVING count(*) >= 2300")
 
+oracle("raw_round_trip", P, """SELECT unique_id, dept_id, count(*) AS n_days, sum(y) AS units, sum(y * sell_price) AS revenue, min(ds) AS first_day, max(ds) AS last_day, count(event_name_1) AS event_days, CAST(sum(snap) AS BIGINT) AS snap_days,
+    CAST(0 AS BIGINT) AS rejected_lines FROM sales GROUP BY 1, 2""", "units revenue")
+
 
 def _classes(days_before: int) -> dict[str, str]:
     """The parts of the classes as of some days before the panel's end."""

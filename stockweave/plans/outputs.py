@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stockweave import params
 from stockweave.operators import backtest, classify, intervals, metrics, models, policy, simulate
-from stockweave.session import work_dir
+from stockweave.session import exists, work_dir
 from stockweave.sources import panel as panels
 
 
@@ -29,16 +30,32 @@ class Settings:
         return cls(env.get("STOCKWEAVE_STORE", cls.store), env.get("STOCKWEAVE_CATEGORY", cls.category), env.get("STOCKWEAVE_SKIP_SARIMA", "0") == "1")
 
 
-_STORED: set[str] = set()
+def source_state(spark: SparkSession, source: str) -> list[list]:
+    """Name, size and time of change of every file in a source folder: what a stored table depends on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
 
 
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], dict[str, DataFrame]]) -> DataFrame:
-    """The table name of a source; make writes it, with all that comes from the same work, the first time it is asked for."""
-    folder = f"{work_dir(spark)}/outputs-{hashlib.md5(source.encode()).hexdigest()[:12]}"
-    if f"{folder}/{name}" not in _STORED:
-        for n, df in make().items():
+    """The table name of a source; make writes it, with all that comes from the same work, the first time it is asked for.
+
+    Tables lie in a folder named by the source files' state, so changed files make new tables. Each has a manifest, written
+    after all tables of the same work: a table without one, or one deleted by ``session.release``, is made again.
+    """
+    state = json.dumps(source_state(spark, source))
+    folder = f"{work_dir(spark)}/outputs-{hashlib.sha256(f'{source}{state}'.encode()).hexdigest()[:16]}"
+    if not exists(spark, f"{folder}/manifests/{name}"):
+        made = make()
+        for n, df in made.items():
             df.write.mode("overwrite").parquet(f"{folder}/{n}")
-            _STORED.add(f"{folder}/{n}")
+        for n in made:
+            spark.createDataFrame([(n, source, state)], "table string, source string, files string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifests/{n}")
     return spark.read.parquet(f"{folder}/{name}")
 
 
@@ -81,7 +98,8 @@ def run(spark: SparkSession, raw: str, out: str, n_days: int, settings: Settings
         return tables[name]
 
     tables: dict[str, DataFrame] = {}
-    sales, calendar, prices = panels.read_raw(spark, raw, n_days)
+    sales, calendar, prices, rejected = panels.read_raw_checked(spark, raw, n_days)
+    put("rejected_lines", rejected)
     p = put("sales_long", panels.build_long(sales, calendar, prices, settings.store, settings.category, min_history))
     days = calendar.select(F.col("date").alias("ds"), "wm_yr_wk", "event_name_1", "event_type_1", F.col(f"snap_{settings.store.split('_')[0]}").alias("snap"))
     own = prices.where(F.col("store_id") == settings.store).select(F.concat_ws("_", "item_id", "store_id").alias("unique_id"), "wm_yr_wk", "sell_price")

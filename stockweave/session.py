@@ -17,12 +17,8 @@ ARROW_BATCH_BYTES = 8 << 20
 def attach(spark: SparkSession) -> None:
     """Make this package importable in Python workers and bound the size of their Arrow batches: for the whole session,
     unless it has set a bound of its own."""
-    try:
-        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in ("-1", str((1 << 31) - 1), str((1 << 63) - 1)):
-            return _ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1") in ("-1", str((1 << 31) - 1), str((1 << 63) - 1)):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    except Exception:  # the setting is missing in this Spark: batches are then bounded by rows
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     _ship(spark)
 
 
@@ -69,6 +65,12 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds a whole table: Spark marks it last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table that materialize() wrote for df; nothing may read it any more."""
     own = work_dir(df.sparkSession)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockweave.params import EVENTS, HORIZON, MIN_HISTORY, WEEK_ZERO
+from stockweave.session import materialize
 
 DAY_COLUMN = re.compile(r"^d_\d+$")
 CALENDAR = "date date, wm_yr_wk int, weekday string, wday int, month int, year int, d string, event_name_1 string, event_type_1 string, event_name_2 string, event_type_2 string, snap_CA int, snap_TX int, snap_WI int"
@@ -19,11 +20,50 @@ PRICES = "store_id string, item_id string, wm_yr_wk int, sell_price double"
 SALES_IDS = ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
 
 
-def read_raw(spark: SparkSession, folder: str, n_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sales, calendar, prices) from the three CSV files, with stated schemas: no file is read twice to infer one."""
+REJECTED = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(sound rows, rejected lines: file, line) of a CSV folder with a header, by a stated schema: no second read infers one.
+
+    A line with a value of the wrong type, or too few or too many values, is rejected and kept whole.
+    """
+    rows = spark.read.schema(f"{schema}, {REJECTED} string").csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED)
+    rows = materialize(rows.withColumn("file_", F.input_file_name()), "raw")
+    sound = rows.where(F.col(REJECTED).isNull()).drop(REJECTED, "file_")
+    return sound, rows.where(F.col(REJECTED).isNotNull()).select(F.regexp_extract("file_", "[^/]+/[^/]+$", 0).alias("file"), F.col(REJECTED).alias("line"))
+
+
+def read_raw_checked(spark: SparkSession, folder: str, n_days: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sales, calendar, prices, rejected lines of all three files)."""
     days = ", ".join(f"d_{k} int" for k in range(1, n_days + 1))
-    csv = lambda name, schema: spark.read.schema(schema).csv(f"{folder}/{name}", header=True)
-    return csv("sales_train_evaluation.csv", ", ".join(f"{c} string" for c in SALES_IDS) + ", " + days), csv("calendar.csv", CALENDAR), csv("sell_prices.csv", PRICES)
+    schemas = {"sales_train_evaluation.csv": ", ".join(f"{c} string" for c in SALES_IDS) + ", " + days, "calendar.csv": CALENDAR, "sell_prices.csv": PRICES}
+    found = [read_checked(spark, f"{folder}/{name}", schema) for name, schema in schemas.items()]
+    rejected = found[0][1].unionByName(found[1][1]).unionByName(found[2][1])
+    return found[0][0], found[1][0], found[2][0], rejected
+
+
+def read_raw(spark: SparkSession, folder: str, n_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sales, calendar, prices) from the three CSV files, without rejected lines."""
+    return read_raw_checked(spark, folder, n_days)[:3]
+
+
+def write_raw(panel: DataFrame, folder: str, store: str, category: str) -> int:
+    """The panel as three CSV files in the wide layout, and how many day columns there are. The calendar spans its days."""
+    lo, n_days = panel.agg(F.min("ds"), F.datediff(F.max("ds"), F.min("ds")) + 1).first()
+    at = F.datediff("ds", F.lit(lo))
+    days = panel.groupBy("ds", "wm_yr_wk").agg(F.max("event_name_1").alias("event_name_1"), F.max("event_type_1").alias("event_type_1"), F.max("snap").alias("snap"))
+    null = F.lit(None).cast("string")
+    own = {"date": F.col("ds"), "weekday": F.date_format("ds", "EEEE"), "wday": F.dayofweek("ds"), "month": F.month("ds"), "year": F.year("ds"), "d": F.concat(F.lit("d_"), at + 1), "event_name_2": null, "event_type_2": null}
+    calendar = days.select(*[(F.col("snap") if c.startswith("snap_") else own.get(c, F.col(c))).alias(c) for c in (x.split()[0] for x in CALENDAR.split(", "))])
+    series = panel.groupBy("unique_id", "dept_id").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col("y").cast("int").alias("y")))).alias("y"))
+    ids = {"id": F.concat_ws("_", "unique_id", F.lit(store), F.lit("evaluation")), "item_id": F.col("unique_id"), "dept_id": F.col("dept_id"), "cat_id": F.lit(category), "store_id": F.lit(store), "state_id": F.lit(store.split("_")[0])}
+    values = F.transform(F.sequence(F.lit(0), F.lit(n_days - 1)), lambda k: F.try_element_at(F.col("y"), k))
+    wide = series.select(*[ids[c].alias(c) for c in SALES_IDS], values.alias("v")).select(*SALES_IDS, *[F.get("v", k).alias(f"d_{k + 1}") for k in range(n_days)])
+    prices = panel.select(F.lit(store).alias("store_id"), F.col("unique_id").alias("item_id"), "wm_yr_wk", "sell_price").distinct()
+    for name, df in (("sales_train_evaluation.csv", wide), ("calendar.csv", calendar), ("sell_prices.csv", prices)):
+        df.write.csv(f"{folder}/{name}", header=True)
+    return n_days
 
 
 def wide_to_long(wide: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stockweave import session
 from stockweave.plans import outputs, report
+from stockweave.sources import panel as panels
 from stockweave.sources import synthetic
 
 OTHERS = [n for n in report.DATASETS if n not in ("meta", "skus")]
@@ -55,3 +57,43 @@ def test_raw_files_to_tables(spark, tmp_path):
     assert {r["policy"] for r in tables["sim_by_sku"].select("policy").distinct().collect()} == {"Clásica (media móvil)", "SeasonalNaive", "GlobalBoosted"}
     assert tables["forecast_future"].where("`80_lo` > `80_hi` or `95_lo` > `80_lo` or yhat is null").count() == 0
     assert tables["cv_ets"].where("yhat is null or yhat < 0").count() == 0
+
+
+def test_broken_lines_are_kept_and_reported(spark, tmp_path):
+    synthetic.generate(spark, f"{tmp_path}/raw", 4, 30)
+    folder = tmp_path / "raw" / "sales_train_evaluation.csv"
+    part = next(f for f in folder.iterdir() if f.name.startswith("part-") and len(f.read_text().splitlines()) > 1)
+    head, *lines = part.read_text().splitlines()
+    wrong = lines[0].rsplit(",", 1)[0] + ",many"
+    part.write_text("\n".join([head, *lines, wrong, "only,three,values"]) + "\n")
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+    sales, calendar, prices, rejected = panels.read_raw_checked(spark, f"{tmp_path}/raw", 30)
+    assert sales.count() == 4 and calendar.count() == 58 and prices.count() > 0
+    got = rejected.collect()
+    assert sorted(r["line"] for r in got) == sorted([wrong, "only,three,values"]) and all(r["file"].startswith("sales_train") for r in got)
+    assert panels.read_raw(spark, f"{tmp_path}/raw", 30)[0].count() == 4
+
+
+def test_store_notices_release_and_changed_sources(spark, tmp_path):
+    source, made = f"{tmp_path}/source", []
+    spark.range(3).write.parquet(f"{source}/t.parquet")
+
+    def make():
+        made.append(1)
+        return {"a": spark.read.parquet(f"{source}/t.parquet"), "b": spark.range(1)}
+
+    assert outputs.stored(spark, source, "a", make).count() == 3 and outputs.stored(spark, source, "b", make).count() == 1 and len(made) == 1
+    spark.range(5).write.mode("append").parquet(f"{source}/t.parquet")
+    assert outputs.stored(spark, source, "a", make).count() == 8 and len(made) == 2
+    session.release(spark)
+    assert outputs.stored(spark, source, "b", make).count() == 1 and outputs.stored(spark, source, "a", make).count() == 8 and len(made) == 3
+
+
+def test_discard_deletes_own_tables_only(spark, tmp_path):
+    own = session.materialize(spark.range(4), "own")
+    folder = next(iter(own.inputFiles())).rsplit("/", 1)[0]
+    spark.range(2).write.parquet(f"{tmp_path}/kept")
+    session.discard(own)
+    session.discard(spark.read.parquet(f"{tmp_path}/kept"))
+    assert not session.exists(spark, folder) and session.exists(spark, f"{tmp_path}/kept")
