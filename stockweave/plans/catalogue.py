@@ -570,7 +570,12 @@ def boosted(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel = lambda: materialize(panels.demand_panel(spark, sf_dir), "panel")
         p = outputs.stored(spark, sf_dir, "panel", lambda: {"panel": panel()})
-        return tidy(f(p, lambda name: outputs.stored(spark, sf_dir, name, lambda: outputs.boosted(p))))
+
+        def table(name: str) -> DataFrame:
+            make = (lambda: {"ablation": models.ablation(p, **params.CATALOGUE_TREES)}) if name == "ablation" else (lambda: outputs.boosted(p, **params.CATALOGUE_TREES))
+            return outputs.stored(spark, sf_dir, name, make)
+
+        return tidy(f(p, table))
 
     run.__doc__, run.__name__ = f.__doc__, f.__name__
     QUERIES[f.__name__] = run
@@ -653,20 +658,27 @@ def global_cost_sensitivity(p, table):
     return _global_costs(p, table)
 
 
-@boosted
-def report_datasets(p, table):
-    """Every dataset of the report as JSON rows, after its checks."""
+def _report(p, table) -> dict[str, DataFrame]:
+    """Every dataset of the report, written. It is dated by the panel's last day, so that runs agree."""
     cv = materialize(_all_models(p, table), "all-models")
     scenario = simulate.kpis(_global_grid(p, table, params.LEAD_TIMES, policy.scenarios(p.sparkSession, params.SS_METHODS, params.SERVICE_LEVELS)), _classes(p))
     fill = _global_grid(p, table, [params.DEFAULT_LEAD], _default(p)).where(F.col("policy") == models.BOOSTED)
-    # the report takes the table of variants as given; here it has the base row only
-    base = p.sparkSession.createDataFrame([("base", None, None, None, 0.0)], "variant string, wrmsse double, wape double, bias double, wrmsse_vs_base double")
-    sets = report.extract(p, _classes(p), cv, models.BOOSTED, table("forecast_future"), table("feature_importance"), base, scenario, materialize(_global_frontier(p, table), "frontier"), fill, _global_costs(p, table), backtest.cutoffs(p))
-    sets = {name: materialize(df, "report") for name, df in sets.items()}
+    last = p.agg(F.max("ds")).first()[0]
+    about = report.About("all", "all", (backtest.NAIVE, backtest.SEASONAL, backtest.AVERAGE), f"{last}T00:00:00+00:00", report.commit_of())
+    sets = report.extract(p, _classes(p), cv, models.BOOSTED, table("forecast_future"), table("feature_importance"), table("ablation"), scenario, materialize(_global_frontier(p, table), "frontier"), fill, _global_costs(p, table), backtest.cutoffs(p), about)
+    return {name: materialize(df, "report") for name, df in sets.items()}
+
+
+@boosted
+def report_datasets(p, table):
+    """Every dataset of the report as JSON rows: written, read back by the stated schemas, and checked."""
+    folder = f"{work_dir(p.sparkSession)}/report-{uuid.uuid4().hex}"
+    report.write(_report(p, table), folder)
+    sets = report.read(p.sparkSession, folder)
     report.validate(sets)
     out = None
     for name, df in sets.items():
-        rows = df.select(F.lit(name).alias("dataset"), F.to_json(F.struct("*")).alias("record"))
+        rows = df.select(F.lit(name).alias("dataset"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -681,6 +693,7 @@ def sar_cv(p):
     return models.series_backtest(p, "sar")
 
 
-@shared
-def ablation(p):
-    return models.ablation(p)
+@boosted
+def ablation(p, table):
+    """Variants of the boosted model on the calibration windows. The time they took is left out: it differs from run to run."""
+    return table("ablation").drop("seconds")

@@ -7,13 +7,19 @@ small ones into one columnar JSON text and refuses larger ones.
 from __future__ import annotations
 
 import json
+import os
+import re
+from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockweave import params
-from stockweave.functions.expr import ratio
+from stockweave.functions.expr import ratio, z_score
 from stockweave.operators import intervals, metrics, policy, simulate
+from stockweave.session import exists
 
 #: The datasets of a report, and the columns that may never be in one.
 DATASETS = ("meta", "skus", "valor_ss", "real_vs_pronostico", "error_horizonte", "wrmsse", "segmentos", "cobertura", "importancia", "ablaciones", "frontera", "necesario", "escenarios", "costos")
@@ -22,6 +28,17 @@ METHODS = ("sqrt", "acumulado")
 DOCUMENT_ROWS = 100_000
 
 
+@dataclass(frozen=True)
+class About:
+    """What a report says of its own making."""
+
+    store: str
+    category: str
+    base_models: tuple[str, ...]
+    made: str
+    commit: str | None = None
+
+
 def combos() -> list[tuple[int, float, str]]:
     """The scenarios in their fixed order: lead time, service level, method."""
     return [(lead, level, method) for lead in params.LEAD_TIMES for level in params.SERVICE_LEVELS for method in METHODS]
@@ -73,22 +90,42 @@ def real_and_forecast(cv: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("level_") == 1, "Total").otherwise(F.col("dept_id")).alias("dept"), F.date_format("ds", "yyyy-MM-dd").alias("ds"), "real", *names)
 
 
-def meta(panel: DataFrame, forecast: DataFrame, store: str = "", category: str = "") -> DataFrame:
+def commit_of(folder: str | os.PathLike = ".", env=os.environ) -> str | None:
+    """The commit that a run is made from: named by the build service's variable, else read from the work tree's .git."""
+    if env.get("GITHUB_SHA"):
+        return env["GITHUB_SHA"]
+    git = Path(folder) / ".git"
+    try:
+        head = (git / "HEAD").read_text().strip()
+        if not head.startswith("ref: "):
+            return head
+        ref = head.removeprefix("ref: ")
+        if (git / ref).exists():
+            return (git / ref).read_text().strip()
+        packed = [line.split() for line in (git / "packed-refs").read_text().splitlines() if line.endswith(f" {ref}")]
+        return packed[0][0] if packed else None
+    except OSError:
+        return None
+
+
+def meta(panel: DataFrame, forecast: DataFrame, about: About) -> DataFrame:
     """One row: what the report is about."""
     days = forecast.select("ds").distinct().agg(F.transform(F.array_sort(F.collect_list("ds")), lambda d: F.date_format(d, "yyyy-MM-dd")).alias("pronostico_fechas"))
     span = panel.agg(F.countDistinct("unique_id").alias("n_skus"), F.min("ds").alias("lo"), F.max("ds").alias("hi"))
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd")
     scenario = F.array(*[F.struct(F.lit(lead).alias("lead_time"), F.lit(level).alias("nivel"), F.lit(m).alias("metodo")) for lead, level, m in combos()])
+    scores = F.create_map(*[F.lit(x) for level in params.SERVICE_LEVELS for x in (str(level), round(z_score(level), 4))])
     costs = params.Costs()
     return span.crossJoin(days).select(
-        F.lit(store).alias("tienda"), F.lit(category).alias("categoria"), "n_skus", fmt("lo").alias("historia_desde"), fmt("hi").alias("historia_hasta"),
+        F.lit(about.store).alias("tienda"), F.lit(about.category).alias("categoria"), "n_skus", fmt("lo").alias("historia_desde"), fmt("hi").alias("historia_hasta"),
         fmt(F.date_sub("hi", params.N_EVAL * params.HORIZON - 1)).alias("evaluacion_desde"), "pronostico_fechas", F.array(*map(F.lit, params.LEAD_TIMES)).alias("lead_times"), F.array(*map(F.lit, params.SERVICE_LEVELS)).alias("niveles_servicio"),
-        F.array(*map(F.lit, METHODS)).alias("metodos_ss"), scenario.alias("escenarios"), F.array(*map(F.lit, params.FILL_TARGETS)).alias("objetivos_fill_rate"),
+        F.array(*map(F.lit, METHODS)).alias("metodos_ss"), scenario.alias("escenarios"), F.array(*map(F.lit, params.FILL_TARGETS)).alias("objetivos_fill_rate"), scores.alias("z"),
         F.struct(F.lit(costs.unit_cost_ratio).alias("costo_unitario"), F.lit(costs.holding_rate_annual).alias("mantener_anual"), F.lit(costs.order_cost).alias("costo_pedido"), F.lit(costs.max_cover_days).alias("cobertura_max_lote")).alias("costos"),
+        F.array(*map(F.lit, about.base_models)).alias("modelos_base"), F.lit(about.made).alias("generado_utc"), F.lit(about.commit).cast("string").alias("commit_git"),
     )
 
 
-def extract(panel: DataFrame, classes: DataFrame, cv: DataFrame, model: str, forecast: DataFrame, importance: DataFrame, ablation: DataFrame, scenarios: DataFrame, frontier: DataFrame, fill: DataFrame, costs: DataFrame, cut: DataFrame) -> dict[str, DataFrame]:
+def extract(panel: DataFrame, classes: DataFrame, cv: DataFrame, model: str, forecast: DataFrame, importance: DataFrame, ablation: DataFrame, scenarios: DataFrame, frontier: DataFrame, fill: DataFrame, costs: DataFrame, cut: DataFrame, about: About) -> dict[str, DataFrame]:
     """Every dataset of the report. cv carries dept_id and holds all models; fill: unique_id, fill_rate of the model's policy."""
     own = cv.where(F.col("model") == model)
     table = recommendations(panel.sparkSession, forecast, own)
@@ -100,7 +137,7 @@ def extract(panel: DataFrame, classes: DataFrame, cv: DataFrame, model: str, for
     keys = ["policy", "ss_method", "lead_time", "service_level", "group"]
     need = simulate.inventory_at_fill(frontier, params.FILL_TARGETS)
     return {
-        "meta": meta(panel, forecast),
+        "meta": meta(panel, forecast, about),
         "skus": skus(panel, classes, table, forecast, own, by_sku.where(F.col("model") == model), fill),
         "valor_ss": stock_value(panel, classes, table),
         "real_vs_pronostico": real_and_forecast(cv),
@@ -117,25 +154,85 @@ def extract(panel: DataFrame, classes: DataFrame, cv: DataFrame, model: str, for
     }
 
 
+#: Stated schemas of a written report's datasets. real_vs_pronostico has a further double column for every model.
+_POLICY = "policy string, ss_method string, lead_time int, service_level double, `group` string"
+_QUANTILES = ", ".join(f"q_{side}{level} double" for level in params.INTERVAL_LEVELS for side in ("lo", "hi"))
+SCHEMAS = {
+    "meta": "tienda string, categoria string, n_skus long, historia_desde string, historia_hasta string, evaluacion_desde string, pronostico_fechas array<string>, lead_times array<int>, niveles_servicio array<double>, metodos_ss array<string>, "
+    "escenarios array<struct<lead_time: int, nivel: double, metodo: string>>, objetivos_fill_rate array<double>, z map<string, double>, costos struct<costo_unitario: double, mantener_anual: double, costo_pedido: double, cobertura_max_lote: double>, modelos_base array<string>, generado_utc string, commit_git string",
+    "skus": f"abc string, xyz string, patron string, id string, dept string, pronostico array<double>, ss array<long>, rop array<long>, lote double, {', '.join(f'dem_lt{x} double' for x in params.LEAD_TIMES)}, {_QUANTILES}, wape double, sesgo double, fill_sim double",
+    "valor_ss": "escenario int, segmento string, dept string, valor double",
+    "real_vs_pronostico": "dept string, ds string, real double",
+    "error_horizonte": "paso int, model string, wape double",
+    "wrmsse": "cutoff string, level string, model string, value double",
+    "segmentos": "grouping string, `group` string, model string, n_skus long, mae double, wape double, bias double, rmsse double",
+    "cobertura": "grouping string, `group` string, level int, nominal double, coverage double, mean_width double",
+    "importancia": "feature string, gain_share double",
+    "ablaciones": "variant string, wrmsse double, wape double, bias double, wrmsse_vs_base double",
+    "frontera": f"{_POLICY}, fill_rate double, cycle_service double, avg_inv_value double",
+    "necesario": "target_fill_rate double, policy string, ss_method string, lead_time int, `group` string, avg_inv_value double",
+    "escenarios": f"{_POLICY}, fill_rate double, cycle_service double, avg_inv_value double, skus_meeting_target double, days_of_supply double, stockout_days double",
+    "costos": "order_cost double, holding_rate double, inv_classic double, inv_boosted double, reduction double",
+}
+
+
+def _kind(t: str) -> str:
+    """A type without the width of its numbers."""
+    return re.sub(r"\b(int|bigint|float|double)\b", "number", t)
+
+
+def faults(datasets: dict[str, DataFrame]) -> DataFrame:
+    """dataset, rule, n: what breaks the rules. Columns are compared with SCHEMAS over each frame's schema; rules on values
+    are one aggregation a dataset.
+
+    Rules: present; columns (all stated ones, of their types); original (no column of raw data); scenarios and horizon
+    (a series has a value for each). Any of them gives a row, with how many columns or series break it.
+    """
+    found: list[tuple[str, str, int]] = [(name, "present", 1) for name in DATASETS if name not in datasets]
+    for name in (n for n in DATASETS if n in datasets):
+        own = {f.name: f.dataType.simpleString() for f in datasets[name].schema}
+        wanted = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(SCHEMAS[name])}
+        found.append((name, "columns", sum(c not in own or _kind(own[c]) != _kind(t) for c, t in wanted.items())))
+        found.append((name, "original", 0 if name == "meta" else len(FORBIDDEN & set(own))))
+    if {"meta", "skus"} <= set(datasets) and not any(n for d, r, n in found if d in ("meta", "skus") and r in ("present", "columns")):
+        sizes = datasets["meta"].select(F.size("escenarios").alias("n_scenarios"), F.size("pronostico_fechas").alias("n_days"))
+        rows = datasets["skus"].crossJoin(F.broadcast(sizes))  # one row
+        fits = lambda c, n: F.coalesce(F.size(c) == F.col(n), F.lit(False))
+        rules = {"scenarios": fits("ss", "n_scenarios") & fits("rop", "n_scenarios"), "horizon": fits("pronostico", "n_days")}
+        counted = rows.agg(*[F.count_if(~v).alias(k) for k, v in rules.items()]).first()
+        found += [("skus", rule, counted[rule]) for rule in rules]
+    spark = next(iter(datasets.values())).sparkSession if datasets else SparkSession.active()
+    return spark.createDataFrame([f for f in found if f[2]], "dataset string, rule string, n long")  # a row per dataset and rule at most
+
+
 def validate(datasets: dict[str, DataFrame]) -> None:
-    """ValueError if a dataset is missing, a forbidden column shows, or a series lacks a scenario or a day."""
-    if missing := set(DATASETS) - set(datasets):
-        raise ValueError(f"missing datasets: {sorted(missing)}")
-    for name, df in datasets.items():
-        if name != "meta" and (shown := FORBIDDEN & set(df.columns)):
-            raise ValueError(f"{name}: columns with original data {sorted(shown)}")
-    about = datasets["meta"].select(F.size("escenarios").alias("s"), F.size("pronostico_fechas").alias("d")).first()
-    wrong = datasets["skus"].agg(F.count(F.when((F.size("ss") != about["s"]) | (F.size("rop") != about["s"]), 1)).alias("s"), F.count(F.when(F.size("pronostico") != about["d"], 1)).alias("d")).first()
-    if wrong["s"]:
-        raise ValueError(f"skus: {wrong['s']} series without a value for every scenario")
-    if wrong["d"]:
-        raise ValueError(f"skus: {wrong['d']} series whose forecast does not cover the horizon")
+    """ValueError that lists every fault."""
+    if told := [f"{r['dataset']}: {r['rule']} ({r['n']})" for r in faults(datasets).orderBy("dataset", "rule").collect()]:
+        raise ValueError("report breaks its rules: " + ", ".join(told))
 
 
 def write(datasets: dict[str, DataFrame], folder: str) -> None:
     """Each dataset as JSON rows in a folder of its name."""
     for name, df in datasets.items():
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+
+
+def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The datasets of a written report, by their stated schemas; a line that is no JSON fails the read.
+
+    Models' columns of real_vs_pronostico are taken from its first line. Datasets that are not there are left out.
+    """
+    out = {}
+    for name in DATASETS:
+        if not exists(spark, f"{folder}/{name}"):
+            continue
+        schema = T.StructType.fromDDL(SCHEMAS[name])
+        if name == "real_vs_pronostico" and (first := spark.read.text(f"{folder}/{name}").first()):
+            for c in json.loads(first["value"]):
+                if c not in schema.names:
+                    schema.add(c, "double")
+        out[name] = spark.read.schema(schema).json(f"{folder}/{name}", mode="FAILFAST")
+    return out
 
 
 def document(datasets: dict[str, DataFrame], most: int = DOCUMENT_ROWS) -> str:

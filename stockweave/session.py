@@ -17,7 +17,7 @@ ARROW_BATCH_BYTES = 8 << 20
 def attach(spark: SparkSession) -> None:
     """Make this package importable in Python workers and bound the size of their Arrow batches: for the whole session,
     unless it has set a bound of its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "-1") in ("-1", str((1 << 31) - 1), str((1 << 63) - 1)):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("-1", str((1 << 31) - 1), str((1 << 63) - 1)):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     _ship(spark)
 

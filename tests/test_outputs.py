@@ -4,43 +4,76 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockweave import session
 from stockweave.plans import outputs, report
 from stockweave.sources import panel as panels
 from stockweave.sources import synthetic
 
-OTHERS = [n for n in report.DATASETS if n not in ("meta", "skus")]
-
-
 def least(spark, **changes):
-    """The smallest report that passes."""
-    one = lambda **columns: spark.range(1).select(*[F.lit(v).alias(k) if not isinstance(v, list) else F.array(*map(F.lit, v)).alias(k) for k, v in columns.items()])
-    sets = {"meta": one(escenarios=["7 0.95 sqrt"], pronostico_fechas=["2016-05-23"]), "skus": one(id="A_1", ss=[3], rop=[9], pronostico=[1.5]), **{k: one(x=1) for k in OTHERS}}
-    return {k: v for k, v in (sets | {k: one(**c) for k, c in changes.items() if c is not None}).items() if changes.get(k, 1) is not None}
+    """The smallest report that passes: a row of its stated schema for each dataset, all null but for what is checked."""
+    filled = {"meta": {"escenarios": "array(struct(7, 0.95D, 'sqrt'))", "pronostico_fechas": "array('2016-05-23')"}, "skus": {"id": "'A_1'", "ss": "array(3L)", "rop": "array(9L)", "pronostico": "array(1.5D)"}}
+    sets = {}
+    for name in report.DATASETS:
+        own = filled.get(name, {}) | (changes.get(name) or {})
+        stated = T.StructType.fromDDL(report.SCHEMAS[name])
+        columns = [f"CAST({own.pop(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in stated]
+        sets[name] = spark.range(1).selectExpr(*columns, *[f"{v} AS `{k}`" for k, v in own.items()])
+    return {k: v for k, v in sets.items() if changes.get(k, 1) is not None}
 
 
 def test_report_checks(spark):
     report.validate(least(spark))
     for column in ("y", "sell_price", "price", "revenue", "demand"):
-        with pytest.raises(ValueError, match="original"):
-            report.validate(least(spark, real_vs_pronostico={"ds": "2016-01-01", column: 3}))
-    with pytest.raises(ValueError, match="missing"):
+        with pytest.raises(ValueError, match=r"real_vs_pronostico: original \(1\)"):
+            report.validate(least(spark, real_vs_pronostico={column: "3"}))
+    with pytest.raises(ValueError, match="frontera: present"):
         report.validate(least(spark, frontera=None))
-    with pytest.raises(ValueError, match="scenario"):
-        report.validate(least(spark, skus={"id": "A_1", "ss": [3, 4], "rop": [9], "pronostico": [1.5]}))
-    with pytest.raises(ValueError, match="horizon"):
-        report.validate(least(spark, skus={"id": "A_1", "ss": [3], "rop": [9], "pronostico": [1.5, 2.5]}))
-
-
-def test_report_document(spark, tmp_path):
-    sets = least(spark, costos={"a": "é\"</script>", "b": 2})
+    with pytest.raises(ValueError, match=r"skus: scenarios \(1\)"):
+        report.validate(least(spark, skus={"ss": "array(3L, 4L)"}))
+    with pytest.raises(ValueError, match="skus: horizon"):
+        report.validate(least(spark, skus={"pronostico": "array(1.5D, 2.5D)"}))
+    with pytest.raises(ValueError, match="skus: scenarios"):
+        report.validate(least(spark, skus={"rop": "NULL"}))
+    sets = least(spark)
+    sets["wrmsse"] = sets["wrmsse"].drop("value")
+    sets["costos"] = sets["costos"].withColumn("order_cost", F.lit("dear"))
+    assert sorted(tuple(r) for r in report.faults(sets).collect()) == [("costos", "columns", 1), ("wrmsse", "columns", 1)]
+    assert report.faults({}).count() == len(report.DATASETS)
+
+
+def test_report_document_and_round_trip(spark, tmp_path):
+    sets = least(spark, costos={"order_cost": "2.5D"}, skus={"id": "'é\"</script>'"}, real_vs_pronostico={"GlobalBoosted": "4.5D"})
     got = json.loads(report.document(sets))
-    assert got["costos"] == {"a": ["é\"</script>"], "b": [2]} and got["meta"]["escenarios"] == ["7 0.95 sqrt"] and set(got) == set(report.DATASETS)
+    assert got["costos"]["order_cost"] == [2.5] and got["skus"]["id"] == ["é\"</script>"] and got["meta"]["escenarios"] == [{"col1": 7, "col2": 0.95, "col3": "sqrt"}] or got["meta"]["escenarios"][0]["metodo"] == "sqrt"
     with pytest.raises(ValueError, match="too many"):
         report.document({"costos": spark.range(11)}, most=10)
     report.write(sets, f"{tmp_path}/r")
-    assert spark.read.json(f"{tmp_path}/r/skus").first()["ss"] == [3] and len(report.combos()) == 18
+    back = report.read(spark, f"{tmp_path}/r")
+    report.validate(back)
+    for name, df in sets.items():
+        assert back[name].select(*df.columns).collect() == df.collect(), name
+    part = next((tmp_path / "r" / "costos").glob("part-*"))
+    part.write_text("{not json\n")
+    for crc in (tmp_path / "r" / "costos").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        report.read(spark, f"{tmp_path}/r")["costos"].collect()
+    assert set(report.read(spark, f"{tmp_path}/none")) == set() and len(report.combos()) == 18
+
+
+def test_commit_of_a_work_tree(tmp_path):
+    assert report.commit_of(tmp_path, {}) is None and report.commit_of(tmp_path, {"GITHUB_SHA": "abc"}) == "abc"
+    git = tmp_path / ".git"
+    (git / "refs/heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text("# pack\n1234 refs/heads/main\n")
+    assert report.commit_of(tmp_path, {}) == "1234"
+    (git / "refs/heads/main").write_text("5678\n")
+    assert report.commit_of(tmp_path, {}) == "5678"
+    (git / "HEAD").write_text("9abc\n")
+    assert report.commit_of(tmp_path, {}) == "9abc"
 
 
 def test_settings():
