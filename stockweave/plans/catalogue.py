@@ -69,6 +69,12 @@ def closed_days(p):
     return eda.closed_days(p)
 
 
+@query
+def quiet_days(p):
+    """Days below half of the median day."""
+    return eda.closed_days(p, 0.5)
+
+
 @query
 def dow_index(p):
     return eda.weekday_index(p)
@@ -117,9 +123,11 @@ def future_exog(p):
     return panels.build_future(p, ahead, known)
 
 
-@query
+@shared
 def min_history_filter(p):
-    return panels.with_min_history(p, 2300).groupBy("unique_id").agg(F.count("*").alias("n"))
+    """Series with as many days as the longest one."""
+    longest = p.groupBy("unique_id").count().agg(F.max("count")).first()[0] or 0
+    return panels.with_min_history(p, longest).groupBy("unique_id").agg(F.count("*").alias("n"))
 
 
 @shared
@@ -460,6 +468,10 @@ def inventory_at_fill(p):
 
 @shared
 def cost_sensitivity(p):
+    return _cost_sensitivity(p)
+
+
+def _cost_sensitivity(p) -> DataFrame:
     """Inventory of the classic and the average policy at 95 % fill, over order costs and holding rates."""
     costs = [params.Costs(order_cost=k, holding_rate_annual=h) for k in params.ORDER_COSTS for h in params.HOLDING_RATES]
     curve = simulate.kpis(_grid(p, [params.DEFAULT_LEAD], policy.scenarios(p.sparkSession, ["sqrt"], params.FRONTIER_LEVELS, False, costs)), _classes(p)).where("group = 'Total'")
@@ -468,6 +480,13 @@ def cost_sensitivity(p):
     return need.groupBy("order_cost", "holding_rate").agg(value(policy.CLASSIC).alias("inv_classic"), value(backtest.AVERAGE).alias("inv_average")).withColumn("reduction", F.col("inv_average") / F.nullif(F.col("inv_classic"), F.lit(0.0)) - 1.0)
 
 
+@shared
+def cost_pivot(p):
+    """What the average policy saves against the classic one: holding rates by order costs."""
+    rows = _cost_sensitivity(p).groupBy("holding_rate").pivot("order_cost", list(params.ORDER_COSTS)).agg(F.first("reduction"))
+    return rows.withColumnsRenamed({str(c): f"order_{c:g}".replace(".", "_") for c in params.ORDER_COSTS})
+
+
 @query
 def recommendation(p):
     """From the mean of the last 28 days as forecast of the next 28."""

@@ -40,6 +40,7 @@ oracle("panel_overview", P, """SELECT count(*) AS n_series, CAST(sum(n) AS BIGIN
     FROM (SELECT unique_id, count(*) AS n, sum(y) AS u, count(*) FILTER (y = 0) AS z, min(ds) AS lo, max(ds) AS hi, any_value(dept_id) AS dept_id FROM sales GROUP BY 1)""", "units zero_share median_days p10_days")
 oracle("weekly_demand", P + " days", """SELECT week_end, units FROM (SELECT CAST(ds + CAST((7 - isodow(ds)) AS INTEGER) AS DATE) AS week_end, sum(y) AS units FROM days GROUP BY 1)
     QUALIFY week_end > min(week_end) OVER () AND week_end < max(week_end) OVER ()""", "units")
+oracle("quiet_days", P + " days", "SELECT ds, y FROM days WHERE 2 * y < (SELECT median(y) FROM days)", "y")
 oracle("closed_days", P + " days", "SELECT ds, y FROM days WHERE y < 0.05::DOUBLE * (SELECT median(y) FROM days)", "y")
 oracle("dow_index", P + " days", """SELECT CAST(isodow(ds) - 1 AS INTEGER) AS weekday, avg(y) AS mean_y, avg(y) / avg(avg(y)) OVER () AS "index" FROM days GROUP BY 1""", "mean_y index")
 oracle("snap_lift", P + " days", """SELECT CAST(isodow(ds) - 1 AS INTEGER) AS weekday, avg(y) FILTER (snap = 1) AS with_snap, avg(y) FILTER (snap = 0) AS without_snap, avg(y) FILTER (snap = 1) / nullif(avg(y) FILTER (snap = 0), 0) - 1 AS lift FROM days GROUP BY 1""", "with_snap without_snap lift")
@@ -53,7 +54,7 @@ oracle("wide_unpivot", P, "SELECT 'd_' || day(ds) AS d, count(*) AS n, CAST(sum(
 oracle("unpivot_price_join", P, "SELECT unique_id, count(*) AS n, sum(y * p) AS revenue FROM (SELECT unique_id, y, min(sell_price) OVER (PARTITION BY unique_id, date_trunc('month', ds)) AS p FROM sales) GROUP BY 1", "revenue")
 oracle("future_exog", P, f"""SELECT unique_id, item_id, dept_id, ds, CAST(floor((ds - DATE '1994-12-31') / 7.0) AS INTEGER) AS wm_yr_wk, CAST(day(ds) <= 10 AS INTEGER) AS snap, {_CASES(0)} AS event_name_1, {_CASES(1)} AS event_type_1, sell_price
     FROM (SELECT unique_id, item_id, dept_id, arg_max(sell_price, ds) AS sell_price FROM sales GROUP BY 1, 2, 3), (SELECT CAST(last + CAST(unnest(range(1, 29)) AS INTEGER) AS DATE) AS ds FROM (SELECT max(ds) AS last FROM sales))""", "sell_price")
-oracle("min_history_filter", P, "SELECT unique_id, count(*) AS n FROM sales GROUP BY 1 HAVING count(*) >= 2300")
+oracle("min_history_filter", P, "SELECT unique_id, count(*) AS n FROM sales GROUP BY 1 HAVING count(*) >= (SELECT max(n) FROM (SELECT count(*) AS n FROM sales GROUP BY unique_id))")
 
 oracle("raw_round_trip", P, """SELECT unique_id, dept_id, count(*) AS n_days, sum(y) AS units, sum(y * sell_price) AS revenue, min(ds) AS first_day, max(ds) AS last_day, count(event_name_1) AS event_days, CAST(sum(snap) AS BIGINT) AS snap_days,
     CAST(0 AS BIGINT) AS rejected_lines FROM sales GROUP BY 1, 2""", "units revenue")
@@ -260,6 +261,9 @@ CTES |= _basis([params.DEFAULT_LEAD])
 CTES["scen"] = _scenarios(["sqrt"], params.FRONTIER_LEVELS, False, [(k, h) for k in params.ORDER_COSTS for h in params.HOLDING_RATES])
 CTES["need"] = f"""SELECT * FROM ({_at_fill('"group", policy, order_cost, holding_rate', [params.DEFAULT_LEVEL])}) WHERE "group" = 'Total'"""
 oracle("cost_sensitivity", S + EC + " kpi need", """SELECT order_cost, holding_rate, c AS inv_classic, a AS inv_average, a / nullif(c, 0) - 1 AS reduction FROM (SELECT order_cost, holding_rate, max(avg_inv_value) FILTER (policy LIKE 'Cl%') AS c, max(avg_inv_value) FILTER (policy = 'MediaMovil28') AS a FROM need GROUP BY 1, 2)""", "order_cost holding_rate inv_classic inv_average reduction")
+_ORDERS = {c: f"order_{c:g}".replace(".", "_") for c in params.ORDER_COSTS}
+_PIVOT = ", ".join(f'max(a) FILTER (policy = \'MediaMovil28\' AND order_cost = {c!r}::DOUBLE) / nullif(max(a) FILTER (policy LIKE \'Cl%\' AND order_cost = {c!r}::DOUBLE), 0) - 1 AS {n}' for c, n in _ORDERS.items())
+oracle("cost_pivot", S + EC + " kpi need", f"SELECT holding_rate, {_PIVOT} FROM (SELECT *, avg_inv_value AS a FROM need) GROUP BY 1", "holding_rate " + " ".join(_ORDERS.values()))
 CTES["scen"] = _scenarios(params.SS_METHODS, params.FRONTIER_LEVELS, False)
 CTES["needed"] = _at_fill('policy, ss_method, "group"', [params.DEFAULT_LEVEL])
 oracle("method_comparison", S + EC + " kpi needed", """SELECT k.policy, k.ss_method, k.cycle_service, n.avg_inv_value FROM kpi k LEFT JOIN needed n ON k.policy = n.policy AND k.ss_method = n.ss_method AND n."group" = 'Total' WHERE k."group" = 'Total' AND k.service_level = 0.95::DOUBLE""", "cycle_service avg_inv_value")
