@@ -12,7 +12,9 @@ ids as unsigned 16-bit integers where all ids of the record fit (narrow), else 3
 
 Defined results: null text is empty (only the end id); a null doc_id sorts first and reads back as null;
 repeated rows each keep a record; an empty table gives no shard; other columns are ignored.
-Shards are written under a temporary name and renamed, so a task that runs twice leaves one whole file.
+Rows of one doc_id, or of none, stand in the order of a hash of their texts, then of the texts, and may lie in several shards.
+Shards are written under a temporary name and renamed, in place of an earlier attempt's file, so a task that runs twice
+leaves one whole file.
 """
 
 from __future__ import annotations
@@ -189,6 +191,16 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def replace(files, temporary: str, final: str) -> None:
+    """Move a whole file to its name, on file systems too that refuse to move onto a file: a task that runs again writes the
+    same records, so the file of the attempt before goes first."""
+    from pyarrow import fs
+
+    if files.get_file_info(final).type != fs.FileType.NotFound:
+        files.delete_file(final)
+    files.move(temporary, final)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, partitions: int | None = None) -> DataFrame:
     """Write one shard per key range; returns the manifest (shard, path, records, tokens, first_key, last_key, folder), a small written table."""
     spark = docs.sparkSession
@@ -211,10 +223,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         if writer is not None:
             writer.close()
             out.close()
-            files.move(temporary, final)
+            replace(files, temporary, final)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [final], "records": [writer.records], "tokens": [writer.tokens], "first_key": pa.array([writer.first_key], pa.binary()), "last_key": pa.array([writer.last], pa.binary())})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(partitions or shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one id, or of none, go by a hash of their text: however many, they are cut into ranges as others are
+    order = [F.col("doc_id").asc_nulls_first(), F.col("by_text")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("by_text"))
+    ordered = keyed.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text")
     manifest = ordered.mapInArrow(encode, "shard long, path string, records long, tokens long, first_key binary, last_key binary")
     return materialize(manifest.withColumn("folder", F.lit(folder)), "manifest")
 

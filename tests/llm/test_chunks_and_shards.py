@@ -133,3 +133,45 @@ def test_lookup_opens_one_shard(spark, monkeypatch):
     assert shards.lookup(spark, manifest, 10**9) == [] and manifest.count() > 3
     told = shards.footers(manifest).select("shard", "records", "tokens").collect()
     assert sorted(told) == sorted(manifest.select("shard", "records", "tokens").collect())
+
+
+class Strict:
+    """A file system of names that refuses to move onto one that is there."""
+
+    def __init__(self, *names):
+        self.names = set(names)
+
+    def get_file_info(self, name):
+        from pyarrow import fs
+
+        return fs.FileInfo(name, fs.FileType.File if name in self.names else fs.FileType.NotFound)
+
+    def delete_file(self, name):
+        self.names.remove(name)
+
+    def move(self, a, b):
+        assert a in self.names and b not in self.names
+        self.names.remove(a)
+        self.names.add(b)
+
+
+def test_a_second_attempt_replaces_the_file():
+    for there in ((), ("shard-1",)):
+        files = Strict("_temporary", *there)
+        shards.replace(files, "_temporary", "shard-1")
+        assert files.names == {"shard-1"}
+
+
+def test_hot_and_null_ids_lie_in_several_shards(spark):
+    rows = [(None, f"text {k}") for k in range(1500)] + [(7, f"other {k}") for k in range(900)] + [(k, "x") for k in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = shards.write_shards(docs, default_tokenizer(), 2, partitions=8)
+    sizes = [r["records"] for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) >= 7 and max(sizes) < 700
+    read = shards.read_shards(manifest).collect()
+    assert len(read) == len(rows) and sum(r["doc_id"] is None for r in read) == 1500
+    ends = sorted((r["start"], r["start"] + len(r["ids"]) // 4) for r in read)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    order = [r["doc_id"] if r["doc_id"] is not None else -1 for r in sorted(read, key=lambda r: r["start"])]
+    assert order == sorted(order)
+    assert len(shards.lookup(spark, manifest, 7)) == 900 and len(shards.lookup(spark, manifest, None)) == 1500
