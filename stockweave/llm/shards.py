@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     # rows of one id, or of none, go by a hash of their text: however many, they are cut into ranges as others are
     order = [F.col("doc_id").asc_nulls_first(), F.col("by_text")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("by_text"))
-    ordered = keyed.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text")
+    ordered = keyed.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text").drop("by_text")
     manifest = ordered.mapInArrow(encode, "shard long, path string, records long, tokens long, first_key binary, last_key binary")
     return materialize(manifest.withColumn("folder", F.lit(folder)), "manifest")
 
