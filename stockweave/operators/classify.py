@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def with_abc(series: DataFrame, measure: str = "revenue") -> DataFrame:
     return placed.select(*series.columns, abc_class(share).alias("abc"), ratio(F.col(measure), total).alias("revenue_share"))
 
 
+def _measures(sums: DataFrame, weeks: float) -> DataFrame:
+    """Measures of a series from its sums over the last days: n days, zeros of them without sales, nz with; w_sum and w_sq over whole weeks."""
+    w_mean, w_var = F.col("w_sum") / weeks, (F.col("w_sq") - F.col("w_sum") * F.col("w_sum") / weeks) / (weeks - 1)
+    return sums.select(
+        "unique_id", "revenue", "units", (F.col("units") / F.col("n")).alias("mean_daily"), "price", (F.col("zeros") / F.col("n")).alias("zero_share"),
+        F.when(w_mean > 0, F.sqrt(F.greatest(w_var, F.lit(0.0))) / w_mean).alias("cv_weekly"),
+        F.when(F.col("nz") > 0, F.col("n") / F.nullif(F.col("nz"), F.lit(0))).otherwise(F.lit(float("inf"))).alias("adi"),
+        F.when(F.col("nz") > 0, F.greatest(F.col("nz_sq") / F.nullif(F.col("nz"), F.lit(0)) - ratio(F.col("nz_sum"), F.col("nz").cast("double")) ** 2, F.lit(0.0)) / ratio(F.col("nz_sum"), F.col("nz").cast("double")) ** 2).otherwise(0.0).alias("cv2"),
+    )
+
+
+def _classed(table: DataFrame) -> DataFrame:
+    classed = with_abc(table).withColumn("xyz", xyz_class(F.col("cv_weekly")))
+    return classed.withColumns({"segment": F.concat("abc", "xyz"), "pattern": demand_pattern(F.col("adi"), F.col("cv2"))})
+
+
 def classify(panel: DataFrame, days: int = CLASSIFY_DAYS, before_evaluation: bool = False) -> DataFrame:
     """One row per series with sales in the last days: measures, abc, xyz, segment, pattern.
 
@@ -38,18 +56,35 @@ def classify(panel: DataFrame, days: int = CLASSIFY_DAYS, before_evaluation: boo
     whole = F.col("week") < days // 7
     weeks = float(days // 7)
     sums = weekly.groupBy("unique_id").agg(
-        F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum("n").alias("n"), F.sum("zeros").alias("zeros"), F.max("last").alias("last"), F.sum("nz").alias("nz"), F.sum("nz_sum").alias("nz_sum"), F.sum("nz_sq").alias("nz_sq"),
+        F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum("n").alias("n"), F.sum("zeros").alias("zeros"), F.max("last")["sell_price"].alias("price"), F.sum("nz").alias("nz"), F.sum("nz_sum").alias("nz_sum"), F.sum("nz_sq").alias("nz_sq"),
         F.coalesce(F.sum(F.when(whole, F.col("units"))), F.lit(0.0)).alias("w_sum"), F.coalesce(F.sum(F.when(whole, F.col("units") * F.col("units"))), F.lit(0.0)).alias("w_sq"),
     )
-    w_mean, w_var = F.col("w_sum") / weeks, (F.col("w_sq") - F.col("w_sum") * F.col("w_sum") / weeks) / (weeks - 1)
-    table = sums.select(
-        "unique_id", "revenue", "units", (F.col("units") / F.col("n")).alias("mean_daily"), F.col("last.sell_price").alias("price"), (F.col("zeros") / F.col("n")).alias("zero_share"),
-        F.when(w_mean > 0, F.sqrt(F.greatest(w_var, F.lit(0.0))) / w_mean).alias("cv_weekly"),
-        F.when(F.col("nz") > 0, F.col("n") / F.nullif(F.col("nz"), F.lit(0))).otherwise(F.lit(float("inf"))).alias("adi"),
-        F.when(F.col("nz") > 0, F.greatest(F.col("nz_sq") / F.nullif(F.col("nz"), F.lit(0)) - ratio(F.col("nz_sum"), F.col("nz").cast("double")) ** 2, F.lit(0.0)) / ratio(F.col("nz_sum"), F.col("nz").cast("double")) ** 2).otherwise(0.0).alias("cv2"),
+    return _classed(_measures(sums, weeks))
+
+
+def classify_sparse(sales: DataFrame, end: date, days: int = CLASSIFY_DAYS) -> DataFrame:
+    """The classes of ``classify`` from sales(unique_id, ds, y, revenue) alone, for series too many or too sparse for a panel.
+
+    Days without sales are counted, from a series' first sale on, and never written: work grows with the sales. They are
+    summed by day, then by week, then by series, each step before its shuffle too, so a series with a third of all rows
+    is spread by its days. price is the revenue of a unit sold in the last days, null without one. Sales after end and rows
+    without a series, a day or a quantity are left out; a null revenue counts as 0.
+    """
+    daily = sales.where("unique_id is not null and y is not null").where(F.col("ds") <= F.lit(end)).groupBy("unique_id", "ds").agg(F.sum("y").alias("y"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"))
+    age = F.datediff(F.lit(end), "ds")
+    sold, y = F.col("y") > 0, F.col("y")
+    weekly = daily.groupBy("unique_id", F.when(age < days, F.floor(age / 7)).cast("int").alias("week")).agg(
+        F.max(age).alias("age"), F.sum("revenue").alias("revenue"), F.sum("y").alias("units"), F.count_if(sold).alias("nz"), F.sum(F.when(sold, y)).alias("nz_sum"), F.sum(F.when(sold, y * y)).alias("nz_sq"),
     )
-    classed = with_abc(table).withColumn("xyz", xyz_class(F.col("cv_weekly")))
-    return classed.withColumns({"segment": F.concat("abc", "xyz"), "pattern": demand_pattern(F.col("adi"), F.col("cv2"))})
+    recent, whole = F.col("week").isNotNull(), F.col("week") < days // 7
+    over = lambda c, where, zero=0.0: F.coalesce(F.sum(F.when(where, c)), F.lit(zero))
+    units = F.col("units")
+    sums = weekly.groupBy("unique_id").agg(
+        over(F.col("revenue"), recent).alias("revenue"), over(units, recent).alias("units"), F.least(F.max("age") + 1, F.lit(days)).cast("long").alias("n"), over(F.col("nz"), recent, 0).alias("nz"),
+        F.sum(F.when(recent, F.col("nz_sum"))).alias("nz_sum"), F.sum(F.when(recent, F.col("nz_sq"))).alias("nz_sq"), over(units, whole).alias("w_sum"), over(units * units, whole).alias("w_sq"),
+    )
+    sums = sums.withColumns({"zeros": F.col("n") - F.col("nz"), "price": ratio(F.col("revenue"), F.col("units"))})
+    return _classed(_measures(sums, float(days // 7)))
 
 
 def class_matrix(classes: DataFrame) -> DataFrame:

@@ -159,6 +159,35 @@ def xyz_matrix_cube(p):
     return classify.class_matrix(classify.classify(p))
 
 
+def by_part(f):
+    """A query over the classes of parts, from the order lines without a panel."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        classes = classify.classify_sparse(panels.part_sales(spark, sf_dir), panels.panel_end(spark, sf_dir))
+        money = {c: F.col(c) / 10_000 for c in ("revenue", "price")}
+        return tidy(f(classes.withColumns(money)))
+
+    run.__doc__, run.__name__ = f.__doc__, f.__name__
+    QUERIES[f.__name__] = run
+    return f
+
+
+@by_part
+def part_classes(c):
+    """Every part's measures and classes: intermittent series, as many as there are parts."""
+    return c
+
+
+@by_part
+def part_class_matrix(c):
+    return classify.class_matrix(c)
+
+
+@by_part
+def part_patterns(c):
+    return c.groupBy("pattern", "abc").agg(F.count("*").alias("n_skus"), F.sum("units").alias("units"), F.avg("zero_share").alias("zero_share"))
+
+
 @query
 def demand_pattern_counts(p):
     return classify.classify(p).groupBy("pattern").agg(F.count("*").alias("n_skus"), F.sum("units").alias("units"))

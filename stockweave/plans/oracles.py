@@ -77,6 +77,20 @@ def _classes(days_before: int) -> dict[str, str]:
 CTES |= _classes(0)
 C = P + " cl_win cl_week cl_base classes"
 oracle("sku_classes", C, "SELECT unique_id, revenue, units, mean_daily, price, zero_share, cv_weekly, adi, cv2, abc, revenue_share, xyz, segment, pattern FROM classes", "revenue units mean_daily price zero_share cv_weekly adi cv2 revenue_share")
+CTES["part_lines"] = """SELECT CAST(l_partkey AS VARCHAR) AS unique_id, CAST(l_shipdate AS DATE) AS ds, l_quantity AS y, l_quantity * CAST(round(p_retailprice * (1 - l_discount) * 10000) AS BIGINT) AS paid
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_shipdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"""
+CTES["part_days"] = """SELECT unique_id, end_day, CAST(unnest(generate_series(greatest(first_day, end_day - 364), end_day, INTERVAL 1 DAY)) AS DATE) AS ds
+    FROM (SELECT unique_id, CAST(min(ds) AS TIMESTAMP) AS first_day FROM part_lines GROUP BY 1) JOIN (SELECT max(CAST(o_orderdate AS DATE)) AS end_day FROM orders) ON true"""
+CTES["part_win"] = "SELECT d.*, coalesce(q.y, 0.0) AS y, coalesce(q.paid, 0.0) AS paid FROM part_days d LEFT JOIN (SELECT unique_id, ds, sum(y) AS y, sum(paid) AS paid FROM part_lines GROUP BY ALL) q USING (unique_id, ds)"
+CTES["part_weeks"] = """SELECT unique_id, CASE WHEN avg(v) > 0 THEN stddev_samp(v) / avg(v) END AS c FROM (SELECT i.unique_id, week, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT unique_id FROM part_win) i CROSS JOIN (SELECT unnest(range(52)) AS week) w
+    LEFT JOIN (SELECT unique_id, (end_day - ds) // 7 AS week, sum(y) AS v FROM part_win GROUP BY ALL) USING (unique_id, week)) GROUP BY 1"""
+CTES["part_base"] = """SELECT unique_id, sum(paid) AS revenue, sum(y) AS units, avg(y) AS mean_daily, sum(paid) / nullif(sum(y), 0) / 10000 AS price, count(*) FILTER (y = 0) / count(*) AS zero_share, any_value(c) AS cv_weekly,
+    CASE WHEN count(*) FILTER (y > 0) > 0 THEN count(*) / count(*) FILTER (y > 0) ELSE 'Infinity'::DOUBLE END AS adi, coalesce(pow(stddev_pop(y) FILTER (y > 0) / avg(y) FILTER (y > 0), 2), 0) AS cv2 FROM part_win JOIN part_weeks USING (unique_id) GROUP BY 1"""
+CTES["part_cl"] = "SELECT * REPLACE (revenue / 10000 AS revenue) FROM (" + CTES["classes"].replace("cl_base", "part_base") + ")"
+PC = "part_lines part_days part_win part_weeks part_base part_cl"
+oracle("part_classes", PC, "SELECT unique_id, revenue, units, mean_daily, price, zero_share, cv_weekly, adi, cv2, abc, revenue_share, xyz, segment, pattern FROM part_cl", "revenue units mean_daily price zero_share cv_weekly adi cv2 revenue_share")
+oracle("part_class_matrix", PC, "SELECT abc, xyz, count(*) AS n_skus FROM part_cl GROUP BY CUBE (abc, xyz)")
+oracle("part_patterns", PC, "SELECT pattern, abc, count(*) AS n_skus, sum(units) AS units, avg(zero_share) AS zero_share FROM part_cl GROUP BY 1, 2", "units zero_share")
 oracle("abc_summary", C, "SELECT abc, count(*) AS n_skus, sum(revenue_share) AS revenue_share FROM classes GROUP BY 1", "revenue_share")
 oracle("xyz_matrix_cube", C, "SELECT abc, xyz, count(*) AS n_skus FROM classes GROUP BY CUBE (abc, xyz)")
 oracle("demand_pattern_counts", C, "SELECT pattern, count(*) AS n_skus, sum(units) AS units FROM classes GROUP BY 1", "units")

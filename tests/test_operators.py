@@ -63,6 +63,27 @@ def test_dead_series(spark):
     assert got["steady"]["segment"] == "AX" and got["steady"]["pattern"] == "suave"
 
 
+def test_sparse_classes_equal_the_panels(spark):
+    """Sales alone, in several lines a day, give the classes of the dense panel; rows that do not count change nothing."""
+    rng = np.random.default_rng(5)
+    names, end = [f"s{k}" for k in range(12)], dt.date(2024, 1, 1) + dt.timedelta(499)
+    born = {u: 45 * k for k, u in enumerate(names)} | {"s10": 0, "s11": 498}  # some start inside the last 365 days
+    sold = {(u, k): int(rng.integers(1, 40)) * int(rng.random() < (1 + i) / 13) for i, u in enumerate(names) for k in range(500)}
+    sold |= {(u, born[u]): 5 for u in names} | {("s0", k): 0 for k in range(1, 500)} | {("s10", k): 20 for k in range(500)}  # s0 has stopped, s10 is steady
+    p = daily(spark, names, 500, lambda u, k: sold[u, k]).where(" or ".join(f"(unique_id = '{u}' and ds >= date_add(date'2024-01-01', {k}))" for u, k in born.items()))
+    lines = p.where("y > 0").select("unique_id", "ds", F.explode(F.array(F.lit(1.0), F.col("y") - 1)).alias("y")).where("y > 0").withColumn("revenue", F.col("y") * 2.0)
+    odd = spark.createDataFrame([(None, end, 5.0, 1.0), ("s1", None, 5.0, 1.0), ("s1", end, None, 1.0), ("s1", end + dt.timedelta(1), 5.0, 1.0)], lines.schema)
+    got, want = ({r["unique_id"]: r.asDict() for r in t.collect()} for t in (classify.classify_sparse(lines.unionByName(odd), end), classify.classify(p)))
+    assert set(got) == set(want) == set(names) and {r["xyz"] for r in want.values()} == {"X", "Y", "Z"}
+    for u, row in want.items():
+        for c, v in row.items():
+            if c == "price":
+                assert got[u][c] == (v if row["units"] else None)
+            else:
+                assert got[u][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (u, c)
+    assert classify.classify_sparse(lines.limit(0), end).count() == 0
+
+
 def test_features_do_not_look_ahead(spark):
     p = daily(spark, ["a"], 90, lambda u, k: k % 5)
     changed = p.withColumn("y", F.when(F.col("ds") >= "2024-03-01", 99.0).otherwise(F.col("y")))
