@@ -28,11 +28,12 @@ def with_abc(series: DataFrame, measure: str = "revenue") -> DataFrame:
 def _measures(sums: DataFrame, weeks: float) -> DataFrame:
     """Measures of a series from its sums over the last days: n days, zeros of them without sales, nz with; w_sum and w_sq over whole weeks."""
     w_mean, w_var = F.col("w_sum") / weeks, (F.col("w_sq") - F.col("w_sum") * F.col("w_sum") / weeks) / (weeks - 1)
+    nz_sum = F.nullif(F.col("nz_sum"), F.lit(0.0))  # whole quantities give cv2 with one rounding
     return sums.select(
         "unique_id", "revenue", "units", (F.col("units") / F.col("n")).alias("mean_daily"), "price", (F.col("zeros") / F.col("n")).alias("zero_share"),
         F.when(w_mean > 0, F.sqrt(F.greatest(w_var, F.lit(0.0))) / w_mean).alias("cv_weekly"),
         F.when(F.col("nz") > 0, F.col("n") / F.nullif(F.col("nz"), F.lit(0))).otherwise(F.lit(float("inf"))).alias("adi"),
-        F.when(F.col("nz") > 0, F.greatest(F.col("nz_sq") / F.nullif(F.col("nz"), F.lit(0)) - ratio(F.col("nz_sum"), F.col("nz").cast("double")) ** 2, F.lit(0.0)) / ratio(F.col("nz_sum"), F.col("nz").cast("double")) ** 2).otherwise(0.0).alias("cv2"),
+        F.when(nz_sum > 0, F.greatest((F.col("nz") * F.col("nz_sq") - nz_sum * nz_sum) / (nz_sum * nz_sum), F.lit(0.0))).otherwise(0.0).alias("cv2"),
     )
 
 

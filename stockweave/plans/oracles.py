@@ -85,7 +85,7 @@ CTES["part_win"] = "SELECT d.*, coalesce(q.y, 0.0) AS y, coalesce(q.paid, 0.0) A
 CTES["part_weeks"] = """SELECT unique_id, CASE WHEN avg(v) > 0 THEN stddev_samp(v) / avg(v) END AS c FROM (SELECT i.unique_id, week, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT unique_id FROM part_win) i CROSS JOIN (SELECT unnest(range(52)) AS week) w
     LEFT JOIN (SELECT unique_id, (end_day - ds) // 7 AS week, sum(y) AS v FROM part_win GROUP BY ALL) USING (unique_id, week)) GROUP BY 1"""
 CTES["part_base"] = """SELECT unique_id, sum(paid) AS revenue, sum(y) AS units, avg(y) AS mean_daily, sum(paid) / nullif(sum(y), 0) / 10000 AS price, count(*) FILTER (y = 0) / count(*) AS zero_share, any_value(c) AS cv_weekly,
-    CASE WHEN count(*) FILTER (y > 0) > 0 THEN count(*) / count(*) FILTER (y > 0) ELSE 'Infinity'::DOUBLE END AS adi, coalesce(pow(stddev_pop(y) FILTER (y > 0) / avg(y) FILTER (y > 0), 2), 0) AS cv2 FROM part_win JOIN part_weeks USING (unique_id) GROUP BY 1"""
+    CASE WHEN count(*) FILTER (y > 0) > 0 THEN count(*) / count(*) FILTER (y > 0) ELSE 'Infinity'::DOUBLE END AS adi, coalesce((count(*) FILTER (y > 0) * sum(y * y) - sum(y) * sum(y)) / nullif(sum(y) * sum(y), 0), 0) AS cv2 FROM part_win JOIN part_weeks USING (unique_id) GROUP BY 1"""
 CTES["part_cl"] = "SELECT * REPLACE (revenue / 10000 AS revenue) FROM (" + CTES["classes"].replace("cl_base", "part_base") + ")"
 PC = "part_lines part_days part_win part_weeks part_base part_cl"
 oracle("part_classes", PC, "SELECT unique_id, revenue, units, mean_daily, price, zero_share, cv_weekly, adi, cv2, abc, revenue_share, xyz, segment, pattern FROM part_cl", "revenue units mean_daily price zero_share cv_weekly adi cv2 revenue_share")
