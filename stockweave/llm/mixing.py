@@ -10,7 +10,7 @@ the list of ranges and inside each range. A source's budget gives whole epochs a
 key order at the exact word.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own, sorted
-last; rows of equal key are ordered by size and content, and lie in one range; repeated rows each count; an empty table
+last; rows of equal key repeat each other whole, id and text, and lie in one range; each counts; an empty table
 gives no rows; other columns pass by.
 """
 
@@ -51,13 +51,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = 3
     return free.select("source", "source_size", "n_rows", "weight", target.alias("target"))
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """A hash-random hexadecimal key; a null doc_id has the key of the empty string."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A hash-random hexadecimal key of a row's id and text, so that rows of one id, or of none, lie in different ranges; a null
+    counts as the empty string."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def _sized(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("order_key"), F.xxhash64("text").alias("content"), *more)
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text"), seed).alias("order_key"), *more)
 
 
 def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], limit: int, share: float) -> DataFrame:
@@ -74,7 +75,7 @@ def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], limit: i
     sums = keyed(sized).groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     over = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_key", "range", F.coalesce(F.sum("range_size").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_key", "range").orderBy("order_key", "size", "content").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("order_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed(rows).join(offsets, ["source_key", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))

@@ -179,8 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(trimmed(run), "doc_id long, quality int, x binary").toArrow().to_pylist()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["x"]))
+    # rows of one id teach once, by the least of their features, so that sample_rows bounds what reaches the driver
+    once = rows.mapInArrow(trimmed(run), "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x"))
+    got = sorted(once.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(r["x"] for r in got), float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([float(r["quality"] == 1) for r in got]))
 

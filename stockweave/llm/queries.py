@@ -159,12 +159,12 @@ _ORACLES = {
         links AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
         reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.r)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)""",
-    "op2_source_mix": rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+    "op2_source_mix": rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
         r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
         f AS (SELECT *, cap * sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= weight * (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS stopped FROM r),
         t AS (SELECT source, source_size, CASE WHEN stopped THEN CAST(cap AS DOUBLE) ELSE CAST(weight AS DOUBLE) * CAST(total - coalesce(sum(cap) FILTER (stopped) OVER (), 0) AS DOUBLE) / CAST(sum(weight) FILTER (NOT stopped) OVER () AS DOUBLE) END AS target FROM f),
-        p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken FROM p""",
     "op3_url_filter": _url_sql(),
     "op6_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

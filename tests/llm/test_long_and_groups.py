@@ -59,6 +59,26 @@ def test_mixed_words_are_the_plan(spark):
         assert sorted(map(tuple, words)) == sorted(map(tuple, plan))
 
 
+def test_mix_spreads_rows_of_one_id(spark):
+    """Rows without an id, or of one id, have keys of their own; the draw is the plain one by the key."""
+    rows = [(None if k % 4 else 7, f"word{k} " * (k % 5), "s" if k % 2 else "t") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = mixing.order_key(F.col("doc_id"), F.col("text"), 7)
+    bins = docs.groupBy(F.substring(key, 1, 2)).count().agg(F.max("count"), F.count("*")).first()
+    texts = docs.where("text <> ''")
+    assert texts.select(key).distinct().count() == texts.count() and bins[1] == 256 and bins[0] < 900  # 800 rows have no words
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
+    assert all(r[1] == int(r[2] + 1e-9) for r in got)
+
+
+def test_repeated_rows_teach_once(spark):
+    """A labelled id with very many rows gives the model of one row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    once, often = quality.train(docs, labels), quality.train(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50)))), labels)
+    assert once.base == often.base and all((a == b).all() for a, b in zip(once.tables + once.pair_tables, often.tables + often.pair_tables, strict=True))
+
+
 def test_many_turns(spark):
     n = 3001
     rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|im_end|>"), F.col("id")).alias("text"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from test_queries import WORD, components, shingles, token_ids
 
@@ -49,6 +50,28 @@ def test_run_gives_the_last_stage(spark):
     assert got[0] > 50 and got[1] > 1000
 
 
+LONG = " ".join(f"w{k}" for k in range(200_000))
+ROWS = [(1, "a b c d e f", "en", "s", 11), (2, "A b c d e f", "en", None, 11), (5, "g h i j k l", "en", "t", 11), (5, "g h i j k l", "en", "t", 11), (5, "another text under this id", "en", "t", 26), (3, None, None, "s", None), (4, "", "en", "s", 0), (None, "x y", "en", "t", 3), (None, "x y", "en", "t", 3), (6, LONG, "en", "t", len(LONG)), (7, LONG, "en", "s", len(LONG))]
+NAMES = "size taken component_id row_ maybe_ at_ places_ count digest_ order_key range source_size"
+
+
+@pytest.mark.parametrize("n", [0, len(ROWS)])
+def test_stages_on_odd_rows(spark, n):
+    """Nulls, ties, repeated rows, a very long text, an empty table, and columns whose names the stages use themselves."""
+    docs = spark.createDataFrame(ROWS[:n], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in NAMES.split()})
+    (_, good), (_, single), (_, mix), (_, pack) = corpus_pipeline.STAGES
+    kept = good(spark, docs, DIR)
+    assert kept.columns == docs.columns and kept.count() <= n
+    once = materialize(single(spark, docs, DIR), "once")
+    assert once.columns == docs.columns
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in once.collect())
+    assert left == sorted([(0, "x y"), (0, "x y"), (1, ROWS[0][1]), (3, ""), (4, ""), (5, ROWS[2][1]), (5, ROWS[4][1]), (6, LONG)])[: n and None]
+    mixed = materialize(mix(spark, once, DIR), "mixed")
+    assert mixed.columns == docs.columns and mixed.where("text is null or n_chars <> char_length(text)").count() == 0
+    pieces = pack(spark, mixed, DIR)
+    assert pieces.where("start = 0").count() == mixed.count()
+
+
 def test_lookup_tables_of_the_quality_model():
     """Scoring by bins is the plain sum of table entries, and a boosting step is the best cut found by trying all."""
     rng = np.random.default_rng(3)

@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.llm import urls
+from stockweave.llm import queries, urls
 
 
 def plain_tree(rows):
@@ -64,6 +65,10 @@ def rows():
         path = ((kind, rng.choice(["x", "y", "z"]), "{number}", rng.choice(["p", "q", f"only{rng.random()}"]))[:deep])
         blocked = None if host == "c" or kind == "tag" else int(rng.random() < {"news": 0.1, "shop": 0.9, "help": 0.12, "blog": 0.5}[kind])
         out.append((host, path, blocked))
+    spine = tuple("abcdefghijklmnopqrst")  # eight urls down to level 18, where they part
+    out += [("b", spine[:18] + (f"end{k}",) * (k % 3), k % 2) for k in range(8)]
+    # few urls, deep: alone, or three of unequal length through one node
+    out += [("a", tuple(f"lone{k}" for k in range(150)), None), ("c", ("rare",) * 90, 1), ("c", ("rare",) * 60, 0), ("c", ("rare",) * 60 + ("x",), None)]
     return out
 
 
@@ -88,10 +93,25 @@ def test_segments(spark):
     assert {r["p"]: r["s"] for r in df.select("p", urls.segments(F.col("p")).alias("s")).collect()} == cases
     long = "/" + "/".join("s" * (k % 3 + 1) for k in range(40))
     got = spark.createDataFrame([(long,)], "p string").select(urls.segments(F.col("p")).alias("s")).first()["s"]
-    assert len(got) == urls.LEVELS and got[-1].count("/") == 40 - urls.LEVELS
+    assert got == long.split("/")[1:]
 
 
 def test_deep_paths(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 3}.example.net/{'es' if k % 2 else 'en'}/" + "/".join("abcdefghij"[: k % 11])) for k in range(200)], "page_id long, url string")
     got = urls.judge(pages)
     assert got.count() == 200 and got.where("template like '/%/%/%/%'").count() > 0
+
+
+def test_deep_paths_equal_the_sql(spark):
+    """The query against its SQL, built for as many levels as the paths have: some shared by many urls, some by few."""
+    rng = random.Random(6)
+    paths = ["/".join(rng.choice(["a", "b"]) if d % 3 else rng.choice(["en", "es"]) for d in range(rng.choice([1, 4, 9, 22]))) for _ in range(300)]
+    paths += ["/".join("longer"[: k % 6 + 1] for k in range(20))] * 40 + ["/".join(["es", *"xyz"] * 5)] * 9
+    hosts = ["www.example.com", "example.com", "h.net", "h.example.org", "m.net"]
+    pages = spark.createDataFrame([(k, f"http://{hosts[k % 5]}/{p}") for k, p in enumerate(paths)], "page_id long, url string")
+    got = urls.judge(pages).select("page_id", "host", "path", "rule", "verdict").toPandas()
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.execute(queries._url_sql(levels=22)).df()
+    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want[got.columns].itertuples(index=False, name=None)))
+    assert set(got.verdict) == {"allow", "block"}
