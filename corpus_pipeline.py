@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.llm import minhash, mixing, packing, quality
-from stockweave.llm.graph import rows_not_in
+from stockweave.llm.graph import rows_in, rows_not_in
 from stockweave.llm.queries import END_ID
 from stockweave.llm.tokens import default_tokenizer
 from stockweave.session import materialize
@@ -21,9 +21,16 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group; rows without an id stay."""
+    """The document with the smallest id of every near-duplicate group. Rows that repeat its id and text become one, the one
+    whose columns hash lowest; other texts under its id stay, as do rows without an id."""
     found = materialize(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "copies")
-    return rows_not_in(docs, found)
+    kept = rows_not_in(docs, found)
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row_")
+    once = rows_in(kept, repeated).groupBy("doc_id", F.md5("text").alias("digest_")).agg(row).select("row_.*")
+    return rows_not_in(kept, repeated).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
