@@ -33,26 +33,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 25
 
 
-def _maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows with maybe_: false where key is surely not among ids. The filter has FILTER_BITS bits, in buckets of 4 KB."""
+def _spare(rows: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where rows has a column of that name."""
+    taken = {c.lower() for c in rows.columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if n + "_" * k not in taken) for n in names]
+
+
+def _maybe_in(rows: DataFrame, ids: DataFrame, key: str, maybe: str) -> DataFrame:
+    """rows with maybe: false where key is surely not among ids. The filter has FILTER_BITS bits, in buckets of 4 KB."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bits = ids.select(place(key).alias("at_")).groupBy(F.bitmap_bucket_number("at_").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at_")).alias("bits_"))
-    met = rows.withColumn("at_", place(key)).withColumn("bucket_", F.bitmap_bucket_number("at_")).join(F.broadcast(bits), "bucket_", "left")
-    bit = "cast(bitmap_bit_position(at_) as int)"
-    found = F.expr(f"coalesce(shiftright(cast(conv(hex(substring(bits_, {bit} div 8 + 1, 1)), 16, 10) as int), {bit} % 8) & 1 = 1, false)")
-    return met.withColumn("maybe_", found).drop("at_", "bucket_", "bits_")
+    at, bucket, bits = _spare(rows, "at_", "bucket_", "bits_")
+    made = ids.select(place(key).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    met = rows.withColumn(at, place(key)).withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(made), bucket, "left")
+    bit = f"cast(bitmap_bit_position(`{at}`) as int)"
+    found = F.expr(f"coalesce(shiftright(cast(conv(hex(substring(`{bits}`, {bit} div 8 + 1, 1)), 16, 10) as int), {bit} % 8) & 1 = 1, false)")
+    return met.withColumn(maybe, found).select(*rows.columns, maybe)
 
 
 def rows_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Semi join: only rows that pass the filter are shuffled, then joined exactly."""
-    return _maybe_in(rows, ids, key).where("maybe_").drop("maybe_").join(ids.select(key), key, "left_semi").select(*rows.columns)
+    """Semi join: only rows that pass the filter are shuffled, then joined exactly. Rows of a null key have no partner."""
+    (maybe,) = _spare(rows, "maybe_")
+    return _maybe_in(rows, ids, key, maybe).where(F.col(maybe)).drop(maybe).join(ids.select(key), key, "left_semi").select(*rows.columns)
 
 
 def rows_not_in(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Anti join: rows that the filter rules out stay where they are; rows of a null key stay too."""
-    marked = _maybe_in(rows, ids, key)
-    rest = marked.where("maybe_").drop("maybe_").join(ids.select(key), key, "left_anti")
-    return marked.where("not maybe_").drop("maybe_").select(*rows.columns).unionByName(rest.select(*rows.columns))
+    (maybe,) = _spare(rows, "maybe_")
+    marked = _maybe_in(rows, ids, key, maybe)
+    rest = marked.where(F.col(maybe)).drop(maybe).join(ids.select(key), key, "left_anti")
+    return marked.where(~F.col(maybe)).select(*rows.columns).unionByName(rest.select(*rows.columns))
 
 
 #: Rows of one key that a join puts into one place; at most HOT_KEYS keys have more.

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.llm import chat, chunks, html_text, minhash, mixing, packing, quality, shards, topk, urls
+from stockweave.llm import chat, chunks, graph, html_text, minhash, mixing, packing, quality, shards, topk, urls
 from stockweave.llm.tokens import default_tokenizer
 
 EXTRA = "doc string, component string, u string, v string, size int, taken int, key int, at_ int, n_shingles int"
@@ -43,3 +43,17 @@ def test_others(spark, n):
     vectors = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]), (4, []), (5, [1.0, None])][:n], "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = topk.top_k(vectors, F.col("vec_id") % 20 == 0).collect()
     assert len(got) == (6 if n else 0)
+
+
+def test_rows_in_and_not_in(spark, monkeypatch):
+    """Semi and anti join: nulls, repeated rows, empty sides, clashing names, and a filter whose every bit is set."""
+    rows = spark.createDataFrame([(k % 50 if k % 7 else None, k) for k in range(200)] + [(3, 3)] * 2, "doc_id long, at_ long").withColumns({c: F.lit(1) for c in ("maybe_", "Bucket_", "bits_", "bits__")})
+    plain = [tuple(r) for r in rows.collect()]
+    for ids in ([], [None], [3, 3, 11, None, 999], list(range(40))):
+        held = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        for bits in (1 << 25, 8):
+            monkeypatch.setattr(graph, "FILTER_BITS", bits)
+            known = {i for i in ids if i is not None}
+            found, rest = ([tuple(r) for r in f(rows, held).collect()] for f in (graph.rows_in, graph.rows_not_in))
+            assert sorted(found, key=str) == sorted((r for r in plain if r[0] in known), key=str)
+            assert sorted(rest, key=str) == sorted((r for r in plain if r[0] not in known), key=str)
