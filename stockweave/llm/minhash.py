@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stockweave.llm.graph import connected_components, hot_keys, rows_in, spread_join
 from stockweave.llm.words import distinct, mixed, shingle_hashes, slices, sums, trimmed, word_hashes
-from stockweave.session import attach, materialize
+from stockweave.session import attach, discard, materialize
 
 SIDE, ROWS = 16, 3
 #: Members and shingles of a block, so that two blocks fit a task's memory; a bucket's rows are copied once a block.
@@ -103,7 +103,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def _keys(reps: DataFrame, side: int) -> DataFrame:
-    """(key, node, x, y, hub, bucket, bucket_shingles) for keys that two nodes or more share; x and y are the places of the
+    """A written table (key, node, x, y, hub, bucket, bucket_shingles) for keys that two nodes or more share; x and y are the places of the
     key's tuples in the two collections, bucket counts the members, bucket_shingles their shingles, and hub is the member
     whose tuples most others have."""
     one = reps.select("node", "n_shingles", F.posexplode("tuples").alias("place", "value"))
@@ -114,9 +114,13 @@ def _keys(reps: DataFrame, side: int) -> DataFrame:
     pairs = sides.select("node", "n_shingles", "popularity", F.explode("a").alias("p"), "b").select("node", "n_shingles", "popularity", "p", F.explode("b").alias("q"))
     keyed = pairs.select(F.xxhash64("p.value", "q.value").alias("key"), "node", "n_shingles", "popularity", F.col("p.place").cast("short").alias("x"), (F.col("q.place") - side).cast("short").alias("y"))
     keyed = materialize(keyed, "keyed")
+    discard(shared)
     buckets = keyed.groupBy("key").agg(F.count("*").alias("bucket"), F.sum("n_shingles").alias("bucket_shingles"), F.max_by("node", F.struct("popularity", -F.col("node"))).alias("hub")).where("bucket > 1")
     buckets = materialize(buckets, "buckets")
-    return spread_join(keyed.select("key", "node", "x", "y"), buckets, "key", hot_keys(buckets.withColumnRenamed("bucket", "n_"), "key"))
+    keys = materialize(spread_join(keyed.select("key", "node", "x", "y"), buckets, "key", hot_keys(buckets.withColumnRenamed("bucket", "n_"), "key")), "keys")
+    discard(keyed)
+    discard(buckets)
+    return keys
 
 
 def _agreements(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -258,16 +262,24 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
+
+    A written table is deleted as soon as no later step reads it; what the result reads stays. Tuples and hashes, the
+    bulk of a sketch, are kept for nodes only, and from the keys on for nodes that share one only.
+    """
     sketch = materialize(sketches(docs, side, rows), "sketches")
     found = sketch.where("n_shingles > 0 and doc_id is not null")
     # one node per distinct set: its least doc_id, and what every text of it has in common
     whole_set = ["n_shingles", "k1", "k2"]
     nodes = found.groupBy(*whole_set).agg(F.min("doc_id").alias("rep"), F.first("tuples").alias("tuples"), F.first("agreement").alias("agreement"), F.count("*").alias("n_"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = materialize(_keys(nodes.select("node", "n_shingles", "tuples"), side), "keys")
+    slim = lambda df, name: (materialize(df.drop("tuples", "agreement"), name), discard(df))[0]
+    sketch = slim(sketch, "rows")
+    found = sketch.where("n_shingles > 0 and doc_id is not null")
+    keys = _keys(nodes.select("node", "n_shingles", "tuples"), side)
     near = nodes.join(keys.select("node").distinct(), "node", "left_semi")
     near = materialize(near, "near")
+    nodes = slim(nodes, "slim-nodes")
     # the texts of the representatives that share a key; a doc_id with several texts may stand for several sets
     texts = rows_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), near.select(F.col("rep").alias("doc_id")).distinct())
     named = near.select(F.col("rep").alias("doc_id"), "k1", "n_shingles", "node")
@@ -292,6 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows:
 
     labelled = keys.drop("hub").join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     labelled = materialize(labelled, "labelled")
+    discard(keys)
     sizes = labelled.groupBy("key").agg(F.count("*").alias("n_"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_keys = materialize(sizes.where("lo < hi").select("key", "n_"), "open-keys")
     open_ = spread_join(labelled, open_keys, "key", hot_keys(open_keys, "key"))
@@ -302,8 +315,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, side: int = SIDE, rows:
     full = spread.join(near.select("node", "tuples", "agreement"), "node")
     grouped = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     across = materialize(grouped(full).mapInArrow(trimmed(_across(side, least)), "key long, bi int, bj int, node long, comp long, partners array<long>"), "pairs-rest")
+    for spent in (labelled, near, open_keys):
+        discard(spent)
     more = grouped(across.join(sets, "node")).mapInArrow(trimmed(_linked(percent)), "u long, v long")
     more = materialize(more.distinct(), "links-rest")
+    discard(across)
+    discard(sets)
     # a component's id is the least doc_id of its nodes
     components = connected_components(links.union(more).union(own))
     placed = materialize(nodes.select("node", "rep").join(components, "node"), "placed")

@@ -73,3 +73,20 @@ def test_results_with_hot_keys(spark, monkeypatch):
         rows.append((k, " ".join(passage + words(rng, 12 if k % 2 else 30))))
     rows += [(100 + k, rows[3][1]) for k in range(40)]
     assert found(spark, rows) == components({i: shingles(t) for i, t in rows})
+
+
+def test_spent_tables_are_deleted(spark):
+    """While the result waits to be read, only the tables it reads and small ones are left."""
+    from pathlib import Path
+
+    from stockweave.session import work_dir
+
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    rng = np.random.default_rng(6)
+    base = words(rng, 60)
+    rows = [(k, " ".join([*base[: 60 - k], "y"])) for k in range(6)] + [(9, " ".join(words(rng, 50)))]
+    made = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert not left & {"sketches", "nodes", "shared-tuples", "keyed", "buckets", "keys", "near", "labelled", "open-keys", "pairs-rest", "sets"}
+    assert made.count() == len(rows)
