@@ -21,3 +21,9 @@ def _plan(df) -> str:
 def test_scenarios_are_simulated_once(spark, small):
     """The figures of a grid are read, not simulated for the scenarios' names and again for their values."""
     assert "MapInArrow" not in _plan(QUERIES["scenario_grid"](spark, DIR))
+
+
+def test_all_models_are_worked_out_once(spark, small):
+    """Neither evaluation's plan holds the simple forecasts, which the check for gaps would work out a second time."""
+    for name in ("global_wrmsse", "global_versus_best"):
+        assert "max_by(y" not in _plan(QUERIES[name](spark, DIR))
