@@ -1,20 +1,28 @@
 """Word-level encoding with a public tokenizer file.
 
 The tokenizer's pre-tokenizer never joins characters across white space, so a text's ids are the ids of its
-white-space-separated words in a row. Each worker keeps a bounded table of words already encoded.
+white-space-separated words in a row, and a plain word's ids those of its pieces: runs of letters or signs, single digits.
+Plain stretches of a text are cut into pieces at once. Each worker keeps a bounded table of pieces, and of words that are not
+plain, already encoded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Words kept per worker and generation: a full table becomes the older one, from which words still met are taken over.
 WORD_CAP = 150_000
-_SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
-_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Characters of plain words: here the letters, digits and signs are surely those of the tokenizer.
+_PLAIN = r"!-~À-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(rf"[{_PLAIN}]+")
+_SIMPLE_TEXT = re.compile(rf"[{_PLAIN}\t-\r ]*")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+#: A run of words that are not plain; nothing is tried twice, so time is linear in the text.
+_OTHERS = re.compile(rf"(?<!\S)(?:[{_PLAIN}]*+[^\s{_PLAIN}]\S*+\s*+)++")
 #: White space to Python's split(), but not to the tokenizer.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -67,25 +75,38 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        """A word's ids; its pieces (runs of letters or signs, digits) are words of the table themselves."""
+        """A word's ids; its pieces are words of the table themselves."""
         if not self.simple_ok or "<|" in word:
             return self._full(word)
-        if word.isascii() and word.isalpha():
-            return self._piece(word) if word.islower() else self.words[word.lower()]
+        if _PIECE.fullmatch(word):
+            return self._piece(word)
         if not _SIMPLE.fullmatch(word):
             return self._full(word)
-        pieces = _PIECE.findall(word.lower())
-        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
+        return b"".join(map(self.words.__getitem__, _PIECE.findall(word.lower())))
+
+    def _parts(self, text: str) -> list[str]:
+        """The text's pieces and other words, in a row."""
+        if not self.simple_ok or "<|" in text:
+            return text.split()
+        if _SIMPLE_TEXT.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        parts, at = [], 0
+        for others in _OTHERS.finditer(text):
+            parts += _PIECE.findall(text[at : others.start()].lower())
+            parts += others[0].split()
+            at = others.end()
+        return parts + _PIECE.findall(text[at:].lower())
 
     def ids_of(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(c in text for c in _ODD):
             return self._full(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, self._parts(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
